@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -101,26 +102,26 @@ def _usable(*values) -> bool:
     return all(v is not None and not math.isnan(v) for v in values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if _usable(a, b) and b > 0 else None for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def z_pvalue(z: pd.Series) -> pd.Series:
     return pd.Series([normal_two_sided(a) if _usable(a) else None for a in z], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_upper(a, b) if _usable(a, b) else None for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_upper(a, b, c) if _usable(a, b, c) else None for a, b, c in zip(f, d1, d2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_ppf(p: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_quantile(a, b, c) if _usable(a, b, c) else None for a, b, c in zip(p, d1, d2)], dtype="float64")

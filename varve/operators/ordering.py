@@ -232,8 +232,9 @@ def running_sums(df: DataFrame, order: str, sums, groups=(), descending=False) -
     return out if groups else out.drop("_g")
 
 
-def average_ranks(df: DataFrame, value: str, groups=(), out="rank") -> DataFrame:
+def average_ranks(df: DataFrame, value: str, groups=(), out="rank", weight: str | None = None) -> DataFrame:
     """(group..., value, out) with the average rank of each distinct value; ties share their mean rank."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("m"))
+    m = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(m.alias("m"))
     ranked = running_sums(counts, value, ["m"], groups)
     return ranked.select(*groups, value, (F.col("cum_m") - (F.col("m") - 1) / 2.0).alias(out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from varve.plans import catalog_prep
+from varve.plans import catalog_prep, catalog_stats  # noqa: F401  (each part registers its queries)
 
 _PARTS = [catalog_prep]
 
