@@ -212,7 +212,7 @@ def nested_cv(df: DataFrame, task: Task, name: str = "svm") -> dict[str, DataFra
     """Out-of-fold predictions of all runs, metrics per model and per fold."""
     rows, names = folded(df, task)
     frame = run_frame(rows, task, names)
-    parts = [run_fold(name, frame, r, task) for r in range(task.folds)]
+    parts = in_parallel(df.sparkSession, lambda r: run_fold(name, frame, r, task), range(task.folds), task.parallelism)
     preds = reduce(lambda a, b: a.unionByName(b), parts)
     return {
         "predictions": preds,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from varve.plans import catalog_prep, catalog_stats  # noqa: F401  (each part registers its queries)
+from varve.plans import catalog_models, catalog_prep, catalog_stats  # noqa: F401  (importing a part registers its queries)
 
-_PARTS = [catalog_prep]
-
-QUERIES = {key: fn for part in _PARTS for key, fn in part.Q.items()}
-ORACLES = {key: sql for part in _PARTS for key, sql in part.O.items()}
+QUERIES = dict(catalog_prep.Q)
+ORACLES = dict(catalog_prep.O)
