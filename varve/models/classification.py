@@ -61,7 +61,8 @@ def in_parallel(session, fn, items, width: int) -> list:
 
 def folded(df: DataFrame, task: Task) -> tuple[DataFrame, list[str]]:
     """Complete rows with a stratified fold column, written once."""
-    rows = df.where(complete([*task.features, task.label, *task.covariates, *([task.site] if task.site else [])]))
+    needed = dict.fromkeys([task.id, task.label, *task.features, *task.covariates, *([task.site] if task.site else [])])
+    rows = stage(df.select(*needed).where(complete(list(needed))))
     names: list[str] = []
     if task.site:
         rows = drop_small_groups(rows, task.site, task.folds)
@@ -91,18 +92,14 @@ def vectorize(frame: DataFrame, task: Task) -> DataFrame:
     return assemble(frame, features)
 
 
-def width_of(ready: DataFrame) -> int:
-    return ready.select("x").first()["x"].size
-
-
 def fit_score(name: str, train: DataFrame, test: DataFrame, task: Task, params: dict, keep) -> DataFrame:
     """Scores of one fit on `test`: (keep..., score)."""
     balanced = name == "logistic" and params.get("class_weight", "balanced") == "balanced"
     weight = "weight" if balanced else None
     if balanced:
         train = balanced_class_weights(train, "y")
-    rows = train.count()
-    model = classifier(name, width_of(train), float(rows), task.seed, weight, **{k: v for k, v in params.items() if v is not None}).fit(train)
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x")).first()
+    model = classifier(name, size["x"].size, float(size["n"]), task.seed, weight, **{k: v for k, v in params.items() if v is not None}).fit(train)
     return score_of(model.transform(test), HAS_PROBABILITY[name]).select(*keep, "score")
 
 

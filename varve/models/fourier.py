@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def scale_gamma(df: DataFrame, features) -> float:
@@ -23,14 +26,15 @@ def scale_gamma(df: DataFrame, features) -> float:
 
 
 def fourier_features(df: DataFrame, features, gamma: float, size=128, seed=42, out="x") -> DataFrame:
-    """Vector column of sqrt(2/D) * cos(w . x + b); the seeded directions are literals of the plan."""
+    """Vector column of sqrt(2/D) * cos(w . x + b) for seeded directions, an Arrow batch at a time."""
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), (size, len(features)))
+    w = rng.normal(0.0, math.sqrt(2 * gamma), (len(features), size))
     b = rng.uniform(0.0, 2 * math.pi, size)
-    rows = ",".join("array(" + ",".join(f"{float(v)!r}D" for v in [*row, c]) + ")" for row, c in zip(w, b))
-    weights = F.expr(f"array({rows})")
-    x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
-    dot = F.transform(weights, lambda row: F.aggregate(F.zip_with(row, F.col("_fx"), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v))
-    scaled = F.transform(dot, lambda v: F.cos(v) * math.sqrt(2.0 / size))
-    ready = df.dropna("any", subset=list(features)).withColumn("_fx", x)
-    return ready.withColumn(out, array_to_vector(scaled)).drop("_fx")
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def project(x: pd.Series) -> pd.Series:
+        z = np.cos(np.stack(x.to_numpy()) @ w + b) * math.sqrt(2.0 / size) if len(x) else np.zeros((0, size))
+        return pd.Series(list(z))
+
+    ready = VectorAssembler(inputCols=list(features), outputCol="_fx", handleInvalid="skip").transform(df)
+    return ready.withColumn(out, array_to_vector(project(vector_to_array("_fx")))).drop("_fx")

@@ -117,7 +117,16 @@ class Prepared:
 
 
 def prepare(df: DataFrame, spec: Spec, keep=()) -> Prepared:
-    rows, harm, resid = cohort(df, spec)
+    """Eligible rows with folds, written once.
+
+    Folds need several passes (quantiles, cell counts, hash cuts), so the input's own joins run once into a narrow
+    table first and every pass reads that.
+    """
+    inputs = dict.fromkeys(
+        [spec.id, spec.target, spec.site, *spec.features, *spec.covariates, *spec.residualize, *spec.covariate_features,
+         *([spec.family] if spec.family else []), *keep]
+    )
+    rows, harm, resid = cohort(stage(df.select(*inputs).where(complete([spec.target, *spec.features]))), spec)
     needed = dict.fromkeys(
         [spec.id, spec.target, spec.site, *spec.features, *harm, *resid, *spec.covariate_features, *([spec.family] if spec.family else []), *keep]
     )

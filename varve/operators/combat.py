@@ -15,7 +15,7 @@ from varve.operators.missing import any_null
 from varve.operators.prep import complete, covariate_frame, drop_small_groups, range_filter, target_filter
 from varve.operators.shape import melt
 from varve.operators.weighting import apply_residualizer, fit_residualizer
-from varve.session import stage_small
+from varve.session import stage, stage_small
 
 MIN_ROWS = 30
 
@@ -152,7 +152,7 @@ def harmonize_guarded(df: DataFrame, features, site: str, covariates=(), min_sit
 
     Adds `harmonized`. Covariates without any value, and constant ones, are left out.
     """
-    rows = drop_small_groups(df.where(complete([*features, site])), site, min_site_n)
+    rows = drop_small_groups(stage(df.where(complete([*features, site]))), site, min_site_n)
     known = rows.agg(*[F.count(c).alias(c) for c in covariates]).first() if covariates else {}
     usable = [c for c in covariates if known[c] > 0]
     rows = rows.where(complete(usable))
