@@ -66,14 +66,20 @@ def classifier(name: str, features: int, weight_sum: float, seed=42, weight: str
     return model.setWeightCol(weight) if weight else model
 
 
-def regressor(name: str, rows: float, seed=42, weight: str | None = None, **params):
-    """An MLlib regressor on vector column `x` and label `y`."""
+def regressor(name: str, seed=42, weight: str | None = None, rows: float = 1.0, y_sd: float = 1.0, **params):
+    """An MLlib regressor on vector column `x` and label `y`.
+
+    MLlib standardises the label, which divides the quadratic part of its penalty by the label's population SD and
+    leaves the absolute part alone; `y_sd` and the total weight `rows` undo that, so alpha means what it says.
+    """
     s = {**DEFAULTS[name], **params}
     if name == "random_forest_regressor":
         model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=s["n_estimators"], maxDepth=s["max_depth"], minInstancesPerNode=s["min_samples_leaf"], seed=seed)
     elif name in ("linear", "ridge", "elastic_net"):
         alpha, l1 = s.get("alpha", 0.0), s.get("l1_ratio", 0.0)
-        model = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha if l1 else alpha / rows, elasticNetParam=l1, standardization=False)
+        absolute, square = alpha * l1, (alpha * (1 - l1) if l1 else alpha / rows) * y_sd
+        total = absolute + square
+        model = LinearRegression(featuresCol="x", labelCol="y", regParam=total, elasticNetParam=absolute / total if total else 0.0, standardization=False)
     else:
         raise ValueError(f"unknown regressor {name!r}")
     return model.setWeightCol(weight) if weight else model

@@ -188,7 +188,7 @@ def forest_predictions(prepared: Prepared, frame: DataFrame, spec=None, **params
     out = None
     for r in range(spec.folds):
         run = ready.where(F.col("run") == r)
-        model = regressor("random_forest_regressor", 1.0, spec.seed + r, "weight" if spec.weight_edges else None, **{**spec.models.get("random_forest_regressor", {}), **params}).fit(run.where("is_train"))
+        model = regressor("random_forest_regressor", spec.seed + r, "weight" if spec.weight_edges else None, **{**spec.models.get("random_forest_regressor", {}), **params}).fit(run.where("is_train"))
         part = model.transform(run.where(~F.col("is_train"))).select(
             spec.id, F.col("run").alias("fold"), F.lit("random_forest").alias("model"), "y", F.col("prediction").alias("yhat")
         )
