@@ -36,8 +36,8 @@ POISSON_CUTS = _poisson_cuts()
 
 
 def poisson1(u: Column) -> Column:
-    """Poisson(1) draw by inversion of a uniform."""
-    draw = F.lit(0)
-    for cut in POISSON_CUTS:
-        draw = draw + (u >= F.lit(cut)).cast("int")
-    return draw
+    """Poisson(1) draw by inversion of a uniform; the chain stops at the first cut above it."""
+    draw = F.when(u < POISSON_CUTS[0], 0)
+    for k, cut in enumerate(POISSON_CUTS[1:], start=1):
+        draw = draw.when(u < cut, k)
+    return draw.otherwise(len(POISSON_CUTS))

@@ -15,6 +15,7 @@ from varve.operators.joins import paired
 from varve.operators.ols import ols
 from varve.operators.ordering import average_ranks, order_stats
 from varve.operators.shape import melt
+from varve.session import stage
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -116,6 +117,7 @@ def spearman(df: DataFrame, x: str, y: str, groups=(), weight: str | None = None
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         *groups, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     ).agg(w.alias("_w"))
+    pairs = stage(pairs)  # ranked twice, each time in several passes
     for side in ("_x", "_y"):
         ranks = average_ranks(pairs, side, groups, f"_r{side}", weight="_w")
         pairs = pairs.join(ranks, [*groups, side])

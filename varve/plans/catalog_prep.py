@@ -124,17 +124,21 @@ split_map as (select id, yr, s, case when rn <= round(n * 0.8) then 'train' when
 """
 
 
-def split_visits(spark, d):
+def qc_visits(spark, d):
+    """Visits with QC marks and group label, written once: the mask, the cuts and the split all read it."""
     v = visits(spark, d).select("id", "yr", "qc", "target")
     v, _ = P.quality_control(v, ["id", "yr"], "qc", 6)
-    v = P.binning(v, "target", "grp", EDGES, LABELS)
-    return assign_split(v.where("qc_pass"), ["id", "yr"], (0.8, 0.1, 0.1), strata=["grp"])
+    return stage(P.binning(v, "target", "grp", EDGES, LABELS))
+
+
+def split_visits(checked):
+    return assign_split(checked.where("qc_pass"), ["id", "yr"], (0.8, 0.1, 0.1), strata=["grp"])
 
 
 @query("A9_split_map_sink", SPLIT_CTE + "select id, yr, split from split_map")
 def a9(spark, d):
     folder = fresh(spark, "map")
-    sinks.save_split_map(folder, split_visits(spark, d).select("id", "yr", "split"))
+    sinks.save_split_map(folder, split_visits(qc_visits(spark, d)).select("id", "yr", "split"))
     return spark.read.parquet(f"{folder}/artifacts/splits/split_map.parquet")
 
 
@@ -149,8 +153,8 @@ def a9(spark, d):
     union all select 'split', split, count(*) from split_map group by split""",
 )
 def a10(spark, d):
-    _, mask = P.quality_control(visits(spark, d).select("id", "yr", "qc"), ["id", "yr"], "qc", 6)
-    return sinks.provenance(mask, split_visits(spark, d))
+    checked = qc_visits(spark, d)
+    return sinks.provenance(checked.select("id", "yr", "qc", "qc_pass", "qc_reason"), split_visits(checked))
 
 
 @query(

@@ -13,7 +13,7 @@ from varve.operators import shape as E
 from varve.operators import splits as L
 from varve.functions.hashing import POISSON_CUTS
 from varve.plans.catalog_prep import AI, BASE, QBIN, YEAR2, query, r6
-from varve.plans.catalog_prep import SPLIT_CTE, split_visits
+from varve.plans.catalog_prep import SPLIT_CTE, qc_visits, split_visits
 from varve.plans.visits import FEATURES, PAIRS, table, visits
 
 
@@ -33,7 +33,7 @@ AI_CTE = "ai as (select *, " + ", ".join(
 
 @query("F1_stratified_split", SPLIT_CTE + "select id, yr, split from split_map")
 def f1(spark, d):
-    return split_visits(spark, d).select("id", "yr", "split")
+    return split_visits(qc_visits(spark, d)).select("id", "yr", "split")
 
 
 @query("F1_hash_threshold_split", "select o_orderkey, case when u < 0.8 then 'train' when u < 0.9 then 'val' else 'test' end as split from (select o_orderkey, cast('0x' || substr(md5(concat_ws('|', '42', 'split', o_orderkey)), 1, 8) as bigint) / 4294967296.0 u from orders)", cohort=False)
