@@ -202,3 +202,12 @@ def test_strong_regression_signal(spark):
     spec = R.Spec("id", "y", tuple(f"f{i}" for i in range(p)), "site", folds=4)
     out = R.nested_cv(spark.createDataFrame(pdf), spec)["metrics"].toPandas().set_index("metric").value
     assert out["pearson_r"] > 0.35
+
+
+def test_long_adjustment_equals_windowed_one(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": np.arange(400), "g": rng.choice(["a", "b"], 400), "p": rng.random(400).round(2)})
+    pdf.loc[::50, "p"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+    a, b = (fn(df, "p", ["g"]).toPandas().sort_values("id")[["p_bonferroni", "p_fdr"]].to_numpy(float) for fn in (A.adjust, A.adjust_many))
+    assert np.allclose(a, b, equal_nan=True)

@@ -13,7 +13,7 @@ from varve.functions.pvalues import chi2_pvalue, t_pvalue, z_pvalue
 from varve.functions.scalars import asymmetry, clip
 from varve.operators.joins import paired
 from varve.operators.ols import ols
-from varve.operators.ordering import average_ranks, order_stats
+from varve.operators.ordering import average_ranks, order_stats, running_min, running_sums
 from varve.operators.shape import melt
 from varve.session import stage
 
@@ -47,6 +47,29 @@ def adjust(df: DataFrame, p: str, groups=(), suffix="") -> DataFrame:
     ).drop("_step")
 
 
+def adjust_many(df: DataFrame, p: str, groups=(), suffix="") -> DataFrame:
+    """`adjust` for a table of p-values as long as the data: no window over a whole group.
+
+    Equal p-values are collapsed, counted up and minimised down in value buckets, and joined back.
+    """
+    groups = list(groups)
+    counts = stage(df.where(F.col(p).isNotNull()).groupBy(*groups, p).agg(F.count(F.lit(1)).alias("_m")))
+    upto = running_sums(counts, p, ["_m"], groups)
+    stepped = stage(upto.select(*groups, p, "tot__m", (F.col(p) * F.col("tot__m") / F.col("cum__m")).alias("_step")))
+    lowest = running_min(stepped, p, "_step", groups, descending=True, out="_low")
+    terms = lowest.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col(p).alias("_p"), F.col("tot__m").alias("_tot"), "_low")
+    same = F.col(p) == F.col("_p")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    joined = df.join(terms, same, "left")
+    return joined.withColumns(
+        {
+            f"p_bonferroni{suffix}": F.when(F.col("_p").isNotNull(), F.least(F.col(p) * F.col("_tot"), F.lit(1.0))),
+            f"p_fdr{suffix}": F.when(F.col("_p").isNotNull(), F.least("_low", F.lit(1.0))),
+        }
+    ).drop("_p", "_tot", "_low", *[f"_g_{g}" for g in groups])
+
+
 def correlations(df: DataFrame, features, target: str, groups=(), min_n=2) -> DataFrame:
     """(groups..., feature, r, n) for every feature against the target."""
     tall = melt(df, [*groups, target], features)

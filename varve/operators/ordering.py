@@ -232,6 +232,19 @@ def running_sums(df: DataFrame, order: str, sums, groups=(), descending=False) -
     return out if groups else out.drop("_g")
 
 
+def running_min(df: DataFrame, order: str, value: str, groups=(), descending=False, out="running") -> DataFrame:
+    """Inclusive running minimum of `value` over the distinct `order` values of each group, bucketed as above."""
+    base, keys = _grouped(df.withColumn("_v", F.col(order).cast("double")), groups)
+    cut = splitters(base, "_v", keys)
+    rows = _same(base, cut.drop("_n"), keys).withColumn("_b", _locate(bucket_count(df))).drop("_sp")
+    turn = F.desc if descending else F.asc
+    earlier = W.partitionBy(*keys).orderBy(turn("_b")).rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_b").agg(F.min(value).alias("_t")).withColumn("_o", F.min("_t").over(earlier)).drop("_t")
+    within = W.partitionBy(*keys, "_b").orderBy(turn(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = _same(rows, before, [*keys, "_b"]).withColumn(out, F.least(F.min(value).over(within), F.col("_o"))).drop("_v", "_b", "_o")
+    return joined if groups else joined.drop("_g")
+
+
 def average_ranks(df: DataFrame, value: str, groups=(), out="rank", weight: str | None = None) -> DataFrame:
     """(group..., value, out) with the average rank of each distinct value; ties share their mean rank."""
     m = F.count(F.lit(1)) if weight is None else F.sum(weight)

@@ -84,21 +84,24 @@ def fit_scaler(df: DataFrame, features, groups=()) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, features, groups=(), inverse=False) -> DataFrame:
-    """Scale (or unscale) wide features; the scaler becomes one small row per group."""
-    parts = []
-    for i, f in enumerate(features):
-        here = F.col("feature") == f
-        parts += [F.max(F.when(here, F.col("mean"))).alias(f"_m{i}"), F.max(F.when(here, F.col("sd"))).alias(f"_s{i}")]
-    wide = stage_small(scaler.groupBy(*groups).agg(*parts))
+    """Scale (or unscale) wide features.
+
+    With groups, the scaler becomes one small row per group and is joined; without, its two numbers per feature
+    become literals of the plan, as in any fitted transformer.
+    """
     if groups:
-        joined = df.join(wide, list(groups))
+        parts = []
+        for i, f in enumerate(features):
+            here = F.col("feature") == f
+            parts += [F.max(F.when(here, F.col("mean"))).alias(f"_m{i}"), F.max(F.when(here, F.col("sd"))).alias(f"_s{i}")]
+        wide = stage_small(scaler.groupBy(*groups).agg(*parts))
+        df = df.join(wide, list(groups))
+        params = {f: (F.col(f"_m{i}"), F.col(f"_s{i}")) for i, f in enumerate(features)}
     else:
-        joined = df.withColumn("_one", F.lit(0)).join(wide.withColumn("_one", F.lit(0)), "_one").drop("_one")
-    scaled = {}
-    for i, f in enumerate(features):
-        m, s = F.col(f"_m{i}"), F.col(f"_s{i}")
-        scaled[f] = F.col(f) * s + m if inverse else (F.col(f) - m) / s
-    return joined.withColumns(scaled).drop(*[c for c in wide.columns if c.startswith("_")])
+        params = {r["feature"]: (F.lit(r["mean"]), F.lit(r["sd"])) for r in scaler.collect()}
+    scaled = {f: F.col(f) * params[f][1] + params[f][0] if inverse else (F.col(f) - params[f][0]) / params[f][1] for f in features}
+    out = df.withColumns(scaled)
+    return out.drop(*[f"_{x}{i}" for i in range(len(features)) for x in "ms"]) if groups else out
 
 
 class Components:

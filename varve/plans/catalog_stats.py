@@ -286,7 +286,13 @@ def i10(spark, d):
 @query("I11_adjust", "with t as (select doc_id, (n_chars % 997 + 1) / 1000.0 p from documents), m as (select count(*) m from t), s as (select doc_id, p, p * m / count(*) over (order by p range between unbounded preceding and current row) st, m from t, m) select doc_id, round(least(p * m, 1), 6) as p_bonferroni, round(least(min(st) over (order by p desc range between unbounded preceding and current row), 1), 6) as p_fdr from s", cohort=False)
 def i11(spark, d):
     t = table(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 997 + 1) / 1000.0).alias("p"))
-    return A.adjust(t, "p").select("doc_id", r6("p_bonferroni"), r6("p_fdr"))
+    return A.adjust_many(t, "p").select("doc_id", r6("p_bonferroni"), r6("p_fdr"))
+
+
+@query("E15_ranked_minimum", "with t as (select p_size k, p_brand g, (p_partkey % 97 + 1) / 1000.0 p from part), s as (select g, k, p, p * count(*) over (partition by g) / count(*) over (partition by g order by p range between unbounded preceding and current row) st from t) select g, k, round(p, 6) as p, round(least(min(st) over (partition by g order by p desc range between unbounded preceding and current row), 1), 6) as p_fdr from s", cohort=False)
+def e15(spark, d):
+    t = table(spark, d, "part").select(F.col("p_size").alias("k"), F.col("p_brand").alias("g"), ((F.col("p_partkey") % 97 + 1) / 1000.0).alias("p"))
+    return A.adjust_many(t, "p", ["g"]).select("g", "k", r6("p"), r6("p_fdr"))
 
 
 @query("I12_fisher_z", "g as (select site, corr(qty_lh, target) filter (where sex='1') r1, count(*) filter (where sex='1' and qty_lh is not null) n1, corr(qty_lh, target) filter (where sex='2') r2, count(*) filter (where sex='2' and qty_lh is not null) n2 from visits group by site) select site, round((atanh(r1)-atanh(r2))/sqrt(1/(n1-3)+1/(n2-3)), 5) as z from g")
