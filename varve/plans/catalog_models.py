@@ -414,14 +414,14 @@ def n5(spark, d):
     return N.attrition_tests(visits(spark, d), "id", "yr", BASE, YEAR2, "target", "age", "sex", "1", "2").select("measure", "n1", "n2", F.round("statistic", 5).alias("statistic"))
 
 
-@query("N6_change_correlations", f"{AI_CTE}, p as (select " + ", ".join(f"b.{n}_AI - a.{n}_AI as {n}" for n, _, _ in PAIRS) + ", b.target - a.target t from ai a join ai b on a.id = b.id where a.yr = 1995 and b.yr = 1997) " + corr_sql([n for n, _, _ in PAIRS], "t", "p").replace("as feature", "as structure"))
+@query("N6_change_correlations", f"{AI_CTE}, p as (select " + ", ".join(f"b.{n}_AI - a.{n}_AI as {n}" for n, _, _ in PAIRS) + ", b.target - a.target t from ai a join ai b on a.id = b.id where a.yr = 1995 and b.yr = 1997) " + corr_sql([n for n, _, _ in PAIRS], "t", "p", min_n=10).replace("as feature", "as structure"))
 def n6(spark, d):
     return N.change_correlations(visits(spark, d), "id", "yr", BASE, YEAR2, PAIRS, "target").select("structure", r6("r"), "n")
 
 
 @query(
     "N7_icc",
-    f"{AI_CTE}, " + "w as (" + " union all ".join(f"select '{c}' structure, id, max(case when yr=1995 then {c} end) a, max(case when yr=1997 then {c} end) b, max(case when yr=1998 then {c} end) c from ai group by id" for c in AI) + "), x as (select * from w where a is not null and b is not null and c is not null), l as (select structure, id, unnest([a, b, c]) v, unnest([1, 2, 3]) k from x), g as (select structure, avg(v) gm, count(distinct id) n from l group by 1), rs as (select structure, sum(3 * (m - gm) * (m - gm)) s from (select structure, id, avg(v) m from l group by 1, 2) join g using (structure) group by 1), cs as (select structure, sum(n * (m - gm) * (m - gm)) s from (select structure, k, avg(v) m from l group by 1, 2) join g using (structure) group by 1), ts as (select structure, sum((v - gm) * (v - gm)) s from l join g using (structure) group by 1), ms as (select structure, n, rs.s / (n - 1) msr, (ts.s - rs.s - cs.s) / ((n - 1) * 2) mse from g join rs using (structure) join cs using (structure) join ts using (structure)) select structure, n, round((msr - mse) / (msr + 2 * mse), 6) as icc, round(msr / mse, 5) as f from ms",
+    f"{AI_CTE}, " + "w as (" + " union all ".join(f"select '{c}' structure, id, max(case when yr=1995 then {c} end) a, max(case when yr=1997 then {c} end) b, max(case when yr=1998 then {c} end) c from ai group by id" for c in AI) + "), x as (select * from w where a is not null and b is not null and c is not null), l as (select structure, id, unnest([a, b, c]) v, unnest([1, 2, 3]) k from x), g as (select structure, avg(v) gm, count(distinct id) n from l group by 1), rs as (select structure, sum(3 * (m - gm) * (m - gm)) s from (select structure, id, avg(v) m from l group by 1, 2) join g using (structure) group by 1), cs as (select structure, sum(n * (m - gm) * (m - gm)) s from (select structure, k, avg(v) m from l group by 1, 2) join g using (structure) group by 1), ts as (select structure, sum((v - gm) * (v - gm)) s from l join g using (structure) group by 1), ms as (select structure, n, rs.s / (n - 1) msr, (ts.s - rs.s - cs.s) / ((n - 1) * 2) mse from g join rs using (structure) join cs using (structure) join ts using (structure)) select structure, n, round((msr - mse) / (msr + 2 * mse), 6) as icc, round(msr / mse, 5) as f from ms where n >= 10",
 )
 def n7(spark, d):
     return N.icc(cohort_ai(spark, d), "id", "yr", [BASE, YEAR2, 1998], AI).select("structure", "n", r6("icc"), F.round("f", 5).alias("f"))
@@ -533,12 +533,12 @@ def r4b(spark, d):
     return B.compare_networks(baseline_rows(spark, d), spec(), {"quantity": ("qty_lh", "qty_rh"), "price": ("price_lh", "price_rh"), "both": DISC})
 
 
-@query("R5_sex_stratified", f"{AI_CTE} " + corr_sql(AI, "target", "ai", "sex").replace(" group by sex", " group by sex having count(*) >= 30"))
+@query("R5_sex_stratified", f"{AI_CTE} " + corr_sql(AI, "target", "ai", "sex", 30))
 def r5(spark, d):
     return B.stratified_correlations(visits(spark, d), "sex", PAIRS, "target", 30).select("sex", "feature", r6("r"), "n")
 
 
-@query("R6_site_stratified", f"{AI_CTE} " + corr_sql(AI, "target", "ai", "site"))
+@query("R6_site_stratified", f"{AI_CTE} " + corr_sql(AI, "target", "ai", "site", 20))
 def r6q(spark, d):
     return B.stratified_correlations(visits(spark, d), "site", PAIRS, "target", 20).select("site", "feature", r6("r"), "n")
 

@@ -178,11 +178,11 @@ def f15(spark, d):
 # --- I: association and tests ----------------------------------------------------------------------
 
 
-def corr_sql(features, target, source, groups=""):
+def corr_sql(features, target, source, groups="", min_n=2):
     g = groups + ", " if groups else ""
     by = f" group by {groups}" if groups else ""
     return " union all ".join(
-        f"select {g}'{c}' as feature, round(corr({c}, {target}), 6) as r, count(*) filter (where {c} is not null and {target} is not null) as n from {source}{by}"
+        f"select {g}'{c}' as feature, round(corr({c}, {target}), 6) as r, count(*) filter (where {c} is not null and {target} is not null) as n from {source}{by} having count(*) filter (where {c} is not null and {target} is not null) >= {min_n}"
         for c in features
     )
 
