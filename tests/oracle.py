@@ -48,6 +48,10 @@ def compare(spark_pdf: pd.DataFrame, sql_pdf: pd.DataFrame) -> str:
     """Empty text when equal, else the first difference."""
     if sorted(spark_pdf.columns) != sorted(sql_pdf.columns):
         return f"columns {sorted(spark_pdf.columns)} vs {sorted(sql_pdf.columns)}"
+    for c in spark_pdf.columns:
+        kinds = {spark_pdf[c].dtype.kind, sql_pdf[c].dtype.kind}
+        if kinds in ({"i", "f"}, {"i", "b"}, {"b", "f"}) and not (spark_pdf[c].isna().any() or sql_pdf[c].isna().any()):
+            return f"column {c}: {spark_pdf[c].dtype} vs {sql_pdf[c].dtype}"
     a, b = rows(spark_pdf), rows(sql_pdf)
     if len(a) != len(b):
         return f"rows {len(a)} vs {len(b)}"

@@ -374,7 +374,7 @@ def b22(spark, d):
     "B23_scalars",
     """select p_partkey, starts_with(p_name, 'a') as starts, ends_with(p_type, 'L') as ends, substring(p_name, 2, 3) as mid, split_part(p_type, ' ', 1) as word,
     replace(p_name, 'a', 'x') as swapped, try_cast(p_brand as double) as num, cast(trunc(p_retailprice) as bigint) as whole,
-    least(greatest(p_retailprice, 950), 1200) as clipped, abs(p_size - 25) as away, sign(p_size - 25) as side, round(sqrt(p_retailprice), 6) as root,
+    least(greatest(p_retailprice, 950), 1200) as clipped, abs(p_size - 25) as away, cast(sign(p_size - 25) as int) as side, round(sqrt(p_retailprice), 6) as root,
     round(atanh(p_size / 100.0), 6) as z, round(1 / (1 + exp(-(p_size - 25) / 10.0)), 6) as logistic, round(p_retailprice, 1) as rounded from part""",
     cohort=False,
 )
@@ -610,7 +610,7 @@ def e6(spark, d):
     return E.tercile_means(visits(spark, d), "target", "qty_lh").select("bin", "n", r6("mean"), r6("sem"))
 
 
-@query("E7_quantiles", " union all ".join(f"select l_returnflag, {p} as prob, round(quantile_cont(l_extendedprice, {p}), 6) as value from lineitem group by 1" for p in (0.025, 0.25, 0.5, 0.75, 0.975)), cohort=False)
+@query("E7_quantiles", " union all ".join(f"select l_returnflag, cast({p} as double) as prob, round(quantile_cont(l_extendedprice, {p}), 6) as value from lineitem group by 1" for p in (0.025, 0.25, 0.5, 0.75, 0.975)), cohort=False)
 def e7(spark, d):
     return E.quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.025, 0.25, 0.5, 0.75, 0.975], ["l_returnflag"]).select("l_returnflag", "prob", r6("value"))
 
