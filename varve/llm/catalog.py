@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.llm.bm25_search import bm25_top_k
 from varve.llm.decontaminate import contamination
+from varve.llm.html_text import extract_main_text
 from varve.llm.langid import fit_languages, identify_language
+from varve.llm.license_scan import fit_licences, scan_licences
 from varve.llm.mixing import mix_sources
 from varve.llm.near_dedup import near_duplicate_groups
 from varve.llm.sharding import shard_documents
 from varve.llm.substring_dedup import substring_dedup
+from varve.llm.tool_calls import SCHEMAS, as_tool_messages, link_tool_calls
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}
@@ -38,6 +42,28 @@ _WORDS = r"'[^\x20\x09-\x0D]+'"
 _TOKENS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
+@query("""
+with c as (select distinct * from conversations),
+u as (select conv_id, turn, text, 'c' || conv_id || '-' || turn call_id, len(string_split(text, ' ')) words, case when turn > 1 then 'c' || conv_id || '-' || (turn - 2) end after_id from c where role = 'user'),
+a as (select conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) call_id from c where role = 'assistant'),
+e as (select u.*, a.text result, a.call_id is not null answered,
+   list_filter([case when length(u.text) > 400 then 'question: against max_length' end, case when words > 60 then 'words: against maximum' end,
+     case when after_id is not null and not exists (select 1 from u p where p.call_id = u.after_id) then after_id || ': no such call' end], lambda x: x is not null) errors,
+   row_number() over (partition by u.conv_id order by u.turn) - 1 step from u left join a on a.call_id = u.call_id and a.conv_id = u.conv_id)
+select conv_id, call_id, turn, case when turn > 1 then 'follow_up' else 'lookup' end as name, step::bigint step, case when answered then 'answered' else 'unanswered' end status, len(errors)::int n_errors,
+  '{"arguments":{' || case when after_id is not null then '"after":"' || after_id || '",' else '' end || '"question":' || to_json(text)::varchar || ',"words":' || words || '},"call_id":"' || call_id || '","conv_id":' || conv_id
+  || ',"errors":' || to_json(errors)::varchar || ',"name":"' || case when turn > 1 then 'follow_up' else 'lookup' end || '"' || case when answered then ',"result":' || to_json(result)::varchar else '' end
+  || ',"status":"' || case when answered then 'answered' else 'unanswered' end || '","step":' || step || ',"turn":' || turn || '}' line
+from e
+union all
+select conv_id, call_id, turn, null, null, 'orphan_result', 0, '{"call_id":"' || call_id || '","conv_id":' || conv_id || ',"errors":[],"result":' || to_json(text)::varchar || ',"status":"orphan_result","turn":' || turn || '}'
+from a where not exists (select 1 from u where u.call_id = a.call_id)
+""")
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_tool_calls(as_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
+    return out.select("conv_id", "call_id", "turn", "name", "step", "status", F.size("errors").alias("n_errors"), "line")
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -104,6 +130,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query()
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query(f"""
 with i as (select item_id, regexp_extract_all({_FOLD}, {_TOKENS}) l from benchmark),
 iw as (select distinct item_id, least(10, len(l)) n, array_to_string(l[k:k + least(10, len(l)) - 1], ' ') s
@@ -128,3 +159,25 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.coalesce(F.crc32("text"), F.lit(0)))
     out = shard_documents(docs, shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan_licences(docs, fit_licences(docs))
+
+
+@query(f"""
+with w as (select doc_id, regexp_extract_all({_FOLD}, {_TOKENS}) l from documents),
+t as (select doc_id, unnest(l) term from w),
+tf as (select doc_id, term, count(*)::double tf from t group by doc_id, term),
+df as (select term, count(*)::double df from tf group by term),
+st as (select count(*)::double n, avg(len(l)) m from w),
+s as (select q.doc_id query_id, d.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len(w.l) / m))) score
+  from tf q join tf d using (term) join df using (term) join w on w.doc_id = d.doc_id cross join st where q.doc_id % 100 = 0 group by q.doc_id, d.doc_id),
+r as (select query_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id)::int as rank, doc_id, round(score, 6) score from s)
+select * from r where rank <= 10
+""")
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25_top_k(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k=10).withColumn("score", F.round("score", 6))
