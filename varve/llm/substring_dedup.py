@@ -3,9 +3,9 @@
 Rounds name runs of one word and then pairs of neighbouring symbols: whether a symbol opens or closes a pair in a round is
 a hash of its name, and a pair's name is a hash of both, so equal stretches get equal symbols in every task without a
 common dictionary. Each symbol also carries the words its making looked at; a symbol that looked at nothing outside a
-window is the same in every occurrence of that window. The smallest such symbol is the window's anchor: a window whose
-anchor is unique in the corpus cannot repeat. Only the windows whose anchor is shared are then named by all their words,
-and the names that occur again are the repeats.
+window is the same in every occurrence of that window. The longest such symbol is the window's anchor: a window whose
+anchor is unique in the corpus cannot repeat. Only the windows whose anchor is shared are then named by all their words (96 bits),
+and those whose name is not theirs alone are the repeats.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from varve.session import stage
 ROUNDS = 5
 
 
-def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the last round as (name, low, high), rows one after the other; the making of a symbol looked at words [low, high).
+def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the last round as (name, size, low, high), rows one after the other. A symbol stands for `size` words; its making looked at words [low, high).
 
     `first` has the row boundaries. What depends on a row's end reaches beyond it."""
     n = len(words)
@@ -58,19 +58,21 @@ def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tu
         tail = tail.copy()
         tail[merged] = tail[merged + 1]
         keep = ~second
-        name, low, high, head, tail = names[keep], new_low[keep], new_high[keep], head[keep], tail[keep]
-    return name, low, high
+        size[merged] += size[merged + 1]
+        name, size, low, high, head, tail = names[keep], size[keep], new_low[keep], new_high[keep], head[keep], tail[keep]
+    return name, size, low, high
 
 
-def window_anchors(name: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def window_anchors(name: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Index of the anchor symbol of each window [start, start + width), -1 where no symbol lies inside."""
     if not len(name):
         return np.full(len(starts), -1)
     low, high = np.maximum.accumulate(low[::-1] * -1)[::-1] * -1, np.maximum.accumulate(high)
     a, b = np.searchsorted(low, starts, "left"), np.searchsorted(high, starts + width, "right")
     size = b - a
-    order = mix(name)
-    best, out, span, step = order, np.full(len(starts), -1), np.arange(len(name)), 1
+    # The symbol of most words, as it is the least likely to be shared by chance; then by hash.
+    order = (mix(name) >> np.uint64(8)) | ((np.uint64(255) - np.minimum(words, 255).astype(np.uint64)) << np.uint64(56))
+    out, span, step = np.full(len(starts), -1), np.arange(len(name)), 1
     level = np.where(size > 0, np.frexp(np.maximum(size, 1).astype(float))[1] - 1, -1)
     for k in range(int(level.max(initial=-1)) + 1):
         use = np.flatnonzero(level == k)
@@ -92,7 +94,7 @@ def _window_starts(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_names(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for the words of each window."""
+    """Two independent 64-bit names of the words of each window."""
     out = []
     for salt in (0x51ED270B0A1F3F8D, 0xB492B66FBE98F273):
         value, total = mix(words + np.uint64(salt)), np.zeros(len(starts), np.uint64)
@@ -106,9 +108,9 @@ def _indexer(width: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = split_words(part.column("text"), WHITE_SPACE)
-            name, low, high = recompress(words.hash, words.first)
+            name, size, low, high = recompress(words.hash, words.first)
             starts = _window_starts(words.first, width)
-            anchor = window_anchors(name, low, high, starts, width)
+            anchor = window_anchors(name, size, low, high, starts, width)
             row = np.searchsorted(words.first, starts, "right") - 1
             bare = np.bincount(row[anchor < 0], minlength=part.num_rows) > 0
             has = anchor >= 0
@@ -123,24 +125,32 @@ def _indexer(width: int):
     return index
 
 
+def _candidates(part: pa.RecordBatch, width: int):
+    """The words of a batch, its window starts and their rows, and which windows have a shared anchor or none."""
+    words = split_words(part.column("text"), WHITE_SPACE)
+    name, size, low, high = recompress(words.hash, words.first)
+    starts = _window_starts(words.first, width)
+    anchor = window_anchors(name, size, low, high, starts, width)
+    row = np.searchsorted(words.first, starts, "right") - 1
+    shared = part.column("shared")
+    edges, values = shared.offsets.to_numpy(), shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    maybe = anchor < 0
+    for i in range(part.num_rows):
+        a, b = np.searchsorted(row, (i, i + 1))
+        mine = anchor[a:b]
+        maybe[a:b] |= (mine >= 0) & np.isin(name[mine], values[edges[i] : edges[i + 1]])
+    return words, starts, row, maybe
+
+
 def _namer(width: int):
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = split_words(part.column("text"), WHITE_SPACE)
-            name, low, high = recompress(words.hash, words.first)
-            starts = _window_starts(words.first, width)
-            anchor = window_anchors(name, low, high, starts, width)
-            row = np.searchsorted(words.first, starts, "right") - 1
-            shared = part.column("shared")
-            edges, values = shared.offsets.to_numpy(), shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            maybe = anchor < 0
-            for i in range(part.num_rows):
-                a, b = np.searchsorted(row, (i, i + 1))
-                mine = anchor[a:b]
-                maybe[a:b] |= (mine >= 0) & np.isin(name[mine], values[edges[i] : edges[i + 1]])
+            words, starts, row, maybe = _candidates(part, width)
             h1, h2 = window_names(words.hash, starts[maybe], width)
-            rid = part.column("rid").to_numpy()[row[maybe]]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array((starts - words.first[row])[maybe], pa.int32()), pa.array(h1), pa.array(h2)], names=["rid", "at", "h1", "h2"])
+            mine = row[maybe]
+            rid, weight = part.column("rid").to_numpy()[mine], np.minimum(part.column("copies").to_numpy(), 2)[mine]
+            at = starts[maybe] - words.first[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array((h2 >> 32).astype(np.int32)), pa.array(rid), pa.array(at, pa.int32()), pa.array(weight)], names=["h1", "h2", "rid", "at", "weight"])
 
     return names
 
@@ -148,20 +158,25 @@ def _namer(width: int):
 def _cutter(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            words, starts, row, maybe = _candidates(part, width)
             spans, sizes, digests, texts = [], [], [], []
-            for text, starts in zip(part.column("text").to_pylist(), part.column("starts")):
-                at = np.sort(starts.values.to_numpy())
+            for i, (text, single) in enumerate(zip(part.column("text").to_pylist(), part.column("single"))):
+                a, b = np.searchsorted(row, (i, i + 1))
+                at = starts[a:b][maybe[a:b]] - words.first[i]
+                if single.is_valid:
+                    at = np.setdiff1d(at, single.values.to_numpy(), assume_unique=True)
                 jump = np.flatnonzero(np.diff(at) > width)
-                a, b = at[np.concatenate([[0], jump + 1])], at[np.append(jump, len(at) - 1)] + width
-                words, kept, last = text.encode().split(), [], 0
+                a = at[np.concatenate([[0], jump + 1])] if len(at) else at
+                b = at[np.append(jump, len(at) - 1)] + width if len(at) else at
+                kept, parts, last = text.encode().split(), [], 0
                 for x, y in zip(a.tolist(), b.tolist()):
-                    kept += words[last:x]
+                    parts += kept[last:x]
                     last = y
-                kept = b" ".join(kept + words[last:])
+                kept = b" ".join(parts + kept[last:])
                 spans.append(np.stack([a, b], axis=1).tolist())
                 sizes.append(int((b - a).sum()))
                 digests.append(hashlib.sha256(kept).digest())
-                texts.append(kept.decode())
+                texts.append(kept.decode() if len(at) else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column("digest"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())],
                 names=["digest", "spans", "n_removed", "kept_digest", "kept_text"],
@@ -198,12 +213,12 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     same = (docs.text_key == held.text_key) & docs.doc_id.eqNullSafe(held.one_id)
     held = stage(docs.join(held, same).select("rid", "digest", "copies", "text", "shared"))
 
-    windows = held.select("rid", "text", "shared").mapInArrow(_namer(width), "rid long, at int, h1 long, h2 long")
-    windows = stage(windows)
-    repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    single = held.where("copies = 1").select("rid", "digest", "text")
-    starts = windows.join(repeated, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("at").alias("starts"))
-    cut = single.join(starts, "rid").select("digest", "text", "starts").mapInArrow(_cutter(width), "digest binary, spans array<array<long>>, n_removed long, kept_digest binary, kept_text string")
+    # A name of one occurrence comes with its place; every other candidate window is a repeat.
+    windows = held.select("rid", "copies", "text", "shared").mapInArrow(_namer(width), "h1 long, h2 int, rid long, at int, weight long")
+    named = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at"))
+    single = named.where("n = 1").groupBy("rid").agg(F.collect_list("at").alias("single"))
+    alone = held.where("copies = 1").select("rid", "digest", "text", "shared")
+    cut = alone.join(single, "rid", "left").select("digest", "text", "shared", "single").mapInArrow(_cutter(width), "digest binary, spans array<array<long>>, n_removed long, kept_digest binary, kept_text string")
 
     copied = groups.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     known = copied.join(cut, "digest", "full")
