@@ -48,3 +48,25 @@ def test_recode_bins_and_extremes(spark):
 def test_asymmetry_guard(spark):
     df = spark.createDataFrame([(3.0, 1.0), (1.0, -1.0), (None, 1.0)], "l double, r double")
     assert [r[0] for r in df.select(S.asymmetry(F.col("l"), F.col("r"))).collect()] == [0.5, None, None]
+
+
+def test_whole_doubles_are_looked_up_like_integers(spark):
+    df = spark.createDataFrame([(1.0, "1"), (2.0, "2.0"), (1.5, None), (None, "3")], "a double, b string")
+    got = df.select(S.value_map(F.col("a"), {1: "m", 2.0: "f", 1.5: "x"}).alias("a"), S.value_map(F.col("b"), {"1": "m", "2.0": "f"}).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [("m", "m"), ("f", "f"), ("x", None), (None, None)]
+
+
+def test_every_question_adapts():
+    base = roles.Settings()
+    for name in ("anxiety", "psychosis", "comorbidity", "regression"):
+        required = roles.adapt(base, name).required
+        assert "t_score" in required and ("research_group" in required) == (name != "regression")
+    assert roles.adapt(base, "comorbidity").roles.group == "comorbid_group"
+
+
+def test_a_missing_follow_up_age_is_not_replaced(spark):
+    from varve.operators.prep import backfill_from_baseline
+
+    df = spark.createDataFrame([(1, 0, 9.0, 9.0, "f"), (1, 2, 9.0, None, None), (1, 3, 9.0, 12.0, None)], "id int, visit int, age double, age_long double, sex string")
+    got = backfill_from_baseline(df, "id", "visit", 0, {"age": "age_long"}, ["sex"]).orderBy("visit").collect()
+    assert [(r.age, r.sex) for r in got] == [(9.0, "f"), (None, "f"), (12.0, "f")]

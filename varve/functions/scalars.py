@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 
 def value_map(col: Column, mapping: dict) -> Column:
-    """Recode by lookup on the text of the value; values outside the map become null."""
+    """Recode by lookup on the text of the value; values outside the map become null.
+
+    A whole double reads like the integer it stands for, as in an integer column with gaps that was read as double.
+    """
     if not mapping:
         return F.lit(None).cast("string")
-    by_text = {str(k): v for k, v in mapping.items()}
+    whole = lambda k: int(k) if isinstance(k, float) and k.is_integer() else k
+    by_text = {str(whole(k)): v for k, v in mapping.items()}
     pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(by_text.items())])
-    return F.element_at(pairs, col.cast("string"))
+    number = col.cast("double")
+    is_whole = F.typeof(col).isin("double", "float") & (number == F.floor(number))
+    return F.element_at(pairs, F.when(is_whole, number.cast("long").cast("string")).otherwise(col.cast("string")))
 
 
 def right_closed_bin(col: Column, thresholds, labels) -> Column:

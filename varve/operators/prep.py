@@ -121,14 +121,14 @@ def drop_small_groups(df: DataFrame, group: str, minimum: int) -> DataFrame:
 
 
 def backfill_from_baseline(df: DataFrame, id_col, timepoint, baseline, substitute: dict[str, str], fill=()) -> DataFrame:
-    """Visit rows with `substitute[new]` columns replacing `new` and `fill` columns taken from baseline by id.
+    """Visit rows with `substitute[new]` columns replacing `new`, nulls included, and `fill` columns taken from baseline by id where null.
 
     The baseline side is one row per id (`max` over the unique baseline row), joined on the id.
     """
     base = df.where(F.col(timepoint) == baseline).groupBy(id_col).agg(*[F.max(c).alias(f"_bl_{c}") for c in fill])
     out = df.join(base, id_col, "left")
     for new, old in substitute.items():
-        out = out.withColumn(new, F.coalesce(F.col(old), F.col(new)))
+        out = out.withColumn(new, F.col(old))
     for c in fill:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_bl_{c}")))
     return out.drop(*[f"_bl_{c}" for c in fill])

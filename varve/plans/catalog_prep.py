@@ -340,8 +340,8 @@ def b18(spark, d):
 @query(
     "B19_backfill",
     """b as (select id, max(sex) sex, max(qty_lh) q from visits where yr = 1995 group by id)
-    select v.id, v.yr, coalesce(v.disc_lh, v.age) as age, coalesce(case when v.yr <> 1995 then null else v.sex end, b.sex) as sex
-    from visits v left join b on b.id = v.id where coalesce(case when v.yr <> 1995 then null else v.sex end, b.sex) is not null""",
+    select v.id, v.yr, v.disc_lh as age, coalesce(case when v.yr <> 1995 then null else v.sex end, b.sex) as sex
+    from visits v left join b on b.id = v.id where v.disc_lh is not null and coalesce(case when v.yr <> 1995 then null else v.sex end, b.sex) is not null""",
 )
 def b19(spark, d):
     v = visits(spark, d).select("id", "yr", "age", "disc_lh", F.when(F.col("yr") == BASE, F.col("sex")).alias("sex"))

@@ -79,7 +79,7 @@ def leave_one_out(df: DataFrame, spec: R.Spec, model="ridge") -> DataFrame:
     mark = f"{model}-without-"
     base = scores.where(F.col("model") == model).select("pearson_r").scalar()
     return scores.where(F.col("model").startswith(mark)).select(
-        F.substring("model", len(mark) + 1, 200).alias("feature"), F.col("pearson_r").alias("r_without"), (base - F.col("pearson_r")).alias("delta_r")
+        F.expr(f"substring(model, {len(mark) + 1})").alias("feature"), F.col("pearson_r").alias("r_without"), (base - F.col("pearson_r")).alias("delta_r")
     ).orderBy(F.desc("delta_r"), "feature")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 
@@ -34,12 +35,12 @@ class Question:
     stratify: bool = True
 
 
-# The research questions a run may name, with their group columns.
+# The research questions a run may name, with their group columns and the metadata that must be complete.
 QUESTIONS = {
     "anxiety": Question("anxiety", "anx_group", ("age", "t_score", "scanner_model", "research_group")),
-    "psychosis": Question("psychosis", "psych_group", ("age", "scanner_model", "research_group")),
-    "comorbid": Question("comorbid", "comorbid_group", ("age", "scanner_model", "research_group")),
-    "regression": Question("regression", "anx_group", ("age", "scanner_model"), stratify=False),
+    "psychosis": Question("psychosis", "psych_group", ("age", "t_score", "scanner_model", "research_group")),
+    "comorbidity": Question("comorbidity", "comorbid_group", ("age", "t_score", "scanner_model", "research_group")),
+    "regression": Question("regression", "anx_group", ("age", "t_score", "scanner_model"), stratify=False),
 }
 
 
@@ -103,34 +104,27 @@ def present(columns: list[str], wanted) -> list[str]:
     return [c for c in wanted if c in have]
 
 
+# A side is an l or r at the end of a column's name, or that letter and an h; marks of diffusion and thickness measures.
+_SIDE = re.compile(r"(?P<stem>.*)(?P<side>[lr])(?P<kind>h?)", re.S)
+MARKS = {"dtifa": "_FA", "dtimd": "_MD", "thick": "_thick"}
+
+
 def bilateral_pairs(features: list[str]) -> tuple[list[tuple[str, str, str]], list[str]]:
-    """Pair left with right features by suffix; returns (name, left, right) triples and the unpaired rest."""
-    have, used, pairs = set(features), set(), []
-    # Left and right suffixes, tried in this order; the last is spelled without its stem.
-    suffixes = (("lh", "rh"), ("l", "r"), ("aal", "aar"))
-    for feature in features:
-        for left, right in suffixes:
-            if feature in used or not feature.endswith((left, right)):
-                continue
-            mine = left if feature.endswith(left) else right
-            stem = feature[: -len(mine)]
-            lcol, rcol = stem + left, stem + right
-            if lcol in have and rcol in have and not {lcol, rcol} & used:
-                pairs.append((pair_name(stem, left), lcol, rcol))
-                used |= {lcol, rcol}
-    return pairs, [f for f in features if f not in used]
-
-
-def pair_name(stem: str, left_suffix: str = "lh") -> str:
-    """Short display name of a pair: last word of the stem plus a modality mark."""
-    if stem.endswith("aa") or left_suffix == "aal":
+    """Columns of the same stem on both sides, as (name, left, right), by first appearance; and the columns without a partner."""
+    sides: dict[tuple[str, str], dict[str, str]] = {}
+    for column in features:
+        if m := _SIDE.fullmatch(column):
+            sides.setdefault((m["stem"], m["kind"]), {})[m["side"]] = column
+    pairs = [(pair_name(stem), both["l"], both["r"]) for (stem, _), both in sides.items() if len(both) == 2]
+    paired = {column for _, left, right in pairs for column in (left, right)}
+    return pairs, [column for column in features if column not in paired]
+
+
+def pair_name(stem: str) -> str:
+    """Short display name of a pair: the stem's last word and the mark of its measure; a stem in aa is the accumbens."""
+    if stem.endswith("aa"):
         return "accumbens"
-    words = [w for w in stem.split("_") if w]
-    # Marks of the diffusion and thickness measures.
-    for token, mark in (("dtifa", "_FA"), ("dtimd", "_MD"), ("thick", "_thick")):
-        if token in stem:
-            return words[-1] + mark
-    return words[-1]
+    return stem.rstrip("_").rpartition("_")[2] + next((mark for measure, mark in MARKS.items() if measure in stem), "")
 
 
 def feature_names(mode: str, count: int, features=(), pairs=()) -> list[str]:
