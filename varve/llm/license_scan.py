@@ -162,8 +162,9 @@ def _scanner(shared, least_score: float, least_similarity: float):
         model: LicenceModel = shared.value
         for part in slices(batches):
             words = split_words(part.column("text"), ALPHANUMERIC, fold=True)
-            lines = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
-            line = lines[words.start]
+            offsets = text_buffer(part.column("text"))[1]
+            breaks = np.flatnonzero(words.data[offsets[0] : offsets[-1]] == 0x0A) + offsets[0]
+            line = np.searchsorted(breaks, words.start)
             row = np.repeat(np.arange(part.num_rows), words.counts)
             found: list[list[dict]] = [[] for _ in range(part.num_rows)]
             n = len(words.hash)
@@ -171,7 +172,7 @@ def _scanner(shared, least_score: float, least_similarity: float):
             place = np.minimum(np.searchsorted(model.triples, triple), len(model.triples) - 1)
             hit = np.flatnonzero(model.triples[place] == triple)
             hit = hit[(line[hit] == line[hit + GRAMS - 1]) & (row[hit] == row[hit + GRAMS - 1])] if n >= GRAMS else hit[:0]
-            row_line = lines[text_buffer(part.column("text"))[1][:-1]]
+            row_line = np.searchsorted(breaks, offsets[:-1])
             spans = sorted({(int(row[i]), int(line[i])) for i in hit})
             bodies = []
             for r, p in spans:
