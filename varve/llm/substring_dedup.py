@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.tables import columns_or_null
-from varve.llm.words import WHITE_SPACE, chain, mix, slices, split_words
+from varve.llm.words import SLICE, WHITE_SPACE, chain, mix, slices, split_words
 from varve.session import stage
 
 ROUNDS = 5
@@ -106,7 +106,7 @@ def window_names(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.
 
 def _indexer(width: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE // 2):
             words = split_words(part.column("text"), WHITE_SPACE)
             name, size, low, high = recompress(words.hash, words.first)
             starts = _window_starts(words.first, width)
@@ -144,7 +144,7 @@ def _candidates(part: pa.RecordBatch, width: int):
 
 def _namer(width: int):
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE // 2):
             words, starts, row, maybe = _candidates(part, width)
             h1, h2 = window_names(words.hash, starts[maybe], width)
             mine = row[maybe]
@@ -157,7 +157,7 @@ def _namer(width: int):
 
 def _cutter(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE // 2):
             words, starts, row, maybe = _candidates(part, width)
             spans, sizes, digests, texts = [], [], [], []
             for i, (text, single) in enumerate(zip(part.column("text").to_pylist(), part.column("single"))):
