@@ -156,7 +156,7 @@ def predict(prepared: Prepared, frame: DataFrame, fitted: DataFrame, groups=(),
     return joined.select(*groups, spec.id, F.col("run").alias("fold"), "model", y.alias("y"), fitted_y.alias("yhat"))
 
 
-def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None, steps=40, **params) -> tuple[DataFrame, DataFrame]:
+def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None, **params) -> tuple[DataFrame, DataFrame]:
     """Linear epsilon-SVR on the z-scored residual target, and its coefficients (groups..., run, feature, value)."""
     spec, groups = spec or prepared.spec, list(groups)
     keys = [*groups, "run"]
@@ -167,7 +167,7 @@ def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None,
     scored = frame.where(complete([*spec.inputs, *prepared.resid])).join(small, keys).withColumn("_y", y)
     sd = F.when(F.col("y_sd") > 0, F.col("y_sd")).otherwise(F.lit(1.0))
     train = stage(scored.where("is_train").select(*keys, *spec.inputs, ((F.col("_y") - F.col("y_mean")) / sd).alias("_z")))
-    beta = fit_svr(train, spec.inputs, "_z", keys, s["C"], s["epsilon"], steps)
+    beta = fit_svr(train, spec.inputs, "_z", keys, s["C"], s["epsilon"])
     table = svr_table(frame.sparkSession, beta, keys, dict(train.dtypes))
     held = scored.where(~F.col("is_train")).join(table, keys)
     yhat = F.col("y_mean") + sd * G.linear_value("svr", spec.inputs)
@@ -179,6 +179,19 @@ def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None,
     return preds, coefs
 
 
+def pooled(prepared: Prepared, frame: DataFrame, model="ridge", groups=(), spec=None) -> DataFrame:
+    """(groups..., model, target, pearson_r, r2, mse, n) of one model over all held-out rows; `svr` or a linear model."""
+    spec, groups = spec or prepared.spec, list(groups)
+    if model != "svr":
+        return G.pooled_r(fits(prepared, frame, [model], groups=groups, spec=spec), groups)
+    preds, _ = svr_predictions(prepared, frame, groups, spec)
+    p, y = F.col("yhat"), F.col("y")
+    sums = preds.groupBy(*groups, "model").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("sp"), F.sum(p * p).alias("spp"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(p * y).alias("spy")
+    )
+    return G.pooled_r(sums.withColumn("target", F.lit(spec.target)), groups)
+
+
 def forest_predictions(prepared: Prepared, frame: DataFrame, spec=None, **params) -> DataFrame:
     """Random-forest regression, one data-parallel fit per run."""
     spec = spec or prepared.spec
@@ -200,8 +213,9 @@ def nested_cv(df: DataFrame, spec: Spec, models=("ridge",), svr=False, forest=Fa
     """Predictions, pooled and per-fold metrics, coefficients and residualizer terms of all models over the same folds."""
     prepared = prepare(df, spec)
     frame = prepared.frame()
-    fitted = stage_small(fits(prepared, frame, models))
-    preds = predict(prepared, frame, fitted)
+    # The residualizer's terms come with a linear model; without one they are those of ridge.
+    fitted = stage_small(fits(prepared, frame, models or ("ridge",)))
+    preds = predict(prepared, frame, fitted if models else fitted.limit(0))
     if svr:
         preds = preds.unionByName(svr_predictions(prepared, frame)[0])
     if forest:
@@ -223,7 +237,7 @@ def compare_feature_sets(df: DataFrame, spec: Spec, sets=("raw", "asymmetry", "t
     for name in sets:
         variant = replace(spec, transform=name)
         frame = prepared.frame(spec=variant)
-        part = G.pooled_r(fits(prepared, frame, [model], spec=variant)).withColumn("feature_set", F.lit(name))
+        part = pooled(prepared, frame, model, spec=variant).withColumn("feature_set", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.drop("target")
 
@@ -231,20 +245,32 @@ def compare_feature_sets(df: DataFrame, spec: Spec, sets=("raw", "asymmetry", "t
 def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", groups=(), alternative="two-sided") -> tuple[DataFrame, DataFrame]:
     """Pooled r of the real target and of `perms` shuffles of it under the same folds and harmonization.
 
-    The shuffles are extra target columns of one cross-product pass: features, folds and site effects are shared.
+    The shuffles are extra target columns of one cross-product pass: features, folds and site effects are shared. For `svr`
+    they are groups of one fit, over rows that carry the shared features.
     Returns (groups..., draw, pearson_r) and (groups..., observed, p).
     """
     groups = list(groups)
     prepared = prepare(df, spec, keep=groups)
     rows = prepared.rows
     tall = permute(rows, spec.id, spec.target, perms, spec.seed)
+    if model == "svr":
+        real = rows.select(spec.id, F.lit(-1).alias("_draw"), F.col(spec.target).alias("_target"))
+        shuffled = tall.select(spec.id, F.col("perm").cast("int").alias("_draw"), F.col("permuted").alias("_target"))
+        many = stage(prepared.frame(groups)).join(real.unionByName(shuffled), spec.id).drop(spec.target).withColumnRenamed("_target", spec.target)
+        scores = pooled(prepared, many, model, [*groups, "_draw"])
+        target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("_perm"), F.col("_draw")))
+        return _against_null(stage_small(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
     wide = tall.groupBy(spec.id).agg(*[F.max(F.when(F.col("perm") == j, F.col("permuted"))).alias(f"_perm{j}") for j in range(perms)])
     rows = stage(rows.join(wide, spec.id))
     frame = prepared.frame(groups, rows=rows)
     targets = [spec.target, *[f"_perm{j}" for j in range(perms)]]
     scores = stage_small(G.pooled_r(fits(prepared, frame, [model], targets, groups), groups))
-    null = scores.where(F.col("target") != spec.target).select(*groups, F.col("target").alias("draw"), "pearson_r")
-    seen = scores.where(F.col("target") == spec.target).select(*groups, F.col("pearson_r").alias("observed"))
+    return _against_null(scores, spec.target, groups, alternative)
+
+
+def _against_null(scores: DataFrame, target: str, groups, alternative) -> tuple[DataFrame, DataFrame]:
+    null = scores.where(F.col("target") != target).select(*groups, F.col("target").alias("draw"), "pearson_r")
+    seen = scores.where(F.col("target") == target).select(*groups, F.col("pearson_r").alias("observed"))
     both = null.join(seen, groups) if groups else null.withColumn("observed", seen.scalar())
     hit = F.abs("pearson_r") >= F.abs("observed") if alternative == "two-sided" else F.col("pearson_r") >= F.col("observed")
     p = both.groupBy(*groups, "observed").agg(((1 + F.count_if(hit)) / (1 + F.count(F.lit(1)))).alias("p"), F.avg("pearson_r").alias("null_mean"), F.stddev_pop("pearson_r").alias("null_sd"))

@@ -1,71 +1,162 @@
-"""Linear epsilon-insensitive regression by reweighted least squares, all groups in one pass per step."""
+"""Linear epsilon-insensitive regression by Newton steps on a smoothed loss, all groups in one pass per step."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_HALVINGS = 0.5 ** np.arange(1, 31)
+
+
+def _pull(r, epsilon, mu, C, held):
+    """The dual value of each row, which is also the slope of its smoothed loss: the best one near the value `held` of the level before."""
+    v = held + r / mu
+    return np.clip(np.sign(v) * np.maximum(np.abs(v) - epsilon / mu, 0.0), -C, C)
+
+
+def _loss(r, a, epsilon, mu, held):
+    return a * r - epsilon * np.abs(a) - mu / 2 * (a - held) ** 2
+
+
+def _held(x, t, levels, epsilon, C):
+    """Dual values after the settled levels [(fit, mu)], worked out anew from the row: nothing is stored with it."""
+    a = np.zeros(len(t))
+    for b, mu in levels:
+        a = _pull(t - x @ b, epsilon, mu, C, a)
+    return a
+
+
+def row_sums(x, t, levels, b, mu, epsilon, C) -> np.ndarray:
+    """What one step needs of rows x (first column 1) with targets t at fit b, as one vector of sums.
+
+    The triangle of x'x over rows whose dual value is free, x weighted by what these values have moved in this level, x
+    weighted by the dual values, the smoothed loss, and the rows' share of the duality gap.
+    """
+    held, r = _held(x, t, levels, epsilon, C), t - x @ b
+    a = _pull(r, epsilon, mu, C, held)
+    free = (a != 0) & (np.abs(a) < C)
+    gap = C * np.maximum(np.abs(r) - epsilon, 0.0) - a * r + epsilon * np.abs(a)
+    products = (x[free].T @ x[free])[np.triu_indices(x.shape[1])]
+    return np.concatenate([products, x[free].T @ (a - held)[free], x.T @ a, [_loss(r, a, epsilon, mu, held).sum(), gap.sum()]])
+
+
+def search_sums(x, t, levels, b, way, mu, epsilon, C) -> np.ndarray:
+    """The smoothed loss at b + s * way for every halved step s."""
+    held, r, move = _held(x, t, levels, epsilon, C), t - x @ b, x @ way
+    out = []
+    for s in _HALVINGS:
+        a = _pull(r - s * move, epsilon, mu, C, held)
+        out.append(_loss(r - s * move, a, epsilon, mu, held).sum())
+    return np.array(out)
+
+
+@dataclass
+class Fit:
+    """Where the fit of one group stands."""
+
+    b: np.ndarray
+    mu: float
+    C: float
+    tol: float
+    levels: list = field(default_factory=list)
+    passes: int = 0  # in this level
+    before: tuple | None = None  # the last point of this level, its objective and, in a search, the step
+    searching: bool = False
+    done: bool = False
+
+    def sums(self, x, t, epsilon):
+        if self.searching:
+            return search_sums(x, t, self.levels, self.before[0], self.before[2], self.mu, epsilon, self.C)
+        return row_sums(x, t, self.levels, self.b, self.mu, epsilon, self.C)
+
+    def advance(self, sums: np.ndarray) -> None:
+        """Use the sums at the current point: end, halve a step that failed, or take the next one."""
+        self.passes += 1
+        if self.searching:
+            start, _, way = self.before
+            tried = [(start + s * way)[1:] @ (start + s * way)[1:] / 2 + v for s, v in zip(_HALVINGS, sums)]
+            self.b, self.searching, self.before = start + _HALVINGS[int(np.argmin(tried))] * way, False, None
+            return
+        q = len(self.b)
+        a, tail = np.zeros((q, q)), q * (q + 1) // 2
+        a[np.triu_indices(q)] = sums[:tail]
+        a = a + np.triu(a, 1).T
+        moved, pull, loss, rows_gap = sums[tail : tail + q], sums[tail + q : tail + 2 * q], sums[-2], sums[-1]
+        value = self.b[1:] @ self.b[1:] / 2 + loss
+        if self.before is not None and value > self.before[1] + 1e-12 * abs(self.before[1]):
+            start, old, _ = self.before
+            self.before, self.searching = (start, old, self.b - start), True
+            return
+        # |b - sum of pulls|^2 / 2 + the rows' share bounds how far the objective is above its least value, once the dual values sum to 0.
+        off = pull - np.concatenate([[0.0], self.b[1:]])
+        still = off[1:] @ off[1:] / 2
+        goal = self.tol**2 * max(float(self.b[1:] @ self.b[1:]), 1e-12) / 2
+        level = abs(off[0]) <= 1e-5 * self.C
+        if level and still + rows_gap <= goal:
+            self.done = True
+            return
+        settled = still <= max(3 * rows_gap, 0.1 * goal)
+        if settled:
+            self.levels.append((self.b, self.mu))
+            shrink = 0.5 if self.passes <= 5 else 1.0
+            off, self.mu, self.passes = off + moved / shrink, self.mu * shrink, 0
+        # With no free row the intercept would be free.
+        hold = np.diag([1e-10 * max(a[0, 0], 1.0) / self.mu] + [1.0] * (q - 1))
+        self.before = None if settled else (self.b, value, None)
+        self.b = self.b + np.linalg.solve(hold + a / self.mu, off)
+
 
-def fit_svr(train: DataFrame, features, y: str, keys, C=1.0, epsilon=0.1, steps=40, tol=1e-4, floor=1e-4) -> dict:
+def fit_svr(train: DataFrame, features, y: str, keys, C=1.0, epsilon=0.1, tol=1e-4, most_passes=500) -> dict:
     """{key: [intercept, coef...]} minimising |beta|^2/2 + C * sum(max(|y - f| - epsilon, 0)) per key.
 
-    The loss is half the sum of |r - epsilon| and |r + epsilon| minus epsilon; each absolute value is majorised by
-    a parabola at the current fit, so a step is one weighted cross-product aggregate over the data and a p x p solve.
+    Proximal steps on the dual round the corners of the loss; each is solved by Newton steps, one cross-product aggregate over
+    the data and a p x p solve each. A step that raises the objective is halved. A group ends when its duality gap proves its
+    coefficients within `tol` times their length of the optimum. Groups that have not ended after `most_passes` raise an error.
     Only (keys x p^2) numbers reach the driver. `train` is read once per step: stage or cache it.
     """
     features, keys = list(features), list(keys)
     p = len(features)
     kinds = dict(train.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["i int, j int, value double"])
-    cols = [F.col(c).cast("double").alias(c) for c in [*features, y]]
-    rows = train.select(*keys, *cols).dropna("any", subset=[*features, y])
-    beta: dict = {}
-    left, right = np.triu_indices(p + 2)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["i int, value double"])
+    rows = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*features, y]]).dropna("any", subset=[*features, y])
+    start = rows.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd")).toPandas()
+    fits: dict = {}
+    for *key, mean, sd in start[[*keys, "_mean", "_sd"]].itertuples(index=False, name=None):
+        fits[tuple(key)] = Fit(np.concatenate([[mean], np.zeros(p)]), max(sd, 1e-6) / C, C, tol)
 
-    def one_step(current):
+    def one_pass(current):
         def partial(batches):
             sums: dict = {}
             for pdf in batches:
                 for key, part in pdf.groupby(keys, sort=False):
                     key = key if isinstance(key, tuple) else (key,)
+                    if key not in current:
+                        continue
                     x = np.column_stack([np.ones(len(part)), part[features].to_numpy(dtype=float)])
                     t = part[y].to_numpy(dtype=float)
-                    b = current.get(key)
-                    r = t - x @ b if b is not None else t
-                    up, down = r - epsilon, r + epsilon
-                    if b is None:
-                        w1 = w2 = np.ones(len(part))
-                    else:
-                        w1, w2 = 1 / np.maximum(np.abs(up), floor), 1 / np.maximum(np.abs(down), floor)
-                    w = (w1 + w2) / 2
-                    aim = t - epsilon * (w1 - w2) / (w1 + w2)
-                    z = np.column_stack([x, aim])
-                    sums[key] = sums.get(key, 0.0) + ((z * w[:, None]).T @ z)[left, right]
+                    sums[key] = sums.get(key, 0.0) + current[key].sums(x, t, epsilon)
             for key, block in sums.items():
-                frame = pd.DataFrame({"i": left.astype("int32"), "j": right.astype("int32"), "value": block})
+                frame = pd.DataFrame({"i": np.arange(len(block), dtype="int32"), "value": block})
                 for name, value in zip(keys, key):
                     frame[name] = value
-                yield frame[[*keys, "i", "j", "value"]]
+                yield frame[[*keys, "i", "value"]]
 
-        return rows.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("value").alias("value")).toPandas()
+        return rows.mapInPandas(partial, schema).groupBy(*keys, "i").agg(F.sum("value").alias("value")).toPandas()
 
-    for _ in range(steps):
-        sums, moved = one_step(dict(beta)), 0.0
-        for key, part in sums.groupby(keys, sort=False):
+    for _ in range(most_passes):
+        current = {k: f for k, f in fits.items() if not f.done}
+        if not current:
+            return {k: f.b for k, f in fits.items()}
+        for key, part in one_pass(current).groupby(keys, sort=False):
             key = key if isinstance(key, tuple) else (key,)
-            a = np.zeros((p + 2, p + 2))
-            a[part["i"], part["j"]] = part["value"]
-            a[part["j"], part["i"]] = part["value"]
-            penalty = np.diag([0.0] + [1.0] * p)
-            new = np.linalg.solve(C * a[: p + 1, : p + 1] + penalty + 1e-12 * np.eye(p + 1), C * a[: p + 1, p + 1])
-            old = beta.get(key)
-            moved = max(moved, np.inf if old is None else float(np.max(np.abs(new - old)) / max(1e-12, np.max(np.abs(new)))))
-            beta[key] = new
-        if moved < tol:
-            break
-    return beta
+            fits[key].advance(part.sort_values("i")["value"].to_numpy())
+    if all(f.done for f in fits.values()):
+        return {k: f.b for k, f in fits.items()}
+    raise RuntimeError(f"support vector regression did not settle after {most_passes} passes: {[k for k, f in fits.items() if not f.done]}")
 
 
 def svr_table(spark, beta: dict, keys, kinds: dict) -> DataFrame:

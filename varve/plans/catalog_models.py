@@ -222,7 +222,7 @@ def k2(spark, d):
 @query("K4_linear_svr")
 def k4(spark, d):
     prepared = R.prepare(baseline_rows(spark, d), spec(folds=3))
-    preds, _ = R.svr_predictions(prepared, prepared.frame(), steps=15)
+    preds, _ = R.svr_predictions(prepared, prepared.frame())
     return preds
 
 

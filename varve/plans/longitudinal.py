@@ -167,22 +167,22 @@ def predict_across(df: DataFrame, spec: R.Spec, timepoint, baseline, follow_up,
     return R.nested_cv(cross_visit(df, spec, timepoint, baseline, follow_up, score_range), spec, models, svr)
 
 
-def prospective(df: DataFrame, spec: R.Spec, timepoint, baseline, follow_up, perms=20, draws=200) -> dict[str, DataFrame]:
+def prospective(df: DataFrame, spec: R.Spec, timepoint, baseline, follow_up, perms=20, draws=200, model="ridge") -> dict[str, DataFrame]:
     """Follow-up score with the baseline score residualized away, its permutation p and bootstrap interval."""
     from varve.operators.evaluation import bootstrap_regression
 
     rows = stage(cross_visit(df, spec, timepoint, baseline, follow_up))
     aware = replace(spec, residualize=(*spec.residualize, f"{spec.target}_baseline"))
-    result = R.nested_cv(rows, aware)
-    null, p = R.permutation_null(rows, aware, perms, alternative="greater")
+    result = R.nested_cv(rows, aware, () if model == "svr" else (model,), model == "svr")
+    null, p = R.permutation_null(rows, aware, perms, model, alternative="greater")
     boot = bootstrap_regression(result["predictions"], [spec.id], "y", "yhat", draws)
     return {**result, "null": null, "p": p, "bootstrap": boot}
 
 
-def delta_model(wide: DataFrame, spec: R.Spec, first="baseline", second="year2", models=("ridge",)) -> dict[str, DataFrame]:
+def delta_model(wide: DataFrame, spec: R.Spec, first="baseline", second="year2", models=("ridge",), svr=False) -> dict[str, DataFrame]:
     """Nested CV of the change score on baseline features."""
     rows = change_scores(wide, spec.target, first, second).withColumn("_delta", F.col("delta_target"))
-    return R.nested_cv(rows, replace(spec, target="_delta", score_range=None), models)
+    return R.nested_cv(rows, replace(spec, target="_delta", score_range=None), models, svr)
 
 
 def worsening_classifiers(wide: DataFrame, target: str, task: C.Task, models=("svm",), first="baseline", second="year2", factor=0.5) -> DataFrame:

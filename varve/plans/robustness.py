@@ -61,7 +61,7 @@ def split_halves(df: DataFrame, spec: R.Spec, iterations=10, model="ridge") -> t
     halves = random_halves(prepared.rows, spec.family, iterations, spec.seed)
     rows = prepared.rows.join(halves, spec.family)
     groups = ["iteration", "half"]
-    scores = G.pooled_r(R.fits(prepared, prepared.frame(groups, rows=rows), [model], groups=groups), groups)
+    scores = R.pooled(prepared, prepared.frame(groups, rows=rows), model, groups)
     table = stage_small(scores.groupBy("iteration").agg(
         F.max(F.when(F.col("half") == "a", F.col("pearson_r"))).alias("r_first_half"), F.max(F.when(F.col("half") == "b", F.col("pearson_r"))).alias("r_second_half")
     ))
@@ -73,8 +73,21 @@ def split_halves(df: DataFrame, spec: R.Spec, iterations=10, model="ridge") -> t
 
 
 def leave_one_out(df: DataFrame, spec: R.Spec, model="ridge") -> DataFrame:
-    """(feature, r_without, delta_r): each feature's row and column leave the cross products; nothing is rescanned."""
+    """(feature, r_without, delta_r): each feature's row and column leave the cross products; nothing is rescanned.
+
+    For `svr` every feature left out is a group of one fit, in which its column is zero.
+    """
     prepared = R.prepare(df, spec)
+    if model == "svr":
+        names = spec.inputs
+        tall = stage(prepared.frame()).withColumn("_without", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
+        blanked = {c: F.when(F.col("_without") == i + 1, F.lit(0.0)).otherwise(F.col(c)) for i, c in enumerate(names)}
+        scores = stage_small(R.pooled(prepared, tall.withColumns(blanked), model, ["_without"]))
+        base = scores.where("_without = 0").select("pearson_r").scalar()
+        feature = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_without"))
+        return scores.where("_without > 0").select(
+            feature.alias("feature"), F.col("pearson_r").alias("r_without"), (base - F.col("pearson_r")).alias("delta_r")
+        ).orderBy(F.desc("delta_r"), "feature")
     scores = stage_small(G.pooled_r(R.fits(prepared, prepared.frame(), [model], drop_each=True)))
     mark = f"{model}-without-"
     base = scores.where(F.col("model") == model).select("pearson_r").scalar()
@@ -108,7 +121,7 @@ def compare_networks(df: DataFrame, spec: R.Spec, networks: dict[str, tuple[str,
     out = None
     for name, features in networks.items():
         variant = replace(spec, features=tuple(features))
-        part = G.pooled_r(R.fits(prepared, prepared.frame(spec=variant), [model], spec=variant)).withColumn("network", F.lit(name))
+        part = R.pooled(prepared, prepared.frame(spec=variant), model, spec=variant).withColumn("network", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.select("network", "pearson_r", "n")
 
@@ -129,7 +142,7 @@ def one_per_family(df: DataFrame, spec: R.Spec, iterations=10, model="ridge", le
     tall = prepared.rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     chosen = random_member(tall, spec.family, spec.id, F.col("it"), spec.seed)
     rows = stage(chosen.drop(spec.family).join(prepared.rows, spec.id))
-    table = stage_small(G.pooled_r(R.fits(prepared, prepared.frame(["iteration"], rows=rows), [model], groups=["iteration"]), ["iteration"]).select("iteration", "pearson_r"))
+    table = stage_small(R.pooled(prepared, prepared.frame(["iteration"], rows=rows), model, ["iteration"]).select("iteration", "pearson_r"))
     a = (1 - level) / 2
     summary = table.agg(
         F.median("pearson_r").alias("median"), F.percentile("pearson_r", F.lit(a)).alias("lower"), F.percentile("pearson_r", F.lit(1 - a)).alias("upper"),
@@ -142,7 +155,7 @@ def by_group_cv(df: DataFrame, spec: R.Spec, group: str, model="ridge") -> DataF
     """Independent nested CV per group value (sex); the group leaves the covariates because it is constant there."""
     less = replace(spec, covariates=tuple(c for c in spec.covariates if c != group), residualize=tuple(c for c in spec.residualize if c != group))
     prepared = R.prepare(df, less, keep=[group])
-    return G.pooled_r(R.fits(prepared, prepared.frame([group]), [model], groups=[group]), [group])
+    return R.pooled(prepared, prepared.frame([group]), model, [group])
 
 
 def alternative_targets(df: DataFrame, spec: R.Spec, targets, model="ridge") -> DataFrame:
@@ -151,6 +164,6 @@ def alternative_targets(df: DataFrame, spec: R.Spec, targets, model="ridge") ->
     for name, (target, score_range) in targets.items():
         variant = replace(spec, target=target, score_range=score_range)
         prepared = R.prepare(df, variant)
-        part = G.pooled_r(R.fits(prepared, prepared.frame(), [model])).withColumn("study", F.lit(name))
+        part = R.pooled(prepared, prepared.frame(), model).withColumn("study", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.select("study", "pearson_r", "r2", "n")
