@@ -19,7 +19,7 @@ def site_moments_of_z(n, sc, scc, sx, sxx, scx, alpha, beta, sigma):
     return total, square
 
 
-def shrink(n, total, square, gamma, delta, tol=1e-4, limit=500):
+def shrink(n, total, square, gamma, delta, tol=1e-4, limit=10_000):
     """Posterior location and scale of one site over its features, by the fixed-point iteration."""
     prior_mean, prior_var = gamma.mean(), gamma.var(ddof=1)
     m, s2 = delta.mean(), delta.var(ddof=1)
@@ -31,13 +31,13 @@ def shrink(n, total, square, gamma, delta, tol=1e-4, limit=500):
         g_new = (prior_var * n * gamma + d * prior_mean) / (prior_var * n + d)
         spread = square - 2 * g_new * total + n * g_new**2
         d_new = (b + 0.5 * spread) / (n / 2 + a - 1)
-        change = max(
-            np.max(np.abs(g_new - g) / np.maximum(np.abs(g), 1e-12)), np.max(np.abs(d_new - d) / np.maximum(np.abs(d), 1e-12))
-        )
+        # A feature without spread has no effect to settle.
+        moved = np.append(np.abs(g_new - g) / np.maximum(np.abs(g), 1e-12), np.abs(d_new - d) / np.maximum(np.abs(d), 1e-12))
+        change = np.nanmax(moved, initial=0.0)
         g, d = g_new, d_new
         if change < tol:
-            break
-    return g, d
+            return g, d
+    raise RuntimeError(f"site effects did not settle after {limit} steps")
 
 
 def fit_sites(n, sc, scc, sx, sxx, scx, eb=True, reference=None):

@@ -81,7 +81,7 @@ def _matrix(pdf: pd.DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def solve_linear(n, sum_x, sum_y, xx, xy, model: Linear, steps=2000, tol=1e-9):
+def solve_linear(n, sum_x, sum_y, xx, xy, model: Linear, steps=20_000, tol=1e-9):
     """Intercept and coefficients from centred cross products; the intercept is not penalised."""
     mean_x, mean_y = sum_x / n, sum_y / n
     s = xx - n * np.outer(mean_x, mean_x)
@@ -102,6 +102,8 @@ def solve_linear(n, sum_x, sum_y, xx, xy, model: Linear, steps=2000, tol=1e-9):
                 biggest, beta[g] = max(biggest, abs(new - beta[g])), new
             if biggest < tol:
                 break
+        else:
+            raise RuntimeError(f"{model.name} did not settle after {steps} sweeps")
     return np.concatenate([[mean_y - mean_x @ beta], beta])
 
 

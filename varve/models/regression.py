@@ -18,7 +18,7 @@ from varve.operators.resample import permutation_pvalue, permute
 from varve.operators.shape import quantile_bin
 from varve.operators.splits import assign_folds, assign_group_folds, stratification_key
 from varve.operators.weighting import apply_scaler, fit_scaler, inverse_bin_weights, inverse_value_weights, runs
-from varve.session import stage, stage_small
+from varve.session import stage
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def predict(prepared: Prepared, frame: DataFrame, fitted: DataFrame, groups=(),
     """Held-out rows: (groups..., id, fold, model, y, yhat), y residualized by its fold's training fit."""
     spec, groups = spec or prepared.spec, list(groups)
     held = frame.where(~F.col("is_train")).where(complete([*spec.inputs, *prepared.resid]))
-    small = stage_small(fitted.where(F.col("target") == spec.target).select(*groups, "run", "model", "coef", "resid"))
+    small = stage(fitted.where(F.col("target") == spec.target).select(*groups, "run", "model", "coef", "resid"))
     joined = held.join(small, [*groups, "run"])
     cov = prepared.resid if prepared.resid else []
     fitted_y = G.linear_value("coef", spec.inputs)
@@ -162,7 +162,7 @@ def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None,
     keys = [*groups, "run"]
     s = {"C": 1.0, "epsilon": 0.1, **spec.models.get("svr", {}), **params}
     base = fits(prepared, frame, ["ridge"], groups=groups, spec=spec)
-    small = stage_small(base.select(*keys, "resid", "y_mean", "y_sd"))
+    small = stage(base.select(*keys, "resid", "y_mean", "y_sd"))
     y = F.col(spec.target) - (G.linear_value("resid", prepared.resid) if prepared.resid else F.lit(0.0))
     scored = frame.where(complete([*spec.inputs, *prepared.resid])).join(small, keys).withColumn("_y", y)
     sd = F.when(F.col("y_sd") > 0, F.col("y_sd")).otherwise(F.lit(1.0))
@@ -195,7 +195,7 @@ def pooled(prepared: Prepared, frame: DataFrame, model="ridge", groups=(), spec=
 def forest_predictions(prepared: Prepared, frame: DataFrame, spec=None, **params) -> DataFrame:
     """Random-forest regression, one data-parallel fit per run."""
     spec = spec or prepared.spec
-    base = stage_small(fits(prepared, frame, ["ridge"], spec=spec).select("run", "resid"))
+    base = stage(fits(prepared, frame, ["ridge"], spec=spec).select("run", "resid"))
     y = F.col(spec.target) - (G.linear_value("resid", prepared.resid) if prepared.resid else F.lit(0.0))
     ready = assemble(frame.where(complete([*spec.inputs, *prepared.resid])).join(base, "run").withColumn("y", y), spec.inputs)
     out = None
@@ -214,7 +214,7 @@ def nested_cv(df: DataFrame, spec: Spec, models=("ridge",), svr=False, forest=Fa
     prepared = prepare(df, spec)
     frame = prepared.frame()
     # The residualizer's terms come with a linear model; without one they are those of ridge.
-    fitted = stage_small(fits(prepared, frame, models or ("ridge",)))
+    fitted = stage(fits(prepared, frame, models or ("ridge",)))
     preds = predict(prepared, frame, fitted if models else fitted.limit(0))
     if svr:
         preds = preds.unionByName(svr_predictions(prepared, frame)[0])
@@ -259,12 +259,12 @@ def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", group
         many = stage(prepared.frame(groups)).join(real.unionByName(shuffled), spec.id).drop(spec.target).withColumnRenamed("_target", spec.target)
         scores = pooled(prepared, many, model, [*groups, "_draw"])
         target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("_perm"), F.col("_draw")))
-        return _against_null(stage_small(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
+        return _against_null(stage(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
     wide = tall.groupBy(spec.id).agg(*[F.max(F.when(F.col("perm") == j, F.col("permuted"))).alias(f"_perm{j}") for j in range(perms)])
     rows = stage(rows.join(wide, spec.id))
     frame = prepared.frame(groups, rows=rows)
     targets = [spec.target, *[f"_perm{j}" for j in range(perms)]]
-    scores = stage_small(G.pooled_r(fits(prepared, frame, [model], targets, groups), groups))
+    scores = stage(G.pooled_r(fits(prepared, frame, [model], targets, groups), groups))
     return _against_null(scores, spec.target, groups, alternative)
 
 
@@ -285,7 +285,7 @@ def permutation_importance(prepared: Prepared, frame: DataFrame, fitted: DataFra
     """
     spec = prepared.spec
     held = frame.where(~F.col("is_train")).where(complete([*spec.inputs, *prepared.resid]))
-    small = stage_small(fitted.where(F.col("target") == spec.target).select("run", "coef", "resid"))
+    small = stage(fitted.where(F.col("target") == spec.target).select("run", "coef", "resid"))
     y = F.col(spec.target) - (G.linear_value("resid", prepared.resid) if prepared.resid else F.lit(0.0))
     scored = held.join(small, "run").select(spec.id, "run", y.alias("y"), G.linear_value("coef", spec.inputs).alias("yhat"), "coef", *spec.inputs)
     scored = stage(scored)

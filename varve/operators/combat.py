@@ -15,7 +15,7 @@ from varve.operators.missing import any_null
 from varve.operators.prep import complete, covariate_frame, drop_small_groups, range_filter, target_filter
 from varve.operators.shape import melt
 from varve.operators.weighting import apply_residualizer, fit_residualizer
-from varve.session import stage, stage_small
+from varve.session import stage
 
 MIN_ROWS = 30
 
@@ -100,7 +100,7 @@ def fit_site_model(
 
     # One group is one model: sites x features rows of sums.
     grouped = moments.groupBy(*groups) if groups else moments.withColumn("_all", F.lit(0)).groupBy("_all")
-    return SiteModel(stage_small(grouped.applyInPandas(fit, schema)), features, covariates, site, groups, scale)
+    return SiteModel(stage(grouped.applyInPandas(fit, schema)), features, covariates, site, groups, scale)
 
 
 def _maps(pdf, features, q, groups, mu_x, mu_c, eb, scale, harmonize, reference, min_variance):

@@ -285,17 +285,16 @@ def intervals(draws: DataFrame, groups, level=0.95) -> DataFrame:
 def bootstrap_classification(df: DataFrame, ids, y: str, pred: str, score: str | None, draws: int, seed=42, level=0.95) -> DataFrame:
     keep = [y, pred] + ([score] if score else [])
     ids = [ids] if isinstance(ids, str) else list(ids)
-    weighted = poisson_weights(df.select(*ids, *keep), ids, draws, seed, rows=df.count())
+    weighted = poisson_weights(df.select(*ids, *keep), ids, draws, seed)
     return intervals(classification_metrics(weighted, y, pred, score, ["b"], "w"), [], level)
 
 
 def bootstrap_regression(df: DataFrame, ids, y: str, pred: str, draws: int, seed=42, level=0.95, ranks=False) -> DataFrame:
     """Intervals of the regression metrics; `ranks` adds Spearman, which needs one ordering per draw."""
     ids = [ids] if isinstance(ids, str) else list(ids)
-    size = df.agg(F.avg(F.col(y).cast("double")).alias("mean"), F.count(F.lit(1)).alias("n")).first()
-    mean = size["mean"] or 0.0
+    mean = df.agg(F.avg(F.col(y).cast("double")).alias("mean")).first()["mean"] or 0.0
     moved = df.select(*ids, (F.col(y).cast("double") - mean).alias("_a"), (F.col(pred).cast("double") - mean).alias("_b"))
-    weighted = poisson_weights(moved, ids, draws, seed, rows=size["n"])
+    weighted = poisson_weights(moved, ids, draws, seed)
     out = tall_metrics(regression_sums(weighted, "_a", "_b", ["b"], "w"), ["b"], regression_exprs())
     if ranks:
         rho = spearman(weighted, "_a", "_b", ["b"], "w").select("b", F.lit("spearman_r").alias("metric"), F.coalesce("rho", F.lit(0.0)).alias("value"))
@@ -309,9 +308,9 @@ def bootstrap_correlations(df: DataFrame, ids, features, target: str, draws: int
     from varve.operators.shape import melt
 
     ids = [ids] if isinstance(ids, str) else list(ids)
-    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*features, target]], F.count(F.lit(1)).alias("_n")).first()
+    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*features, target]]).first()
     centred = df.select(*ids, *[(F.col(c).cast("double") - F.lit(mean[c] or 0.0)).alias(c) for c in [*features, target]])
-    weighted = poisson_weights(centred, ids, draws, seed, rows=mean["_n"])
+    weighted = poisson_weights(centred, ids, draws, seed)
     tall = melt(weighted, ["b", "w", target], features)
     sums = regression_sums(tall, target, "value", ["b", "feature"], "w")
     rs = sums.select("b", "feature", regression_exprs()["pearson_r"].alias("value"))

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from varve.functions.hashing import hash_key
-from varve.session import stage_small
+from varve.session import stage, stage_small
 
 HASH_DIGITS = 4  # 16^4 buckets per stratum
-BOUNDARY_ROWS = 2_000_000  # a larger boundary bucket is cut once more before it is sorted
 SUB_BUCKETS = 4096
 
 
@@ -44,7 +43,7 @@ def hash_parts(df: DataFrame, ids, limits, strata=(), seed=42, tag="part", out="
     )
     wanted = F.array(*[F.struct(F.lit(j).alias("j"), k.cast("long").alias("k")) for j, k in enumerate(limits(F.col("_n")))])
     low = F.col("_cum") - F.col("_c")
-    marks = stage_small(
+    marks = stage(
         counts.withColumn("_w", F.explode(wanted))
         .where(((F.col("_w.k") > low) & (F.col("_w.k") <= F.col("_cum"))) | ((F.col("_w.k") <= 0) & (low == 0)))
         .select("_s", "_b", F.col("_w.j").alias("_j"), F.greatest(F.col("_w.k") - low, F.lit(0)).alias("_r"))
@@ -115,7 +114,7 @@ def splitters(df: DataFrame, value: str, groups) -> DataFrame:
     """Per group: row count and approximate equal-count splitters, staged so every later pass sees the same."""
     buckets = bucket_count(df)
     points = F.expr("array(" + ",".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    return stage_small(
+    return stage(
         df.groupBy(*groups).agg(
             F.array_distinct(F.percentile_approx(value, points, 10 * buckets)).alias("_sp"),
             F.count(value).alias("_n"),
@@ -131,7 +130,7 @@ def _locate(buckets: int) -> Column:
     )
 
 
-def order_stats(df: DataFrame, value: str, probs, groups=(), boundary_rows=BOUNDARY_ROWS) -> DataFrame:
+def order_stats(df: DataFrame, value: str, probs, groups=()) -> DataFrame:
     """Exact linear-interpolation quantiles: one row (group..., prob, value) per group and probability.
 
     Counts per bucket locate the bucket holding each wanted position; only those buckets are read again, and
@@ -142,8 +141,7 @@ def order_stats(df: DataFrame, value: str, probs, groups=(), boundary_rows=BOUND
     cut = splitters(base, "_v", keys)
     bucketed = _same(base, cut, keys).withColumn("_b", _locate(bucket_count(df))).select(*keys, "_b", "_v")
     marks = _find_marks(bucketed, cut, keys, probs)
-    if (marks.agg(F.max("_c")).first()[0] or 0) > boundary_rows:
-        bucketed, marks = _refine(bucketed, marks, keys)
+    bucketed, marks = _refine(bucketed, marks, keys)
     hit = _same(bucketed, marks.select(*keys, "_b").distinct(), [*keys, "_b"])
     distinct = hit.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
     run = W.partitionBy(*keys, "_b").orderBy("_v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import scalars as S
 from varve.operators.ordering import order_stats
-from varve.session import stage_small
+from varve.session import stage, stage_small
 
 
 def timepoint_split(df: DataFrame, timepoint: str, baseline) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +116,7 @@ def iqr_filter(df: DataFrame, value: str, k: float = 3.0) -> DataFrame:
 
 def drop_small_groups(df: DataFrame, group: str, minimum: int) -> DataFrame:
     """Drop rows of groups with fewer than `minimum` rows; rows with a null group are kept."""
-    small = stage_small(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < minimum).select(group))
+    small = stage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < minimum).select(group))
     return df.join(small, group, "left_anti")
 
 

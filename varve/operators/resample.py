@@ -9,19 +9,15 @@ from varve.functions.hashing import hash_key, poisson1, uniform
 from varve.operators.ordering import hash_rank
 
 
-SPREAD_ROWS = 50_000_000
-
-
-def poisson_weights(df: DataFrame, ids, draws: int, seed=42, tag="boot", rows: int | None = None) -> DataFrame:
+def poisson_weights(df: DataFrame, ids, draws: int, seed=42, tag="boot") -> DataFrame:
     """Rows repeated per bootstrap `b` with a Poisson(1) weight `w` (rows drawn zero times are absent).
 
     The weights are independent per row, so every draw is one map-side combined aggregate with no join; one hash
-    supplies four draws. Sums of weights differ from n by sampling noise, which vanishes as n grows. A small input
-    sits in few partitions while the draws multiply its work: when `rows` is known and small, it is spread first.
+    supplies four draws. Sums of weights differ from n by sampling noise, which vanishes as n grows. The draws multiply
+    the work on a row, so rows are dealt evenly over the shuffle partitions before, while they are few.
     """
     ids = [ids] if isinstance(ids, str) else list(ids)
-    if rows is not None and rows <= SPREAD_ROWS:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *ids)
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
     blocks = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
     hashed = blocks.withColumn("_h", hash_key(ids, seed, F.concat(F.lit(f"{tag}|"), F.col("_k").cast("string"))))
     four = F.array(*[F.struct((F.col("_k") * 4 + p).alias("b"), uniform(F.col("_h"), p).alias("u")) for p in range(4)])

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from varve.functions.scalars import left_closed_bin
 from varve.operators.ols import ols
 from varve.operators.shape import melt, top_k
-from varve.session import stage_small
+from varve.session import stage, stage_small
 
 
 def inverse_bin_weights(df: DataFrame, y: str, edges, out="weight") -> DataFrame:
@@ -24,7 +24,7 @@ def inverse_bin_weights(df: DataFrame, y: str, edges, out="weight") -> DataFrame
 
 def inverse_value_weights(df: DataFrame, y: str, out="weight") -> DataFrame:
     """1 / count(y), scaled to mean one: the mean of 1/count over rows is distinct values / rows."""
-    counts = stage_small(df.groupBy(y).agg(F.count(F.lit(1)).alias("_c")))
+    counts = stage(df.groupBy(y).agg(F.count(F.lit(1)).alias("_c")))
     scale = counts.agg((F.sum("_c") / F.count(F.lit(1))).alias("s")).scalar()
     return df.join(counts, y).withColumn(out, scale / F.col("_c")).drop("_c")
 

@@ -72,7 +72,7 @@ def worsening_groups(df: DataFrame, features, pairs, worsened: str, site: str, c
 
 def attrition_tests(df: DataFrame, id_col, timepoint, baseline, follow_up, target, age, sex, male="male", female="female", min_n=5) -> DataFrame:
     """Retained against lost on age, severity (t) and sex (chi-square with correction): (measure, statistic, p, n...)."""
-    flags = stage_small(J.retained(df, id_col, timepoint, baseline, follow_up, target, [age, sex, target]))
+    flags = stage(J.retained(df, id_col, timepoint, baseline, follow_up, target, [age, sex, target]))
     kept = F.col("retained")
     m = A.two_groups(flags, [age, target], kept, ~kept).where((F.col("n1") > min_n) & (F.col("n2") > min_n))
     n1, m1, v1, n2, m2, v2 = (F.col(c) for c in ("n1", "mean1", "var1", "n2", "mean2", "var2"))
@@ -266,7 +266,7 @@ def mean_gap(df: DataFrame, id_col, group: Column, value: str, perms: int, draws
 
     rows = df.where(group.isNotNull() & F.col(value).isNotNull()).select(id_col, F.col(value).cast("double").alias("_v"), group.cast("boolean").alias("_g"))
     seen = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("_g").alias("n1"), (F.avg(F.when(F.col("_g"), F.col("_v"))) - F.avg(F.when(~F.col("_g"), F.col("_v")))).alias("gap")
+        F.count_if("_g").alias("n1"), (F.avg(F.when(F.col("_g"), F.col("_v"))) - F.avg(F.when(~F.col("_g"), F.col("_v")))).alias("gap")
     ).first()
     tall = rows.select(id_col, "_v").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
     dealt = hash_parts(tall, [id_col, "perm"], lambda n: [F.lit(seen["n1"])], ["perm"], seed, "gap", "_part")
@@ -274,7 +274,7 @@ def mean_gap(df: DataFrame, id_col, group: Column, value: str, perms: int, draws
         (F.avg(F.when(F.col("_part") == 0, F.col("_v"))) - F.avg(F.when(F.col("_part") == 1, F.col("_v")))).alias("gap")
     )
     p = null.agg(((1 + F.count_if(F.abs("gap") >= abs(seen["gap"]))) / (1 + F.count("gap"))).alias("p"))
-    boot = poisson_weights(rows, id_col, draws, seed, rows=seen["n"])
+    boot = poisson_weights(rows, id_col, draws, seed)
 
     def mean_of(cond):
         return F.sum(F.when(cond, F.col("w") * F.col("_v"))) / F.sum(F.when(cond, F.col("w")))
