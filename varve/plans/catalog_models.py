@@ -327,6 +327,11 @@ def m18(spark, d):
     return R.permutation_null(baseline_rows(spark, d), spec(), 20)[1]
 
 
+@query("M18_permutation_test_svr")
+def m18b(spark, d):
+    return R.permutation_null(baseline_rows(spark, d), spec(), 20, "svr")[1]
+
+
 @query("M19_sex_stratified")
 def m19(spark, d):
     return B.by_group_cv(baseline_rows(spark, d), spec(), "sex")
@@ -519,6 +524,11 @@ def r3(spark, d):
     return B.leave_one_out(baseline_rows(spark, d), spec())
 
 
+@query("R3_leave_one_out_svr")
+def r3b(spark, d):
+    return B.leave_one_out(baseline_rows(spark, d), spec(), "svr")
+
+
 POOL = "select p_brand as feature, corr(p_size, p_retailprice) r from part group by 1"
 
 
