@@ -393,9 +393,9 @@ def n1(spark, d):
     return _long_wide(spark, d)[0].select("id", "yr", "tp_idx", "qty_lh")
 
 
-@query("N2_change_scores", f"{WIDE} select id, round(target_year2 - target_baseline, 2) as delta_target, cast(target_year2 > target_baseline as int) as worsened from wi where target_year2 is not null and target_baseline is not null")
+@query("N2_change_scores", f"{WIDE} select id, round(target_year2 - target_baseline, 4) as delta_target, cast(target_year2 > target_baseline as int) as worsened from wi where target_year2 is not null and target_baseline is not null")
 def n2(spark, d):
-    return N.change_scores(_long_wide(spark, d)[1], "target").select("id", F.round("delta_target", 2).alias("delta_target"), "worsened")
+    return N.change_scores(_long_wide(spark, d)[1], "target").select("id", F.round("delta_target", 4).alias("delta_target"), "worsened")
 
 
 @query("N3_worsening_cohort", f"{WIDE}, th as (select 0.5 * stddev_samp(target_baseline) t from wi where target_baseline is not null) select id, cast(target_year2 - target_baseline >= t as int) as worsened from wi, th where target_year2 is not null and target_baseline is not null")
