@@ -406,7 +406,7 @@ def n3(spark, d):
 @query("N4_worsening_groups")
 def n4(spark, d):
     rows = N.worsening_cohort(_long_wide(spark, d)[1], "target")
-    return N.worsening_groups(rows, list(DISC), PAIRS[:2], "worsened", "site", ["age"])
+    return N.worsening_groups(rows, FEATURES, PAIRS, "worsened", "site", ["age"])
 
 
 @query(
@@ -435,7 +435,7 @@ def n7(spark, d):
 @query("N8_stability")
 def n8(spark, d):
     rows = visits(spark, d).where(F.col("yr").isin(list(VISITS.values())))
-    return N.stability(rows, "yr", list(DISC), PAIRS[:2], "target", "site", ["age"], min_severity=50_000)[1]
+    return N.stability(rows, "yr", FEATURES, PAIRS, "target", "site", ["age"], min_severity=50_000)[1]
 
 
 @query("N9_cross_visit_prediction")
@@ -555,7 +555,7 @@ def r6q(spark, d):
 
 @query("R5_sex_stratified_harmonized")
 def r5b(spark, d):
-    return B.stratified_correlations(visits(spark, d), "sex", PAIRS[:2], "target", 30, "site", ["age"])
+    return B.stratified_correlations(visits(spark, d), "sex", PAIRS, "target", 30, "site", ["age"])
 
 
 @query("R7_one_per_family")

@@ -107,6 +107,14 @@ def a7(spark, d):
     return readers.read_csv(spark, f"{folder}/cohort.csv", schema=spark.read.parquet(f"{folder}/cohort.parquet").schema)
 
 
+@query("A5_dictionary", "select 'part_' || p_partkey as feature, p_name as label from part", cohort=False)
+def a5(spark, d):
+    folder = fresh(spark, "dictionary")
+    named = table(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("var_name"), F.col("p_name").alias("var_label"))
+    named.write.csv(folder, header=True)
+    return readers.read_dictionary(spark, folder)
+
+
 @query("A8_qc_sink", "select id, yr, qc, coalesce(qc <= 6, false) as qc_pass, case when qc is null then 'missing_surface_holes' when qc > 6 then 'surface_holes_gt_threshold' end as qc_reason from visits")
 def a8(spark, d):
     folder = fresh(spark, "qc")
@@ -587,9 +595,13 @@ def e3(spark, d):
     return E.family_statistics(visits(spark, d), "family", "id")
 
 
-@query("E4_crosstab", "select o_orderstatus, " + ", ".join(f"count(*) filter (where o_orderpriority = '{p}') as \"o_orderpriority_{p}\"" for p in ("1-URGENT", "2-HIGH")) + " from orders group by 1", cohort=False)
+# The levels of o_orderpriority.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("E4_crosstab", "select o_orderstatus, " + ", ".join(f"count(*) filter (where o_orderpriority = '{p}') as \"o_orderpriority_{p}\"" for p in PRIORITIES) + " from orders group by 1", cohort=False)
 def e4(spark, d):
-    return E.crosstab(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "2-HIGH"])
+    return E.crosstab(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", PRIORITIES)
 
 
 QCUT = "q as (select quantile_cont(target, 0.2) a, quantile_cont(target, 0.4) b, quantile_cont(target, 0.6) c, quantile_cont(target, 0.8) d from visits)"

@@ -91,7 +91,7 @@ def f5(spark, d):
     "F6_fold_diagnostics",
     f"""with f as {FOLDED}
     select fold, (select count(*) from f) - count(*) as n_train, count(*) as n_test, round(avg(o_totalprice), 4) as mean_test, round(stddev_pop(o_totalprice), 2) as sd_test,
-    5 as sites_train, count(distinct o_orderpriority) as sites_test from f group by fold""",
+    (select count(distinct g.o_orderpriority) from f g where g.fold <> f.fold) as sites_train, count(distinct o_orderpriority) as sites_test from f group by fold""",
     cohort=False,
 )
 def f6(spark, d):
