@@ -6,10 +6,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from varve.llm import bm25_search
 from varve.llm.bm25_search import bm25_top_k
 from varve.llm.decontaminate import compile_windows, contamination, find_windows, remove_spans
 from varve.llm.html_text import extract_main_text, main_text
@@ -290,6 +292,33 @@ def test_search_matches_brute_force(spark):
     assert bm25_top_k(docs_of(spark, rows).limit(0), asked).count() == 0
 
 
+def test_search_over_many_shards_prunes_nothing_of_the_answer(monkeypatch):
+    """A task that carries its scores from shard to shard finds what scoring every document in one piece finds, ties by id."""
+    monkeypatch.setattr(bm25_search, "SHARD_BYTES", 1)
+    rng = random.Random(10)
+    for k in (1, 3, 10):
+        texts = [" ".join(f"t{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(0, 120))) for _ in range(600)]
+        texts += texts[:40]
+        ids = np.arange(len(texts))
+        asked = bm25_search.read_queries(ids[::25], pa.array(texts[::25]))
+        counts, _, term, _ = bm25_search._occurrences(pa.array(texts), asked.vocabulary)
+        df = np.bincount(term, minlength=len(asked.vocabulary))
+        idf, mean = np.log1p((len(texts) - df + 0.5) / (df + 0.5)), counts.mean()
+        whole, weight = bm25_search.Shard(pa.array(texts), ids, asked.vocabulary, idf, mean, 1.2, 0.75), np.zeros(len(asked.vocabulary))
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 90]), pa.array(texts[i : i + 90])], names=["doc_id", "text"]) for i in range(0, len(texts), 90)]
+        shared = lambda value: type("Shared", (), {"value": value})
+        found = defaultdict(list)
+        for batch in bm25_search._searcher(shared(asked), shared((idf, mean)), k, 1.2, 0.75)(iter(batches)):
+            for r in batch.to_pylist():
+                found[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
+        for q, query in enumerate(asked.ids):
+            terms = asked.terms[asked.first[q] : asked.first[q + 1]]
+            docs = np.arange(len(ids)) if len(terms) else np.zeros(0, np.int64)
+            docs = docs[np.diff(whole.doc_first)[docs] > 0]
+            scores = [(int(whole.doc_ids[d]), round(float(s), 6)) for d, s in zip(docs, whole._scores(docs, terms, weight)) if s > 0] if len(docs) else []
+            assert found[query] == sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
+
+
 def test_tool_calls(spark):
     def call(conv, turn, id, args, name="f"):
         return (conv, turn, "assistant", '{"tool_calls":[{"id":%s,"function":{"name":"%s","arguments":%s}}]}' % (id, name, args))
