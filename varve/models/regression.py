@@ -7,14 +7,14 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.functions.scalars import asymmetry_columns, left_closed_bin
+from varve.functions.scalars import asymmetry_columns
 from varve.models import gram as G
 from varve.models.registry import assemble, linear_model, regressor, supports_weights
 from varve.models.svr import fit_svr, svr_table
 from varve.operators import evaluation as V
 from varve.operators.combat import _numeric, fit_site_model
 from varve.operators.prep import complete, drop_small_groups, iqr_filter, range_filter, target_filter
-from varve.operators.resample import permutation_pvalue, permute
+from varve.operators.resample import permute
 from varve.operators.shape import quantile_bin
 from varve.operators.splits import assign_folds, assign_group_folds, stratification_key
 from varve.operators.weighting import apply_scaler, fit_scaler, inverse_bin_weights, inverse_value_weights, runs
@@ -309,12 +309,3 @@ def importance_from_scores(scored: DataFrame, id_col: str, features, repeats: in
     drop = after.join(base, "run").withColumn("drop", F.col("r2") - F.col("value"))
     per_fold = drop.groupBy("run", "feature").agg(F.avg("drop").alias("m"), F.stddev_pop("drop").alias("s"))
     return per_fold.groupBy("feature").agg(F.avg("m").alias("importance"), F.avg("s").alias("within_sd"), F.stddev_pop("m").alias("between_sd")).orderBy(F.desc("importance"), "feature")
-
-
-def p_value(null: DataFrame, observed: float, alternative="two-sided") -> DataFrame:
-    return permutation_pvalue(null, "pearson_r", observed, (), alternative)
-
-
-def weight_bins(target: str, edges):
-    """Bin index used for inverse-frequency weights."""
-    return left_closed_bin(F.col(target), list(edges))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.session import stage_small
 
 
 def label_features(features: DataFrame, dictionary: DataFrame, feature="feature", label="label") -> DataFrame:
@@ -102,11 +101,6 @@ def paired(df: DataFrame, id_col, timepoint, first, second, columns, extra=()) -
     return both.where((F.col("_a") > 0) & (F.col("_b") > 0)).drop("_a", "_b")
 
 
-def attach_small(df: DataFrame, small: DataFrame, on, how="left") -> DataFrame:
-    """Join to an aggregate staged first, so that its real size decides between broadcast and shuffle."""
-    return df.join(stage_small(small), on, how)
-
-
 def retained(df: DataFrame, id_col, timepoint, baseline, follow_up, value, columns) -> DataFrame:
     """Baseline rows with a flag: does the subject have the value at follow-up?"""
     tp = F.col(timepoint)
