@@ -19,7 +19,7 @@ from varve.llm.langid import fit_languages, identify_language
 from varve.llm.license_scan import scan_licences, train_licences
 from varve.llm.mixing import block_quotas, mix_sources, mixed_documents, shard_quotas, source_targets
 from varve.llm.near_dedup import near_duplicate_groups
-from varve.llm.sharding import greedy_cuts, shard_documents, smallest_capacity
+from varve.llm.sharding import greedy_cuts, partition_cuts, shard_documents, smallest_capacity
 from varve.llm.substring_dedup import substring_dedup
 from varve.llm.tool_calls import link_tool_calls
 
@@ -236,6 +236,23 @@ def test_shards_are_even_and_gapless(spark):
     assert shard_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0, 0.1, 0.6, 30])
+def test_the_driver_holds_few_groups_beside_a_large_one(spark, monkeypatch, share):
+    n, shards = 30_000, 8
+    digest, size = F.md5(F.col("id").cast("string")), 20 + F.pmod(F.crc32(F.col("id").cast("string")), F.lit(100))
+    groups = spark.range(n).select(digest.alias("digest"), F.when(F.col("id") == 17, size + int(share * 70 * n)).otherwise(size).cast("long").alias("bytes")).cache()
+    rows = sorted((r.digest, r.bytes) for r in groups.collect())
+    held, collect = [], type(groups).collect
+    monkeypatch.setattr(type(groups), "collect", lambda df: held.append(collect(df)) or held[-1])
+    cuts = partition_cuts(groups, shards)
+    assert sum(map(len, held)) < 10_000  # 4,096 ranges
+    prefix = [0]
+    for _, b in rows:
+        prefix.append(prefix[-1] + b)
+    capacity = smallest_capacity(prefix, shards, max(max(b for _, b in rows), -(-prefix[-1] // shards)))
+    assert cuts == [rows[c - 1][0] for c in greedy_cuts(prefix, capacity, shards)[:-1] if c < n]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1

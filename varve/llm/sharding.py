@@ -1,8 +1,9 @@
 """Sharding by a minimax contiguous partition of ordered groups.
 
 Equal texts are one group; groups are ordered by a digest of their text. The smallest capacity for which a greedy cut needs no
-more shards than wanted is found by binary search over prefix sums. The driver holds the sums of digest ranges, and
-single groups only in the ranges where a cut can fall; both grow with the square root of the number of groups.
+more shards than wanted is found by binary search over prefix sums. The driver holds the sums of digest ranges, each large
+group as a sum of its own, and single groups only of the ranges that hold a cut for a capacity still in question; all
+grow with the square root of the number of groups.
 """
 
 from __future__ import annotations
@@ -41,40 +42,71 @@ def smallest_capacity(prefix: list[int], shards: int, low: int) -> int:
     return low
 
 
+def furthest_cuts(prefix: list[int], whole: list[bool], capacity: int, shards: int) -> list[int]:
+    """Upper bounds (sums, not indexes) on the ends of the fullest shards, as an entry that is not `whole` may be cut at any place."""
+    at, ends = 0, []
+    for _ in range(shards):
+        at = min(at + capacity, prefix[-1])
+        i = bisect.bisect_right(prefix, at) - 1
+        if i < len(whole) and whole[i]:
+            at = prefix[i]
+        ends.append(at)
+    return ends
+
+
+def open_entries(prefix: list[int], whole: list[bool], capacity: int, shards: int, limit: int) -> list[int]:
+    """Entries that must be split to know the cuts for `capacity`, those of the first cuts first; none if the cuts are known.
+
+    A later cut's bounds are as wide as all entries cut before it, so the list ends after `limit` entries: once the
+    first are split, few are left of the others."""
+    at, found = 0, {}
+    for end in furthest_cuts(prefix, whole, capacity, shards):
+        at = bisect.bisect_right(prefix, prefix[at] + capacity) - 1
+        for i in range(at, min(bisect.bisect_right(prefix, end), len(whole))):
+            if not whole[i] and end > prefix[i]:
+                found[i] = None
+            if len(found) >= limit:
+                return list(found)
+    return list(found)
+
+
 def partition_cuts(groups: DataFrame, shards: int) -> list[str]:
     """The last digest of each shard but the last one, for `groups(digest, bytes)`, one row per digest; fewer if fewer shards are needed."""
     about = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
     if not about["n"]:
         return []
+    spark = groups.sparkSession
     digits = max(2, math.ceil(math.log(9 * shards * about["n"], 16) / 2))
-    ranges = groups.groupBy(F.substring("digest", 1, digits).alias("range")).agg(F.sum("bytes").alias("bytes"))
-    rows = sorted((r["range"], r["bytes"]) for r in ranges.collect())
-    names = [r for r, _ in rows]
-    prefix = [0]
-    for _, b in rows:
-        prefix.append(prefix[-1] + b)
+    # A group as large as a mean range is an entry of its own: there are no more of them than ranges, and no cut is then wide.
+    ranged = groups.select("digest", "bytes", F.substring("digest", 1, digits).alias("range"))
+    alone: dict[str, list[str]] = {}
+    for r in ranged.where(F.col("bytes") >= about["total"] / 16**digits).select("range", "digest").collect():
+        alone.setdefault(r["range"], []).append(r["digest"])
+    big = spark.createDataFrame([(r, sorted(d)) for r, d in alone.items()], "range string, big array<string>")
+    # Pieces of a range: 0 before its first large group, 1 that group, 2 from there to the second, and so on.
+    before = F.size(F.filter("big", lambda d: d < F.col("digest")))
+    piece = F.when(F.col("big").isNull(), 0).otherwise(2 * before + F.array_contains("big", F.col("digest")).cast("int"))
+    pieces = ranged.join(big, "range", "left").select("range", piece.alias("piece"), "digest", "bytes")
+    sums = pieces.groupBy("range", "piece").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("digest").alias("last"))
+    entries = sorted((r["range"], r["piece"], r["last"], r["bytes"], r["n"]) for r in sums.collect())
     low = max(-(-about["total"] // shards), about["most"])
-    high = smallest_capacity(prefix, shards, low)  # cuts between ranges only: no better than cuts between groups
-    # A cut for a capacity in [low, high] lies between those of the coarse greedy at `low` and of an exact fill at `high`.
-    wanted, at = set(), 0
-    for k in range(1, shards):
-        at = bisect.bisect_right(prefix, prefix[at] + low) - 1
-        last = bisect.bisect_left(prefix, min(prefix[-1], k * high))
-        wanted.update(range(at, min(last, len(rows) - 1) + 1))
-    inside = {names[i] for i in wanted if i < len(rows)}
-    detail: dict[str, list[tuple[str, int]]] = {}
-    if inside:
-        chosen = groups.sparkSession.createDataFrame([(r,) for r in sorted(inside)], "range string")
-        fine = groups.withColumn("range", F.substring("digest", 1, digits)).join(chosen, "range", "left_semi")
-        for r in fine.select("range", "digest", "bytes").collect():
-            detail.setdefault(r["range"], []).append((r["digest"], r["bytes"]))
-    ends, fine_prefix = [""], [0]
-    for name, size in rows:
-        for digest, b in sorted(detail.get(name, [])) or [(name + "g", size)]:  # "g" sorts behind every hex digit
-            ends.append(digest)
-            fine_prefix.append(fine_prefix[-1] + b)
-    cuts = greedy_cuts(fine_prefix, smallest_capacity(fine_prefix, shards, low), shards)
-    return [ends[c] for c in cuts[:-1] if fine_prefix[c] < fine_prefix[-1]]
+    while True:
+        prefix, whole = [0], [n == 1 for *_, n in entries]
+        for *_, size, _ in entries:
+            prefix.append(prefix[-1] + size)
+        high = top = smallest_capacity(prefix, shards, low)  # cuts between entries only: no better than cuts between groups
+        while low < high:
+            mid = (low + high) // 2
+            if furthest_cuts(prefix, whole, mid, shards)[-1] < prefix[-1]:
+                low = mid + 1
+            else:
+                high = mid
+        split = {i for c in {low, (low + top) // 2} for i in open_entries(prefix, whole, c, shards, 64 + 2 * shards)}
+        if low == top and not split:
+            return [entries[c - 1][2] for c in greedy_cuts(prefix, low, shards)[:-1] if prefix[c] < prefix[-1]]
+        chosen = spark.createDataFrame([entries[i][:2] for i in split], "range string, piece int")
+        single = pieces.join(chosen, ["range", "piece"], "left_semi").select("range", "piece", "digest", "bytes").collect()
+        entries = sorted([e for i, e in enumerate(entries) if i not in split] + [(*r, 1) for r in single])
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
