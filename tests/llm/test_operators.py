@@ -16,7 +16,7 @@ from varve.llm.bm25_search import bm25_top_k
 from varve.llm.decontaminate import compile_windows, contamination, find_windows, remove_spans
 from varve.llm.html_text import extract_main_text, main_text
 from varve.llm.langid import fit_languages, identify_language
-from varve.llm.license_scan import scan_licences, train_licences
+from varve.llm.license_scan import fit_licences, scan_licences, train_licences
 from varve.llm.mixing import block_quotas, mix_sources, mixed_documents, shard_quotas, source_targets
 from varve.llm.near_dedup import near_duplicate_groups
 from varve.llm.sharding import greedy_cuts, partition_cuts, shard_documents, smallest_capacity
@@ -288,6 +288,27 @@ def test_licences(spark):
     assert scan_licences(docs_of(spark, rows).limit(0), model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    wrapped = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that the above\r\ncopyright notice",
+        "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+        "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either",
+    }
+    filler = " ".join(f"word{i}" for i in range(400))
+    plain = [f"The {a} of the {b} is in this work and the author" for a in "sun moon tree river house".split() for b in "day night year city road".split()]
+    rows = [(i, f"A title\n\n{t}\n\nMore.") for i, t in enumerate(wrapped.values())] + [(10 + i, f"{filler} {' '.join(t.split())} {filler}") for i, t in enumerate(wrapped.values())]
+    rows += [(20, "\n\n".join(wrapped.values())), (21, wrapped["mit"].replace("\n", "\n\n"))]
+    fitted = fit_licences(docs_of(spark, [(i, t) for i, t in enumerate([*plain, *wrapped.values()])]))
+    for model in (train_licences(plain), fitted):
+        got = {r.doc_id: r for r in scan_licences(docs_of(spark, rows), model).collect()}
+        for i, family in enumerate(wrapped):
+            assert [(n.paragraph, n.family) for n in got[i].notices] == [(2, family)]
+            assert got[10 + i].families == family and len(got[10 + i].notices) == 1
+        assert got[20].families == ",".join(sorted(wrapped)) and [n.paragraph for n in got[20].notices] == [0, 5, 8, 12, 16] and not got[21].notices
+
+
 def test_search_matches_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(f"t{int(rng.expovariate(0.08))}" for _ in range(rng.randrange(1, 60)))) for i in range(1, 300)] + [(900 + i, t) for i, (_, t) in enumerate(odd_rows())]
