@@ -277,6 +277,20 @@ def test_main_text(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_names_do_not_cut_the_article():
+    story = "<h1>Title</h1><p>One two three four five.</p>"
+    text = "Title\nOne two three four five."
+    for name in ("layout has-sidebar", "content-with-sidebar", "page-sidebar"):
+        assert main_text(f"<body><div class='{name}'><div class=body>{story}</div><div class=sidebar>s</div></div>") == text
+        assert main_text(f"<body><div class='{name}'><article>{story}</article><div class=sidebar><article>teaser</article></div></div>") == text
+    for name in ("post category-social", "comments-open", "social"):
+        assert main_text(f"<body><article class='{name}'>{story}</article><p>x") == text
+    assert main_text(f"<article><header class=entry-header><h1>Title</h1></header>{story[14:]}</article>") == text
+    assert main_text(f"<article><div class=post-header><h1>Title</h1></div>{story[14:]}<div class=post-share>s</div></article>") == text
+    assert main_text(f"<article>{story}<div id=comments><article>me too, and more than the story has in all of its words</article></div></article>") == text
+    assert main_text("<body><p>Words <span class=ad>buy</span> go on</p><div class='top-banner'>b</div>") == "Words go on"
+
+
 def test_licences(spark):
     plain = [f"The {a} of the {b} is in this work and the author" for a in "sun moon tree river house".split() for b in "day night year city road".split()]
     model = train_licences(plain)

@@ -3,7 +3,8 @@
 The pages of a host are merged into one tree of element styles (the tags and classes on the way from the root). A node is
 as important as its content and presentation are various: text that returns on every page of the host, in the same
 layout, has none. Branches of low importance are cut from each page. Markup that names its role (nav, footer, class="ad", an
-article) decides first: on a host with few pages, or with adverts that rotate, entropy alone cannot tell.
+article) decides first: on a host with few pages, or with adverts that rotate, entropy alone cannot tell. A class or id
+does so only by a whole name or its last part, and not for what holds the article or most of the page's text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _NOISE_NAMES = frozenset(
     sharing social related recommended recommendations comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager
     widget widgets toolbar login search copyright skip""".split()
 )
+_HEADER_NAMES = frozenset("header masthead".split())
+_STATES = frozenset("has with without no".split())  # "has-sidebar" tells of a part elsewhere
 _KEEP_TAGS = frozenset("html body main article".split())
 _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,7 +49,7 @@ _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "style", "parent", "noise", "main", "styled", "children")
+    __slots__ = ("tag", "style", "parent", "noise", "main", "styled", "children", "named", "holds_main", "chars")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         names, role, noise, main = "", "", False, tag in ("article", "main")
@@ -63,31 +66,75 @@ class Node:
         words = set(_NAME.findall(names))
         inside = parent is not None and parent.main
         noise |= tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not inside)
-        noise |= bool(words & _NOISE_NAMES) and (tag not in ("html", "body", "main"))
         self.tag, self.parent = tag, parent
         self.noise = noise or (parent is not None and parent.noise)
         self.main = inside or main or role == "main"
         self.styled = bool(words)
         self.style = (parent.style if parent else "") + ">" + tag + "".join("." + w for w in sorted(words))
         self.children: list[str] = []
+        self.holds_main, self.chars = False, 0
+        named = tag not in _KEEP_TAGS and _names_noise(names, inside)
+        self.named: Node | None = self if named else parent.named if parent is not None else None  # the innermost element about it that is noise by its name
+        if main or role == "main":
+            for n in self.naming():
+                n.holds_main |= not self.noise
         if parent is not None:
             parent.children.append(self.style.rpartition(">")[2])
 
 
+    def naming(self) -> Iterator[Node]:
+        n = self.named
+        while n is not None:
+            yield n
+            n = n.parent.named if n.parent is not None else None
+
+
+def _names_noise(names: str, inside: bool) -> bool:
+    """Whether a class or id is, or ends in, the name of a part that is not the article. An article's header has its title."""
+    for name in names.split():
+        parts = _NAME.findall(name)
+        if parts and parts[-1] in _NOISE_NAMES and not (inside and parts[-1] in _HEADER_NAMES) and not _STATES & set(parts[:-1]):
+            return True
+    return False
+
+
+def _settle_names(opened: list[Node], blocks: list[tuple[Node, list[tuple[Node, str]]]]) -> None:
+    """Makes noise of what is noise by its name, except what holds most of the page's text or, if no other is left, its article."""
+    if all(n.named is None for n in opened):
+        return
+    total = 0
+    for _, parts in blocks:
+        for node, raw in parts:
+            size = sum(map(len, raw.split()))
+            total += size
+            for n in node.naming():
+                n.chars += size
+    inside = lambda n: n.parent is not None and n.parent.main
+    spared = {n for n in opened if n.named is n and not inside(n) and 2 * n.chars > total}
+    live = lambda n: all(x in spared for x in n.naming())
+    while not any(n.main and not n.noise and live(n) for n in opened):
+        more = {n for n in opened if n.named is n and n.holds_main and n not in spared and (n.parent is None or live(n.parent))}
+        if not more:
+            break
+        spared |= more
+    for n in opened:
+        n.noise |= (n.named is n and n not in spared) or (n.parent is not None and n.parent.noise)
+
+
 def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block elements that are not noise, and the page's blocks of text with the element each stands in."""
     stack = [Node("html", "", None)]
-    nodes, blocks, texts = [], [], []
+    opened: list[Node] = []
+    blocks: list[tuple[Node, list[tuple[Node, str]]]] = []
+    texts: list[tuple[Node, str]] = []
 
     def flush() -> None:
         if texts:
-            text = " ".join("".join(texts).split())
+            at = stack[-1]
+            while at.tag in _INLINE and at.parent is not None:
+                at = at.parent
+            blocks.append((at, texts.copy()))
             texts.clear()
-            if text:
-                at = stack[-1]
-                while at.tag in _INLINE and at.parent is not None:
-                    at = at.parent
-                blocks.append((at, text))
 
     def close(upto: int) -> None:
         if any(n.tag not in _INLINE for n in stack[upto:]):
@@ -99,7 +146,7 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         m = _MARKUP.search(html, at)
         raw = html[at : m.start() if m else len(html)]
         if raw and not stack[-1].noise:
-            texts.append(unescape(raw))
+            texts.append((stack[-1], unescape(raw)))
         if not m:
             break
         at = m.end()
@@ -143,14 +190,15 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             flush()
         if tag in _VOID:
             if tag == "br" and not stack[-1].noise:
-                texts.append(" ")
+                texts.append((stack[-1], " "))
             continue
         node = Node(tag, m[3], stack[-1])
-        if tag not in _INLINE and not node.noise:
-            nodes.append(node)
+        opened.append(node)
         stack.append(node)
     flush()
-    return nodes, blocks
+    _settle_names(opened, blocks)
+    joined = ((at, " ".join("".join(raw for node, raw in parts if not node.noise).split())) for at, parts in blocks)
+    return [n for n in opened if n.tag not in _INLINE and not n.noise], [(at, text) for at, text in joined if text]
 
 
 def _code(text: str) -> int:
