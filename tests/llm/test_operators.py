@@ -291,6 +291,21 @@ def test_names_do_not_cut_the_article():
     assert main_text("<body><p>Words <span class=ad>buy</span> go on</p><div class='top-banner'>b</div>") == "Words go on"
 
 
+def test_main_text_of_small_hosts(spark):
+    """A block that all pages of a host have goes from two pages on; one page, copies of it, and a block of some pages do not decide."""
+    box = "<div class=box><p>Sign the guest book</p></div>"
+    page = lambda h, i, more="": f"<body>{box}<div class=body><p>Text {i} of {h}</p><p>More {i * 7}</p></div>{more}"
+    pages = [(100 * n + i, f"http://h{n}.example/{i}", page(n, i)) for n in (1, 2, 3, 7) for i in range(n)]
+    pages += [(900 + i, "http://copies.example/", page(9, 9)) for i in range(3)]
+    pages += [(1000 + i, f"http://some.example/{i}", page(10, i, "<div class=gallery><p>Same picture</p></div>" if i < 2 else "")) for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    for n in (2, 3, 7):
+        assert [got[100 * n + i] for i in range(n)] == [f"Text {i} of {n}\nMore {i * 7}" for i in range(n)]
+    assert got[100].startswith("Sign") and all(got[900 + i].startswith("Sign") for i in range(3))
+    assert got[1000] == "Text 0 of 10\nMore 0\nSame picture" and got[1003] == "Text 3 of 10\nMore 21"
+
+
 def test_licences(spark):
     plain = [f"The {a} of the {b} is in this work and the author" for a in "sun moon tree river house".split() for b in "day night year city road".split()]
     model = train_licences(plain)

@@ -211,12 +211,14 @@ def host_of(url: str | None) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and style: the distinct texts below it and the distinct layouts of its children."""
+    """Per page and style: the distinct texts below it and the distinct layouts of its children. Style 0 stands for the page; `page` is a code of its text."""
     for part in slices(batches, "html"):
         rows = []
         for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
             nodes, blocks = read_page(html or "")
-            host, seen = _code(host_of(url)), set()
+            host, page, seen = _code(host_of(url)), _code("\n".join(t for _, t in blocks)), set()
+            if blocks:
+                seen.add((0, False, 0, 0))
             for node in nodes:
                 if node.tag not in _KEEP_TAGS:
                     seen.add((_code(node.style), False, _code("|".join(node.children)), len(node.children)))
@@ -225,20 +227,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while node is not None and node.tag not in _KEEP_TAGS:
                     seen.add((_code(node.style), True, feature, 0))
                     node = node.parent
-            rows += [(host, *x) for x in seen]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "style", "content", "feature", "children"])
+            rows += [(host, page, *x) for x in seen]
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "page", "style", "content", "feature", "children"])
 
 
 def style_importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
-    """(host, style, pages, importance) for the style nodes of each host of `pages(url, html)`.
+    """(host, style, pages, importance, host_pages) for the style nodes of each host of `pages(url, html)`; pages of equal text count once.
 
     Over m pages a feature seen on k of them has entropy log(k) / log(m). Content importance is one less the mean entropy
     of the texts below the node; presentation importance is the entropy of the layouts of its children; the more
     children, the more presentation counts."""
-    found = pages.select("url", "html").mapInArrow(_features, "host long, style long, content boolean, feature long, children long")
-    seen = found.groupBy("host", "style", "content", "feature").agg(F.count(F.lit(1)).alias("k"), F.max("children").alias("children"))
+    found = pages.select("url", "html").mapInArrow(_features, "host long, page long, style long, content boolean, feature long, children long")
+    once = found.groupBy("host", "page", "style", "content", "feature").agg(F.max("children").alias("children"))
+    seen = once.groupBy("host", "style", "content", "feature").agg(F.count(F.lit(1)).alias("k"), F.max("children").alias("children"))
     log_k, k = F.log(F.col("k").cast("double")), F.col("k")
     layout = ~F.col("content")
     sums = seen.groupBy("host", "style").agg(
@@ -254,7 +257,8 @@ def style_importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
     layout_entropy = (F.log(F.col("layouts").cast("double")) - F.col("layout_log") / F.col("layouts")) / F.log(m)
     keep = F.pow(F.lit(decay), F.col("children") / F.col("layouts"))
     importance = F.when(m <= 1, 1.0).when(F.col("children") > 0, (1 - keep) * layout_entropy + keep * content).otherwise(content)
-    return sums.where("layouts is not null").select("host", "style", m.cast("long").alias("pages"), importance.alias("importance"))
+    sums = stage(sums.where("layouts is not null").select("host", "style", m.cast("long").alias("pages"), importance.alias("importance")))
+    return sums.where("style <> 0").join(sums.where("style = 0").select("host", F.col("pages").alias("host_pages")), "host")
 
 
 def main_text(html: str | None, low: set[int] | None = None) -> str:
@@ -287,16 +291,25 @@ def _host_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], names=[*batch.schema.names, "host"])
 
 
+def unimportant(tree: DataFrame, least_pages: int, low: float) -> DataFrame:
+    """The rows of `style_importance` to cut: under a bound of `low` that falls in proportion below `least_pages` pages, to nothing at one page.
+
+    A style that only some of a host's pages have needs `least_pages` pages; on hosts of fewer pages it must be on all of them."""
+    bound = F.lit(low) * F.least(F.lit(1.0), (F.col("pages") - 1) / F.lit(max(1, least_pages - 1)))
+    return tree.where((F.col("pages") >= F.least(F.lit(least_pages), F.col("host_pages"))) & (F.col("pages") > 1) & (F.col("importance") < bound))
+
+
 def extract_main_text(pages: DataFrame, least_pages: int = 8, low: float = 0.2) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of `pages(page_id, url, html)`.
 
     Text of a block: character references decoded, white space made one space, trimmed; blocks follow page order, one a
-    line. A style node seen on at least `least_pages` pages of its host with importance under `low` is cut with all below it.
-    Null and empty pages give an empty text; pages without a host share the empty host; repeated pages count as
-    several and give repeated rows; a page of any length is read whole.
+    line. A style node seen on at least `least_pages` pages of its host with importance under `low` is cut with all below it;
+    on hosts of two pages or more but fewer than that, one seen on all of them with importance under a part of `low` (`unimportant`).
+    Null and empty pages give an empty text; pages without a host share the empty host; pages of equal text count once
+    and give a row each; a page of any length is read whole.
     """
     pages = columns_or_null(pages, page_id="long", url="string", html="string")
-    noise = style_importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
+    noise = unimportant(style_importance(pages), least_pages, low)
     noise = stage(noise.groupBy("host").agg(F.collect_set("style").alias("low")))  # one row a host: its tree, not its pages
     coded = pages.mapInArrow(_host_codes, "page_id long, url string, html string, host long")
     return coded.join(noise, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")
