@@ -259,3 +259,21 @@ def test_long_adjustment_equals_windowed_one(spark):
     df = spark.createDataFrame(pdf).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
     a, b = (fn(df, "p", ["g"]).toPandas().sort_values("id")[["p_bonferroni", "p_fdr"]].to_numpy(float) for fn in (A.adjust, A.adjust_many))
     assert np.allclose(a, b, equal_nan=True)
+
+
+def test_registered_svc_fits_end_before_their_limit(spark, monkeypatch):
+    """The registered queries leave the solver its default limit, and the fits settle before it."""
+    from pyspark.ml.classification import LinearSVC
+
+    from varve.plans.catalog import QUERIES
+
+    fit, ended = LinearSVC._fit, []
+
+    def counted(self, df):
+        model = fit(self, df)
+        ended.append((model.summary().totalIterations, self.getMaxIter()))
+        return model
+
+    monkeypatch.setattr(LinearSVC, "_fit", counted)
+    QUERIES["K18_cross_sectional_svc"](spark, "/root/testdata/sf0.01").collect()
+    assert ended and all(used < limit for used, limit in ended)

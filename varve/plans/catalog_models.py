@@ -248,7 +248,7 @@ def _one_fit(name, **params):
 
 
 query("K6_logistic")(_one_fit("logistic"))
-query("K7_linear_svc")(_one_fit("svm", max_iter=50))
+query("K7_linear_svc")(_one_fit("svm"))
 query("K9_forest_classifier")(_one_fit("random_forest", n_estimators=30))
 query("K10_mlp")(_one_fit("mlp", hidden_layer_sizes=(16,), max_iter=50))
 
@@ -260,15 +260,15 @@ def k8(spark, d):
     rows = stage(assign_folds(wide, "vec_id", 4, ["y"])).withColumn("is_train", F.col("fold") != 0)
     task = C.Task("vec_id", "y", EMB, kernel="rbf")
     ready = stage(C.vectorize(rows, task).select("vec_id", "y", "is_train", "x"))
-    return C.fit_score("svm", ready.where("is_train"), ready.where("not is_train"), task, {"max_iter": 30}, ["vec_id", "y"])
+    return C.fit_score("svm", ready.where("is_train"), ready.where("not is_train"), task, {}, ["vec_id", "y"])
 
 
 @query("K12_platt")
 def k12(spark, d):
     train, test = _two_folds(spark, d)
     task = C.Task("vec_id", "y", EMB)
-    inner = C.out_of_fold("svm", train, task, {"max_iter": 20}, "platt")
-    return C.apply_platt(C.fit_score("svm", train, test, task, {"max_iter": 20}, ["vec_id", "y"]), C.fit_platt(inner))
+    inner = C.out_of_fold("svm", train, task, {}, "platt")
+    return C.apply_platt(C.fit_score("svm", train, test, task, {}, ["vec_id", "y"]), C.fit_platt(inner))
 
 
 @query("K13_grid_search")
@@ -280,7 +280,7 @@ def k13(spark, d):
 
 
 def emb_task(**over):
-    return C.Task(**{**dict(id="vec_id", label="y", features=EMB, site="site", folds=3, params={"max_iter": 20}), **over})
+    return C.Task(**{**dict(id="vec_id", label="y", features=EMB, site="site", folds=3), **over})
 
 
 @query("K14_K15_nested_classification")
@@ -304,7 +304,7 @@ def k17(spark, d):
 @query("K18_cross_sectional_svc")
 def k18(spark, d):
     rows = baseline_rows(spark, d).withColumn("y", (F.col("target") > 250_000).cast("int"))
-    task = C.Task("id", "y", DISC, "site", ("age",), folds=3, params={"max_iter": 20})
+    task = C.Task("id", "y", DISC, "site", ("age",), folds=3)
     return C.nested_cv(rows, task, "svm")["metrics"]
 
 
@@ -479,7 +479,7 @@ def n13(spark, d):
 @query("N13_worsening_classifiers")
 def n13b(spark, d):
     wide = _long_wide(spark, d)[1]
-    task = C.Task("id", "worsened", DISC, "site", ("age",), folds=2, inner_folds=2, params={"max_iter": 10})
+    task = C.Task("id", "worsened", DISC, "site", ("age",), folds=2, inner_folds=2)
     return N.worsening_classifiers(wide, "target", task, ("svm",))
 
 
