@@ -408,3 +408,12 @@ def test_tool_calls(spark):
     assert got[2, 3].status == "no_id" and got[2, 3].errors == ["gone: no such call"] and {got[2, t].step for t in (0, 1)} == {2, 3}
     assert got[None, 0].errors == ["unknown function"] and got[3, 0].status == "orphan_result"
     assert link_tool_calls(df.limit(0), schemas).count() == 0
+
+
+def test_each_result_without_a_call_has_a_row(spark):
+    call = '{"tool_calls": [{"id": "a", "function": {"name": "f", "arguments": "{}"}}]}'
+    tool = lambda i, c: f'{{"tool_call_id": "{i}", "content": "{c}"}}'
+    rows = [(1, 0, "assistant", call), (1, 1, "tool", tool("a", "one")), (1, 2, "tool", tool("a", "two")), (1, 3, "tool", tool("b", "x")), (1, 4, "tool", tool("b", "y"))]
+    got = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {}}).collect()
+    wanted = [(0, "answered", "one"), (3, "orphan_result", "x"), (4, "orphan_result", "y")]
+    assert sorted((r.turn, r.status, r.result) for r in got) == wanted

@@ -74,7 +74,8 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict[str, dict]]) ->
     makes calls, a tool text `{"tool_call_id", "content"}` answers one. Other texts, null ones included, make none.
 
     `status`: answered, unanswered, duplicate_id (another call of the conversation had the id before; the result belongs to
-    that one), no_id, orphan_result. Of several results of one call the first in turn counts. `step` numbers the calls
+    that one), no_id, orphan_result. Of several results of one call the first in turn counts; each result
+    without a call has a row. `step` numbers the calls
     of a conversation from 0 so that each follows all calls it refers to by an argument of type `call`, earlier turns
     first; calls in a circle, and what refers to them, come last and get an error, as do references to no call. Messages
     equal in all four columns count once. Null conversations are one conversation. `line` is the canonical JSON.
@@ -91,21 +92,23 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict[str, dict]]) ->
     calls = stage(calls.withColumn("errors", validation_errors(F.col("name"), arguments, F.col("raw"), schemas)).withColumn("refers", refers).withColumn("at", F.struct("turn", "mark", "index")))
 
     owners = calls.where("call_id is not null").groupBy(*ID).agg(F.min("at").alias("first"))
-    answers = messages.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", _RESULT).alias("r"))
-    answers = answers.select("conv_id", F.col("r.tool_call_id").alias("call_id"), "turn", F.col("r.content").alias("content")).where("call_id is not null")
-    answers = answers.groupBy(*ID).agg(F.min_by("content", F.struct("turn", "content")).alias("result"), F.min("turn").alias("result_turn"))
-    linked = owners.join(answers.withColumnsRenamed({"conv_id": "_conv", "call_id": "_call"}), owners.conv_id.eqNullSafe(F.col("_conv")) & (owners.call_id == F.col("_call")), "full")
-    linked = stage(linked.select(F.coalesce("conv_id", "_conv").alias("l_conv"), F.coalesce("call_id", "_call").alias("l_call"), "first", "result", "result_turn", F.col("_call").isNotNull().alias("has_result")))
+    answers = messages.where("role = 'tool'").select("conv_id", "turn", F.md5("text").alias("mark"), F.from_json("text", _RESULT).alias("r"))
+    answers = answers.select("conv_id", F.col("r.tool_call_id").alias("call_id"), F.struct("turn", F.col("r.content").alias("content"), "mark").alias("message"))
+    answers = stage(answers.where("call_id is not null"))
+    firsts = answers.groupBy(*ID).agg(F.min("message").alias("answer"))
+    linked = owners.join(firsts.withColumnsRenamed({"conv_id": "_conv", "call_id": "_call"}), owners.conv_id.eqNullSafe(F.col("_conv")) & (owners.call_id == F.col("_call")), "full")
+    linked = stage(linked.select(F.coalesce("conv_id", "_conv").alias("l_conv"), F.coalesce("call_id", "_call").alias("l_call"), "first", "answer", F.col("answer.content").alias("result"), F.col("_call").isNotNull().alias("has_result")))
 
     joined = calls.join(linked.where("first is not null"), calls.conv_id.eqNullSafe(F.col("l_conv")) & (calls.call_id == F.col("l_call")), "left")
     owner = F.col("first") == F.col("at")
     status = F.when(F.col("call_id").isNull(), "no_id").when(~owner, "duplicate_id").when(F.col("has_result"), "answered").otherwise("unanswered")
-    joined = joined.withColumn("status", status).withColumn("result", F.when(owner, F.col("result"))).drop("l_conv", "l_call", "first", "has_result", "result_turn")
+    joined = joined.withColumn("status", status).withColumn("result", F.when(owner, F.col("result"))).drop("l_conv", "l_call", "first", "has_result", "answer")
     placed = _steps(joined, owners)
 
     line = F.to_json(F.struct(F.coalesce(F.try_parse_json("raw"), F.col("raw").cast("variant")).alias("arguments"), "call_id", "conv_id", "errors", "name", "result", "status", "step", "turn"))
     placed = placed.withColumn("line", line).select("conv_id", "call_id", "turn", "name", "step", "status", "errors", "result", "line")
-    orphans = linked.where("first is null").select(F.col("l_conv").alias("conv_id"), F.col("l_call").alias("call_id"), F.col("result_turn").alias("turn"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("step"), F.lit("orphan_result").alias("status"), F.array().cast("array<string>").alias("errors"), "result")
+    others = answers.join(linked.where("first is null").drop("result"), answers.conv_id.eqNullSafe(F.col("l_conv")) & (answers.call_id == F.col("l_call")))
+    orphans = others.select("conv_id", "call_id", "message.turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("step"), F.lit("orphan_result").alias("status"), F.array().cast("array<string>").alias("errors"), F.col("message.content").alias("result"))
     return placed.union(orphans.withColumn("line", F.to_json(F.struct("call_id", "conv_id", "errors", "result", "status", "turn"))))
 
 
