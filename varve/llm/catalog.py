@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.bm25_search import bm25_top_k
 from varve.llm.decontaminate import contamination
+from varve.llm.fill_middle import fill_in_middle, restore_middle
 from varve.llm.html_text import extract_main_text
 from varve.llm.langid import fit_languages, identify_language
 from varve.llm.license_scan import fit_licences, scan_licences
@@ -181,3 +182,23 @@ select * from r where rank <= 10
 def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bm25_top_k(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k=10).withColumn("score", F.round("score", 6))
+
+
+@query("""
+with d as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
+g as (select doc_id, t, length(t) n, ('0x' || substr(h, 1, 8))::bigint % (length(t) + 1) c1, ('0x' || substr(h, 9, 8))::bigint % (length(t) + 1) c2,
+  ('0x' || substr(h, 17, 8))::bigint % 100 h3, ('0x' || substr(h, 25, 8))::bigint % 100 h4 from d),
+f as (select *, least(c1, c2) a, greatest(c1, c2) b,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain' when h4 < 20 then 'spm' else 'psm' end form from g),
+p as (select *, substr(t, 1, a) prefix, substr(t, a + 1, b - a) middle, substr(t, b + 1) suffix from f)
+select doc_id, n::bigint n, form, case when form <> 'plain' then a end::bigint prefix_chars, case when form <> 'plain' then b - a end::bigint middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
+  sha256(t) restored_sha256
+from p
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = restore_middle(fill_in_middle(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
