@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from varve.llm.near_dedup import near_duplicate_groups
 from varve.llm.sharding import shard_documents
 from varve.llm.substring_dedup import substring_dedup
 from varve.llm.tool_calls import SCHEMAS, as_tool_messages, link_tool_calls
+from varve.llm.warc import page_id_of, page_records, read_warc, write_warc
+from varve.session import stage_root
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}
@@ -184,6 +187,25 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_top_k(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k=10).withColumn("score", F.round("score", 6))
 
 
+@query("""
+with p as (select page_id, coalesce(html, '') payload from pages),
+d as (select *, octet_length(encode(payload))::bigint payload_bytes, sha1(payload) h, min(page_id) over (partition by payload) first_id from p),
+b as (select *, list_aggregate(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', h[i])]), 'string_agg', '') bits from d)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: bits[5 * i + j]::int * (32 >> j)))::int, 1)), 'string_agg', '') payload_digest,
+  case when page_id is not distinct from first_id then 'response' else 'revisit' end record_type, case when page_id is distinct from first_id then first_id end refers_to
+from b
+""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
+    write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    columns = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long"
+    back = read_warc(spark, path, columns, verify="true").where(F.col("record_type").isin("response", "revisit"))
+    return back.select(
+        page_id_of("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", page_id_of("refers_to").alias("refers_to")
+    )
+
+
 @query("""
 with d as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
 g as (select doc_id, t, length(t) n, ('0x' || substr(h, 1, 8))::bigint % (length(t) + 1) c1, ('0x' || substr(h, 9, 8))::bigint % (length(t) + 1) c2,
