@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.bm25_search import bm25_top_k
 from varve.llm.decontaminate import contamination
+from varve.llm.dual_tree_search import dual_tree_top_k
 from varve.llm.fill_middle import fill_in_middle, restore_middle
 from varve.llm.html_text import extract_main_text
 from varve.llm.langid import fit_languages, identify_language
@@ -43,6 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: ASCII capitals to small letters, as `lower` would change other letters too.
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _TOKENS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
@@ -206,6 +208,22 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+with w as (select row_number() over () r, doc_id, regexp_extract_all({_FOLD}, {_TERMS}) l from documents),
+st as (select count(*)::bigint n, sum(len(l))::bigint l from w where len(l) > 0),
+tf as (select r, term, count(*)::bigint tf from (select r, unnest(l) term from w) group by r, term),
+df as (select term, count(*)::bigint df from tf group by term),
+q as (select item_id, term, count(*)::bigint times from (select item_id, unnest(regexp_extract_all({_FOLD}, {_TERMS})) term from benchmark) group by item_id, term),
+qw as (select item_id, q.term, times * floor(1000 * ln((2 * st.n + 2)::double / (2 * df + 1)::double))::bigint w from q join df using (term) cross join st),
+m as (select r, doc_id, (100 - 75 + ((75 * len(w.l)::bigint * st.n) // st.l))::bigint m from w cross join st where len(w.l) > 0),
+s as (select item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from qw join tf using (term) join m using (r) group by item_id, r),
+k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s join m using (r) where score > 0)
+select * from k where rank <= 10
+""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @query("""
 with d as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
 g as (select doc_id, t, length(t) n, ('0x' || substr(h, 1, 8))::bigint % (length(t) + 1) c1, ('0x' || substr(h, 9, 8))::bigint % (length(t) + 1) c2,
