@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,20 +20,34 @@ class Linear:
     l1: float = 0.0
 
 
-def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight: str | None = None) -> DataFrame:
-    """(keys..., [side], i, j, value): cross products of [1, columns, targets] per key; targets only with themselves.
+@dataclass(frozen=True)
+class Block:
+    """Many targets made from a few columns within a task: `make(rows)` gives a matrix of one column per name."""
+
+    names: list[str]
+    columns: list[str]
+    make: Callable[[pd.DataFrame], np.ndarray]
+
+
+#: Cells of rows x products that a task holds at once.
+CELLS = 4_000_000
+
+
+def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight: str | None = None, block: Block | None = None) -> DataFrame:
+    """(keys..., [side], i, j, value): cross products of [1, columns, targets, block] per key; targets only with themselves.
 
     Each task sums its own rows in numpy and emits one small triangle per key, so the shuffle carries
     tasks x keys x products, never rows. With `weight`, rows on the training side are also summed under side
     "fit" with their weight.
     """
     columns, targets, keys = list(columns), list(targets), list(keys)
-    width = 1 + len(columns) + len(targets)
+    width = 1 + len(columns) + len(targets) + (len(block.names) if block else 0)
     head = 1 + len(columns)
     pairs = [(i, j) for i in range(head) for j in range(i, width)] + [(j, j) for j in range(head, width)]
     left, right = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-    numbers = [*columns, *targets, *([weight] if weight else [])]
-    picked = df.select(*keys, *([side] if side else []), *[F.col(c).cast("double").alias(c) for c in numbers])
+    numbers = list(dict.fromkeys([*columns, *targets, *([weight] if weight else [])]))
+    more = [c for c in (block.columns if block else []) if c not in numbers]
+    picked = df.select(*keys, *([side] if side else []), *[F.col(c).cast("double").alias(c) for c in numbers], *more)
     picked = picked.dropna("any", subset=columns)
     kinds = dict(picked.dtypes)
     out_keys = [*keys, *(["side"] if side else [])]
@@ -42,9 +57,12 @@ def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight:
         sums: dict = {}
 
         def add(key, rows, w=None):
-            x = np.column_stack([np.ones(len(rows)), rows[columns + targets].to_numpy(dtype=float)])
-            wx = x if w is None else x * w[:, None]
-            sums[key] = sums.get(key, 0.0) + _products(wx, x, left, right, head)
+            step = max(1, CELLS // width)
+            for at in range(0, len(rows), step):
+                part = rows.iloc[at : at + step]
+                x = np.column_stack([np.ones(len(part)), part[columns + targets].to_numpy(dtype=float), *([block.make(part)] if block else [])])
+                wx = x if w is None else x * w[at : at + step, None]
+                sums[key] = sums.get(key, 0.0) + _products(wx, x, left, right, head)
 
         for pdf in batches:
             by = out_keys[: len(keys)] + ([side] if side else [])
@@ -58,8 +76,8 @@ def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight:
                         add((*key[:-1], "fit"), rows, rows[weight].to_numpy(dtype=float))
                 else:
                     add(key, rows, rows[weight].to_numpy(dtype=float) if weight else None)
-        for key, block in sums.items():
-            frame = pd.DataFrame({"i": left.astype("int32"), "j": right.astype("int32"), "value": block})
+        for key, block_sums in sums.items():
+            frame = pd.DataFrame({"i": left.astype("int32"), "j": right.astype("int32"), "value": block_sums})
             for name, value in zip(out_keys, key):
                 frame[name] = value
             yield frame[[*out_keys, "i", "j", "value"]]
@@ -73,38 +91,78 @@ def _products(wx, x, left, right, head):
     return np.concatenate([full[left[left < head], right[left < head]], tail])
 
 
-def _matrix(pdf: pd.DataFrame, width: int) -> np.ndarray:
-    out = np.zeros((width, width))
-    i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["value"].to_numpy()
-    out[i, j] = v
-    out[j, i] = v
-    return out
+@dataclass
+class Moments:
+    """Sums over some rows: `xx` of products of [1, columns], `xy` of these with targets, `yy` of squared targets."""
+
+    xx: np.ndarray
+    xy: np.ndarray
+    yy: np.ndarray
+
+    @staticmethod
+    def read(pdf: pd.DataFrame, head: int, width: int) -> Moments:
+        out = Moments(np.zeros((head, head)), np.zeros((head, width - head)), np.zeros(width - head))
+        i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["value"].to_numpy()
+        own, cross = j < head, (i < head) & (j >= head)
+        out.xx[i[own], j[own]] = v[own]
+        out.xx[j[own], i[own]] = v[own]
+        out.xy[i[cross], j[cross] - head] = v[cross]
+        out.yy[j[i >= head] - head] = v[i >= head]
+        return out
+
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.xx - other.xx, self.xy - other.xy, self.yy - other.yy)
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.xx + other.xx, self.xy + other.xy, self.yy + other.yy)
+
+    def less(self, cov: list[int], terms: np.ndarray) -> Moments:
+        """The same sums for targets less `terms` (covariates x targets) times the columns `cov`."""
+        yy = self.yy - 2 * (terms * self.xy[cov]).sum(axis=0) + (terms * (self.xx[np.ix_(cov, cov)] @ terms)).sum(axis=0)
+        return Moments(self.xx, self.xy - self.xx[:, cov] @ terms, yy)
+
 
+class Solver:
+    """Linear models on some columns of one set of moments, all targets at once; the intercept is not penalised.
 
-def solve_linear(n, sum_x, sum_y, xx, xy, model: Linear, steps=20_000, tol=1e-9):
-    """Intercept and coefficients from centred cross products; the intercept is not penalised."""
-    mean_x, mean_y = sum_x / n, sum_y / n
-    s = xx - n * np.outer(mean_x, mean_x)
-    b = xy - n * mean_x * mean_y
-    p = len(mean_x)
-    if model.l1 == 0:
-        beta = np.linalg.lstsq(s + model.alpha * np.eye(p), b, rcond=None)[0]
-    else:
-        s, b = s / n, b / n
-        beta, thin = np.zeros(p), model.alpha * model.l1
-        for _ in range(steps):
+    The eigendecomposition of the centred products serves every ridge penalty, and the elastic net starts each time from where
+    it ended last.
+    """
+
+    def __init__(self, moments: Moments, columns: list[int], steps=20_000, tol=1e-9):
+        self.n, self.steps, self.tol = moments.xx[0, 0], steps, tol
+        self.mean_x, self.mean_y = moments.xx[0, columns] / self.n, moments.xy[0] / self.n
+        self.s = moments.xx[np.ix_(columns, columns)] - self.n * np.outer(self.mean_x, self.mean_x)
+        self.b = moments.xy[columns] - self.n * np.outer(self.mean_x, self.mean_y)
+        self.spectrum = None
+        self.last = np.zeros_like(self.b)
+
+    def solve(self, model: Linear) -> np.ndarray:
+        """(1 + columns) x targets: intercept and coefficients."""
+        if model.l1:
+            beta = self.last = self._elastic(model)
+        elif model.alpha:
+            if self.spectrum is None:
+                self.spectrum = np.linalg.eigh(self.s)
+            values, vectors = self.spectrum
+            beta = vectors @ ((vectors.T @ self.b) / (np.maximum(values, 0.0) + model.alpha)[:, None])
+        else:
+            beta = np.linalg.lstsq(self.s, self.b, rcond=None)[0]
+        return np.vstack([self.mean_y - self.mean_x @ beta, beta])
+
+    def _elastic(self, model: Linear) -> np.ndarray:
+        s, b, beta, thin = self.s / self.n, self.b / self.n, self.last.copy(), model.alpha * model.l1
+        for _ in range(self.steps):
             biggest = 0.0
-            for g in range(p):
+            for g in range(len(s)):
                 if s[g, g] <= 0:
                     continue
                 partial = b[g] - s[g] @ beta + s[g, g] * beta[g]
-                new = np.sign(partial) * max(abs(partial) - thin, 0.0) / (s[g, g] + model.alpha * (1 - model.l1))
-                biggest, beta[g] = max(biggest, abs(new - beta[g])), new
-            if biggest < tol:
-                break
-        else:
-            raise RuntimeError(f"{model.name} did not settle after {steps} sweeps")
-    return np.concatenate([[mean_y - mean_x @ beta], beta])
+                new = np.sign(partial) * np.maximum(np.abs(partial) - thin, 0.0) / (s[g, g] + model.alpha * (1 - model.l1))
+                biggest, beta[g] = max(biggest, float(np.abs(new - beta[g]).max(initial=0.0))), new
+            if biggest < self.tol:
+                return beta
+        raise RuntimeError(f"{model.name} did not settle after {self.steps} sweeps")
 
 
 FIT_SCHEMA = (
@@ -113,64 +171,77 @@ FIT_SCHEMA = (
 )
 
 
-def fit_runs(df: DataFrame, features, covariates, targets, models, groups=(), weight=None, residualize=True, drop_each=False) -> DataFrame:
+def residualizer(train: Moments, cov: list[int]) -> np.ndarray:
+    """Least squares of the targets on the columns `cov`, one column a target; zero where `cov` is the intercept alone."""
+    if len(cov) == 1:
+        return np.zeros((1, train.xy.shape[1]))
+    return np.linalg.lstsq(train.xx[np.ix_(cov, cov)], train.xy[cov], rcond=None)[0]
+
+
+def held_out_sums(held: Moments, columns: list[int], beta: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums over held-out rows from which r, r2 and mse follow, one value a target."""
+    xb = held.xx[np.ix_(columns, columns)] @ beta
+    return {"n": np.full(beta.shape[1], held.xx[0, 0]), "sp": xb[0], "spp": (beta * xb).sum(axis=0), "sy": held.xy[0], "syy": held.yy, "spy": (beta * held.xy[columns]).sum(axis=0)}
+
+
+def run_table(df: DataFrame, features, covariates, targets, groups=(), weight=None, block: Block | None = None, part: str | None = None) -> DataFrame:
+    """The cross products that `solve_runs` takes, by (groups, run, [part], side)."""
+    complete_rows = df.dropna("any", subset=[*features, *covariates, *targets, *(block.columns if block else [])])
+    return gram(complete_rows, [*features, *covariates], targets, [*groups, "run", *([part] if part else [])], "is_train", weight, block)
+
+
+def fit_runs(df: DataFrame, features, covariates, targets, models, groups=(), weight=None, residualize=True, drop_each=False, block: Block | None = None) -> DataFrame:
     """Fit every (group, run, model, target) and score it on the run's held-out rows.
 
     `df` holds each row once per run with `is_train`. Returns coefficient arrays over [1, features], the
     residualizer over [1, covariates], and the held-out sums (n, pred, pred^2, y, y^2, pred*y) from which pooled
     r, r2, mse follow for any number of targets without touching the data again. `drop_each` adds, per feature,
-    the fit without it.
+    the fit without it. `block` adds targets that are made within the tasks.
     """
+    table = run_table(df, features, covariates, targets, groups, weight, block)
+    return solve_runs(table, features, covariates, [*targets, *(block.names if block else [])], models, groups, residualize, drop_each)
+
+
+def solve_runs(table: DataFrame, features, covariates, targets, models, groups=(), residualize=True, drop_each=False) -> DataFrame:
+    """`fit_runs` from its table of cross products."""
     features, covariates, targets, groups = list(features), list(covariates), list(targets), list(groups)
-    complete_rows = df.dropna("any", subset=[*features, *covariates, *targets])
-    table = gram(complete_rows, [*features, *covariates], targets, [*groups, "run"], "is_train", weight)
     kinds = dict(table.dtypes)
     schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + [FIT_SCHEMA])
     names = [*groups, *[c.split()[0] for c in FIT_SCHEMA.split(", ")]]
     p, q, m = len(features), len(covariates), len(targets)
-    width = 1 + p + q + m
-    variants = [(mod, list(range(p)), mod.name) for mod in models]
+    head, width = 1 + p + q, 1 + p + q + m
+    variants = [(list(range(p)), "")]
     if drop_each:
-        variants += [(mod, [g for g in range(p) if g != d], f"{mod.name}-without-{features[d]}") for mod in models for d in range(p)]
+        variants += [([g for g in range(p) if g != d], f"-without-{features[d]}") for d in range(p)]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: _matrix(part, width) for s, part in pdf.groupby("side")}
+        sides = {s: Moments.read(part, head, width) for s, part in pdf.groupby("side")}
         key = [pdf[g].iloc[0] for g in groups] + [int(pdf["run"].iloc[0])]
         if "train" not in sides or "test" not in sides:
             return pd.DataFrame(columns=names)
-        train, test, fit = sides["train"], sides["test"], sides.get("fit", sides["train"])
-        cov = [0, *range(1 + p, 1 + p + q)] if residualize and q else [0]
-        rows = []
-        for t, target in enumerate(targets):
-            y = 1 + p + q + t
-            resid = np.zeros(len(cov))
-            if len(cov) > 1:
-                resid = np.linalg.lstsq(train[np.ix_(cov, cov)], train[cov, y], rcond=None)[0]
-
-            def y_sums(a):
-                first = a[0, y] - a[0, cov] @ resid
-                second = a[y, y] - 2 * resid @ a[cov, y] + resid @ a[np.ix_(cov, cov)] @ resid
-                return first, second
-
-            n_train = train[0, 0]
-            s1, s2 = y_sums(train)
-            y_mean, y_var = s1 / n_train, max(s2 / n_train - (s1 / n_train) ** 2, 0.0)
-            raw_var = train[y, y] - train[0, y] ** 2 / n_train
-            r2 = 1 - (s2 - s1**2 / n_train) / raw_var if raw_var > 0 else 0.0
-            for model, keep, name in variants:
-                ix = [1 + g for g in keep]
-                xy = fit[ix, y] - fit[np.ix_(ix, cov)] @ resid
-                part = solve_linear(fit[0, 0], fit[0, ix], y_sums(fit)[0], fit[np.ix_(ix, ix)], xy, model)
-                beta = np.zeros(1 + p)
-                beta[0], beta[ix] = part[0], part[1:]
-                all_x = list(range(1 + p))
-                first, second = y_sums(test)
-                rows.append(
-                    [*key, name, target, beta.tolist(), resid.tolist(), test[0, 0], test[0, all_x] @ beta,
-                     beta @ test[np.ix_(all_x, all_x)] @ beta, first, second,
-                     beta @ (test[all_x, y] - test[np.ix_(all_x, cov)] @ resid), y_mean, y_var**0.5, r2]
-                )
-        return pd.DataFrame(rows, columns=names)
+        cov = [0, *range(1 + p, head)] if residualize and q else [0]
+        terms = residualizer(sides["train"], cov)
+        train, test, fit = (sides.get(s, sides["train"]).less(cov, terms) for s in ("train", "test", "fit"))
+        n_train = train.xx[0, 0]
+        y_mean = train.xy[0] / n_train
+        y_sd = np.sqrt(np.maximum(train.yy / n_train - y_mean**2, 0.0))
+        raw_var = sides["train"].yy - sides["train"].xy[0] ** 2 / n_train
+        r2 = np.where(raw_var > 0, 1 - (train.yy - train.xy[0] ** 2 / n_train) / np.where(raw_var > 0, raw_var, 1.0), 0.0)
+        parts = []
+        for keep, suffix in variants:
+            columns = [1 + g for g in keep]
+            solver = Solver(fit, columns)
+            for model in models:
+                beta = np.zeros((1 + p, m))
+                beta[[0, *columns]] = solver.solve(model)
+                sums = held_out_sums(test, list(range(1 + p)), beta)
+                parts.append(pd.DataFrame({
+                    "model": model.name + suffix, "target": targets, "coef": list(beta.T), "resid": list(terms.T), **sums, "y_mean": y_mean, "y_sd": y_sd, "resid_r2": r2,
+                }))
+        out = pd.concat(parts, ignore_index=True)
+        for name, value in zip([*groups, "run"], key):
+            out[name] = value
+        return out[names]
 
     # One group is one model run: (sides x products) numbers.
     return table.groupBy(*groups, "run").applyInPandas(solve, schema)
