@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from varve.functions.scalars import asymmetry_columns
 from varve.models import gram as G
+from varve.models import tuning as T
 from varve.models.registry import assemble, linear_model, regressor, supports_weights
-from varve.models.svr import fit_svr, svr_table
+from varve.models.svr import Variant, fit_svr, fit_svr_variants, svr_table
 from varve.operators import evaluation as V
 from varve.operators.combat import _numeric, fit_site_model
 from varve.operators.prep import complete, drop_small_groups, iqr_filter, range_filter, target_filter
@@ -70,15 +71,20 @@ def cohort(df: DataFrame, spec: Spec) -> tuple[DataFrame, list[str], list[str]]:
     return rows, harm, resid
 
 
-def with_folds(rows: DataFrame, spec: Spec, bins=5) -> DataFrame:
-    """Fold column: target quintile x site where every cell is large enough, families kept together."""
+def with_folds(rows: DataFrame, spec: Spec, bins=5, inner=0) -> DataFrame:
+    """Fold column: target quintile x site where every cell is large enough, families kept together.
+
+    `inner` folds, if any, are dealt the same way by another hash, once for all outer folds: what is left of them in an outer
+    training set splits it again.
+    """
     binned = quantile_bin(rows, spec.target, bins, "_bin")
     key, _ = stratification_key(binned, "_bin", spec.site, spec.folds)
-    keyed = binned.withColumn("_key", key)
-    if spec.family:
-        out = assign_group_folds(keyed, spec.family, spec.id, "_key", spec.folds, spec.seed)
-    else:
-        out = assign_folds(keyed, spec.id, spec.folds, ["_key"], spec.seed)
+    out = binned.withColumn("_key", key)
+    for name, k, seed in [("fold", spec.folds, spec.seed), *([("inner", inner, spec.seed + 1)] if inner else [])]:
+        if spec.family:
+            out = assign_group_folds(out, spec.family, spec.id, "_key", k, seed, name)
+        else:
+            out = assign_folds(out, spec.id, k, ["_key"], seed, out=name)
     return out.drop("_bin", "_key")
 
 
@@ -116,7 +122,7 @@ class Prepared:
         return tall
 
 
-def prepare(df: DataFrame, spec: Spec, keep=()) -> Prepared:
+def prepare(df: DataFrame, spec: Spec, keep=(), inner=0) -> Prepared:
     """Eligible rows with folds, written once.
 
     Folds need several passes (quantiles, cell counts, hash cuts), so the input's own joins run once into a narrow
@@ -130,14 +136,17 @@ def prepare(df: DataFrame, spec: Spec, keep=()) -> Prepared:
     needed = dict.fromkeys(
         [spec.id, spec.target, spec.site, *spec.features, *harm, *resid, *spec.covariate_features, *([spec.family] if spec.family else []), *keep]
     )
-    return Prepared(stage(with_folds(rows.select(*needed), spec)), spec, harm, resid)
+    return Prepared(stage(with_folds(rows.select(*needed), spec, inner=inner)), spec, harm, resid)
+
 
+def _weight(spec: Spec, models) -> str | None:
+    return "weight" if spec.weight_edges and all(supports_weights(m, spec.models) for m in models) else None
 
-def fits(prepared: Prepared, frame: DataFrame, models=("ridge",), targets=None, groups=(), drop_each=False, spec=None) -> DataFrame:
+
+def fits(prepared: Prepared, frame: DataFrame, models=("ridge",), targets=None, groups=(), drop_each=False, spec=None, block=None) -> DataFrame:
     spec = spec or prepared.spec
     chosen = [linear_model(m, spec.models) for m in models]
-    weight = "weight" if spec.weight_edges and all(supports_weights(m, spec.models) for m in models) else None
-    return G.fit_runs(frame, spec.inputs, prepared.resid, targets or [spec.target], chosen, groups, weight, bool(prepared.resid), drop_each)
+    return G.fit_runs(frame, spec.inputs, prepared.resid, targets or [spec.target], chosen, groups, _weight(spec, models), bool(prepared.resid), drop_each, block)
 
 
 def predict(prepared: Prepared, frame: DataFrame, fitted: DataFrame, groups=(), spec=None) -> DataFrame:
@@ -156,21 +165,26 @@ def predict(prepared: Prepared, frame: DataFrame, fitted: DataFrame, groups=(),
     return joined.select(*groups, spec.id, F.col("run").alias("fold"), "model", y.alias("y"), fitted_y.alias("yhat"))
 
 
-def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None, **params) -> tuple[DataFrame, DataFrame]:
-    """Linear epsilon-SVR on the z-scored residual target, and its coefficients (groups..., run, feature, value)."""
-    spec, groups = spec or prepared.spec, list(groups)
-    keys = [*groups, "run"]
-    s = {"C": 1.0, "epsilon": 0.1, **spec.models.get("svr", {}), **params}
-    base = fits(prepared, frame, ["ridge"], groups=groups, spec=spec)
+def _svr_rows(prepared: Prepared, frame: DataFrame, keys, spec: Spec, base: DataFrame | None = None, keep=()) -> tuple[DataFrame, DataFrame]:
+    """All rows with the residual target `_y` and its training mean and SD; and the training rows, staged, with the z-score `_z`."""
+    if base is None:
+        base = fits(prepared, frame, ["ridge"], groups=[k for k in keys if k != "run"], spec=spec)
     small = stage(base.select(*keys, "resid", "y_mean", "y_sd"))
     y = F.col(spec.target) - (G.linear_value("resid", prepared.resid) if prepared.resid else F.lit(0.0))
     scored = frame.where(complete([*spec.inputs, *prepared.resid])).join(small, keys).withColumn("_y", y)
-    sd = F.when(F.col("y_sd") > 0, F.col("y_sd")).otherwise(F.lit(1.0))
-    train = stage(scored.where("is_train").select(*keys, *spec.inputs, ((F.col("_y") - F.col("y_mean")) / sd).alias("_z")))
-    beta = fit_svr(train, spec.inputs, "_z", keys, s["C"], s["epsilon"])
-    table = svr_table(frame.sparkSession, beta, keys, dict(train.dtypes))
+    z = (F.col("_y") - F.col("y_mean")) / _sd()
+    return scored, stage(scored.where("is_train").select(*keys, *keep, *spec.inputs, "_y", z.alias("_z")))
+
+
+def _sd():
+    return F.when(F.col("y_sd") > 0, F.col("y_sd")).otherwise(F.lit(1.0))
+
+
+def _svr_results(prepared: Prepared, scored: DataFrame, train: DataFrame, beta: dict, keys, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    groups = [k for k in keys if k != "run"]
+    table = svr_table(scored.sparkSession, beta, keys, dict(train.dtypes))
     held = scored.where(~F.col("is_train")).join(table, keys)
-    yhat = F.col("y_mean") + sd * G.linear_value("svr", spec.inputs)
+    yhat = F.col("y_mean") + _sd() * G.linear_value("svr", spec.inputs)
     if not prepared.resid:
         yhat = F.greatest(yhat, F.lit(0.0))
     preds = held.select(*groups, spec.id, F.col("run").alias("fold"), F.lit("svr").alias("model"), F.col("_y").alias("y"), yhat.alias("yhat"))
@@ -179,6 +193,15 @@ def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None,
     return preds, coefs
 
 
+def svr_predictions(prepared: Prepared, frame: DataFrame, groups=(), spec=None, **params) -> tuple[DataFrame, DataFrame]:
+    """Linear epsilon-SVR on the z-scored residual target, and its coefficients (groups..., run, feature, value)."""
+    spec, keys = spec or prepared.spec, [*groups, "run"]
+    s = {"C": 1.0, "epsilon": 0.1, **spec.models.get("svr", {}), **params}
+    scored, train = _svr_rows(prepared, frame, keys, spec)
+    beta = fit_svr(train, spec.inputs, "_z", keys, s["C"], s["epsilon"])
+    return _svr_results(prepared, scored, train, beta, keys, spec)
+
+
 def pooled(prepared: Prepared, frame: DataFrame, model="ridge", groups=(), spec=None) -> DataFrame:
     """(groups..., model, target, pearson_r, r2, mse, n) of one model over all held-out rows; `svr` or a linear model."""
     spec, groups = spec or prepared.spec, list(groups)
@@ -209,24 +232,87 @@ def forest_predictions(prepared: Prepared, frame: DataFrame, spec=None, **params
     return out
 
 
-def nested_cv(df: DataFrame, spec: Spec, models=("ridge",), svr=False, forest=False) -> dict[str, DataFrame]:
-    """Predictions, pooled and per-fold metrics, coefficients and residualizer terms of all models over the same folds."""
-    prepared = prepare(df, spec)
-    frame = prepared.frame()
+def tuned(prepared: Prepared, frame: DataFrame, grid: dict, scoring="neg_mae") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Choices (run, model, candidate, place, score), the chosen linear fits under their model's name, and SVR predictions if `grid` has svr.
+
+    `grid` is {model: {setting: values}}; `prepared` and the staged `frame` have inner folds. As in the studied pipeline, features and the
+    residual target are those of the outer training set, and a tuned model is fitted without row weights.
+    """
+    spec = prepared.spec
+    table = stage(G.run_table(frame, spec.inputs, prepared.resid, [spec.target], (), None, part="inner"))
+    whole = table.groupBy("run", "side", "i", "j").agg(F.sum("value").alias("value"))
+    candidates = T.linear_candidates(grid, spec.models)
+    plain = [m for points in candidates.values() for _, m in points]
+    fitted = stage(G.solve_runs(whole, spec.inputs, prepared.resid, [spec.target], plain or [linear_model("ridge")], (), bool(prepared.resid)))
+    # Residual terms and target moments are the same for every model.
+    scored, train = _svr_rows(prepared, frame, ["run"], spec, fitted.dropDuplicates(["run"]), ["inner"])
+    sums = None
+    if candidates:
+        sums = stage(T.inner_fits(table, spec.inputs, prepared.resid, candidates, (), bool(prepared.resid)))
+        if scoring == "neg_mae":
+            coefs: dict = {}
+            for r in sums.select("run", "inner", "model", "candidate", "place", "coef").collect():  # runs x inner folds x candidates
+                coefs.setdefault(((r.run,), r.inner), []).append((r.model, r.candidate, r.place, r.coef))
+            sums = T.score_rows(train, spec.inputs, "_y", ["run"], "inner", coefs)
+        sums = sums.drop("coef")
+    if "svr" in grid:
+        points = T.svr_candidates(grid, spec.models)
+        parts = [r[0] for r in train.select("inner").distinct().collect()]
+        found = fit_svr_variants(train, spec.inputs, "_z", ["run"], T.svr_variants(points, parts), "inner")
+        coefs = {}
+        for (key, name), b in found.items():
+            place, inner = map(int, name.split("|"))
+            coefs.setdefault((key, inner), []).append(("svr", points[place][0], place, b))
+        more = T.score_rows(train, spec.inputs, "_z", ["run"], "inner", coefs)
+        columns = more.columns if sums is None or "sae" in sums.columns else sums.columns
+        sums = more if sums is None else sums.unionByName(more.select(*columns))
+    choices = stage(T.choose(sums, ["run"], scoring))
+    names = {m.name: name for name, points in candidates.items() for _, m in points}
+    to_name = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    best = None
+    if candidates:
+        picked = choices.where("model <> 'svr'").select("run", F.concat("model", F.lit("["), "candidate", F.lit("]")).alias("model"))
+        best = fitted.join(picked, ["run", "model"]).withColumn("model", to_name[F.col("model")])
+    preds = None
+    if "svr" in grid:
+        chosen = {(r.run,): [Variant("", *points[r.place][1:])] for r in choices.where("model = 'svr'").collect()}
+        beta = fit_svr_variants(train, spec.inputs, "_z", ["run"], chosen.get)
+        preds = _svr_results(prepared, scored, train, {key: b for (key, _), b in beta.items()}, ["run"], spec)[0]
+    return choices, best if best is not None else fitted.limit(0), preds
+
+
+def nested_cv(df: DataFrame, spec: Spec, models=("ridge",), svr=False, forest=False, grid=None, inner_folds=3, scoring="neg_mae") -> dict[str, DataFrame]:
+    """Predictions, pooled and per-fold metrics, coefficients and residualizer terms of all models over the same folds.
+
+    With `grid` ({model: {setting: values}}, of linear models and `svr`), the models it names have their settings chosen in each outer training set by
+    `inner_folds` inner folds and `scoring` ("neg_mae", "neg_mse" or "pearson_r"); `choices` tells which.
+    """
+    prepared = prepare(df, spec, inner=inner_folds if grid else 0)
+    frame = stage(prepared.frame())
+    plain = [m for m in models if m not in (grid or {})]
     # The residualizer's terms come with a linear model; without one they are those of ridge.
-    fitted = stage(fits(prepared, frame, models or ("ridge",)))
-    preds = predict(prepared, frame, fitted if models else fitted.limit(0))
-    if svr:
+    fitted = fits(prepared, frame, plain or ("ridge",))
+    out = {}
+    kept = fitted if plain else fitted.limit(0)
+    preds = None
+    if grid:
+        out["choices"], best, preds = tuned(prepared, frame, grid, scoring)
+        kept = kept.unionByName(best)
+    kept = stage(kept)
+    linear = predict(prepared, frame, kept)
+    preds = linear if preds is None else linear.unionByName(preds)
+    if svr and "svr" not in (grid or {}):
         preds = preds.unionByName(svr_predictions(prepared, frame)[0])
     if forest:
         preds = preds.unionByName(forest_predictions(prepared, frame))
     preds = stage(preds)
     return {
+        **out,
         "predictions": preds,
         "metrics": V.regression_metrics(preds, "y", "yhat", ["model"], ranks=False),
         "fold_metrics": V.regression_metrics(preds, "y", "yhat", ["model", "fold"], ranks=False),
-        "coefficients": G.coefficients(fitted, spec.inputs),
-        "residual_terms": G.residual_terms(fitted, prepared.resid),
+        "coefficients": G.coefficients(kept, spec.inputs),
+        "residual_terms": G.residual_terms(fitted if not grid else kept.unionByName(fitted), prepared.resid),
     }
 
 

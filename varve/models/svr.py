@@ -62,16 +62,18 @@ class Fit:
     mu: float
     C: float
     tol: float
+    epsilon: float = 0.1
+    reach: float = float("inf")  # the intercept's longest step
     levels: list = field(default_factory=list)
     passes: int = 0  # in this level
     before: tuple | None = None  # the last point of this level, its objective and, in a search, the step
     searching: bool = False
     done: bool = False
 
-    def sums(self, x, t, epsilon):
+    def sums(self, x, t):
         if self.searching:
-            return search_sums(x, t, self.levels, self.before[0], self.before[2], self.mu, epsilon, self.C)
-        return row_sums(x, t, self.levels, self.b, self.mu, epsilon, self.C)
+            return search_sums(x, t, self.levels, self.before[0], self.before[2], self.mu, self.epsilon, self.C)
+        return row_sums(x, t, self.levels, self.b, self.mu, self.epsilon, self.C)
 
     def advance(self, sums: np.ndarray) -> None:
         """Use the sums at the current point: end, halve a step that failed, or take the next one."""
@@ -104,59 +106,84 @@ class Fit:
             self.levels.append((self.b, self.mu))
             shrink = 0.5 if self.passes <= 5 else 1.0
             off, self.mu, self.passes = off + moved / shrink, self.mu * shrink, 0
-        # With no free row the intercept would be free.
-        hold = np.diag([1e-10 * max(a[0, 0], 1.0) / self.mu] + [1.0] * (q - 1))
+        # With few free rows or none the intercept would be thrown far beyond the data.
+        hold = np.diag([max(1e-10 * max(a[0, 0], 1.0) / self.mu, abs(off[0]) / self.reach - a[0, 0] / self.mu)] + [1.0] * (q - 1))
         self.before = None if settled else (self.b, value, None)
         self.b = self.b + np.linalg.solve(hold + a / self.mu, off)
 
 
+@dataclass(frozen=True)
+class Variant:
+    """One of several fits on the rows of a group: its settings, and the part of the rows that it leaves out."""
+
+    name: str
+    C: float = 1.0
+    epsilon: float = 0.1
+    without: int | None = None
+
+
 def fit_svr(train: DataFrame, features, y: str, keys, C=1.0, epsilon=0.1, tol=1e-4, most_passes=500) -> dict:
-    """{key: [intercept, coef...]} minimising |beta|^2/2 + C * sum(max(|y - f| - epsilon, 0)) per key.
+    """{key: [intercept, coef...]} minimising |beta|^2/2 + C * sum(max(|y - f| - epsilon, 0)) per key."""
+    found = fit_svr_variants(train, features, y, keys, lambda key: [Variant("", C, epsilon)], tol=tol, most_passes=most_passes)
+    return {key: b for (key, _), b in found.items()}
+
+
+def fit_svr_variants(train: DataFrame, features, y: str, keys, variants, part: str | None = None, tol=1e-4, most_passes=500) -> dict:
+    """{(key, variant name): [intercept, coef...]}: for each key all fits that `variants(key)` lists, over the same rows.
 
     Proximal steps on the dual round the corners of the loss; each is solved by Newton steps, one cross-product aggregate over
-    the data and a p x p solve each. A step that raises the objective is halved. A group ends when its duality gap proves its
-    coefficients within `tol` times their length of the optimum. Groups that have not ended after `most_passes` raise an error.
-    Only (keys x p^2) numbers reach the driver. `train` is read once per step: stage or cache it.
+    the data and a p x p solve each. A step that raises the objective is halved. A fit ends when its duality gap proves its
+    coefficients within `tol` times their length of the optimum. Fits that have not ended after `most_passes` raise an error.
+    A variant with `without` leaves out the rows whose column `part` has that value; rows are never copied for a variant.
+    Only (fits x p^2) numbers reach the driver. `train` is read once per step: stage or cache it.
     """
     features, keys = list(features), list(keys)
     p = len(features)
     kinds = dict(train.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["i int, value double"])
-    rows = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*features, y]]).dropna("any", subset=[*features, y])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["variant string, i int, value double"])
+    rows = train.select(*keys, *([part] if part else []), *[F.col(c).cast("double").alias(c) for c in [*features, y]]).dropna("any", subset=[*features, y])
     start = rows.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd")).toPandas()
     fits: dict = {}
+    without: dict = {}
     for *key, mean, sd in start[[*keys, "_mean", "_sd"]].itertuples(index=False, name=None):
-        fits[tuple(key)] = Fit(np.concatenate([[mean], np.zeros(p)]), max(sd, 1e-6) / C, C, tol)
+        for v in variants(tuple(key)):
+            fits[tuple(key), v.name] = Fit(np.concatenate([[mean], np.zeros(p)]), max(sd, 1e-6) / v.C, v.C, tol, v.epsilon, max(sd, 1e-6))
+            without[tuple(key), v.name] = v.without
 
     def one_pass(current):
+        by_key: dict = {}
+        for (key, name), fit in current.items():
+            by_key.setdefault(key, {}).setdefault(without[key, name], []).append((name, fit))
+
         def partial(batches):
             sums: dict = {}
             for pdf in batches:
-                for key, part in pdf.groupby(keys, sort=False):
+                for key, mine in pdf.groupby(keys, sort=False):
                     key = key if isinstance(key, tuple) else (key,)
-                    if key not in current:
-                        continue
-                    x = np.column_stack([np.ones(len(part)), part[features].to_numpy(dtype=float)])
-                    t = part[y].to_numpy(dtype=float)
-                    sums[key] = sums.get(key, 0.0) + current[key].sums(x, t, epsilon)
-            for key, block in sums.items():
-                frame = pd.DataFrame({"i": np.arange(len(block), dtype="int32"), "value": block})
+                    for gone, some in by_key.get(key, {}).items():
+                        used = mine if gone is None else mine[mine[part] != gone]
+                        x = np.column_stack([np.ones(len(used)), used[features].to_numpy(dtype=float)])
+                        t = used[y].to_numpy(dtype=float)
+                        for name, fit in some:
+                            sums[key, name] = sums.get((key, name), 0.0) + fit.sums(x, t)
+            for (key, variant), block in sums.items():
+                frame = pd.DataFrame({"variant": variant, "i": np.arange(len(block), dtype="int32"), "value": block})
                 for name, value in zip(keys, key):
                     frame[name] = value
-                yield frame[[*keys, "i", "value"]]
+                yield frame[[*keys, "variant", "i", "value"]]
 
-        return rows.mapInPandas(partial, schema).groupBy(*keys, "i").agg(F.sum("value").alias("value")).toPandas()
+        return rows.mapInPandas(partial, schema).groupBy(*keys, "variant", "i").agg(F.sum("value").alias("value")).toPandas()
 
     for _ in range(most_passes):
         current = {k: f for k, f in fits.items() if not f.done}
         if not current:
-            return {k: f.b for k, f in fits.items()}
-        for key, part in one_pass(current).groupby(keys, sort=False):
-            key = key if isinstance(key, tuple) else (key,)
-            fits[key].advance(part.sort_values("i")["value"].to_numpy())
-    if all(f.done for f in fits.values()):
-        return {k: f.b for k, f in fits.items()}
-    raise RuntimeError(f"support vector regression did not settle after {most_passes} passes: {[k for k, f in fits.items() if not f.done]}")
+            break
+        for (*key, name), block in one_pass(current).groupby([*keys, "variant"], sort=False):
+            fits[tuple(key), name].advance(block.sort_values("i")["value"].to_numpy())
+    late = [k for k, f in fits.items() if not f.done]
+    if late:
+        raise RuntimeError(f"support vector regression did not settle after {most_passes} passes: {late}")
+    return {k: f.b for k, f in fits.items()}
 
 
 def svr_table(spark, beta: dict, keys, kinds: dict) -> DataFrame:

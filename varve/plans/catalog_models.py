@@ -301,6 +301,27 @@ def k17(spark, d):
     return R.nested_cv(baseline_rows(spark, d), spec())["metrics"]
 
 
+# The settings that the study tries for each model.
+GRID = {
+    "ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]},
+    "elastic_net": {"alpha": [0.001, 0.01, 0.1, 1.0], "l1_ratio": [0.1, 0.5, 0.9]},
+    "svr": {"C": [0.01, 0.1, 1.0, 10.0], "epsilon": [0.01, 0.05, 0.1, 0.2]},
+}
+
+
+@query("K13_tuned_regression")
+def k13b(spark, d):
+    """Metrics of all models with their settings chosen inside each outer fold, by mean absolute error."""
+    return R.nested_cv(baseline_rows(spark, d), spec(), tuple(GRID), grid=GRID)["metrics"]
+
+
+@query("K13_regression_choices")
+def k13c(spark, d):
+    """The settings that each outer fold chooses for the linear models, by correlation."""
+    grid = {m: GRID[m] for m in ("ridge", "elastic_net")}
+    return R.nested_cv(baseline_rows(spark, d), spec(), tuple(grid), grid=grid, scoring="pearson_r")["choices"]
+
+
 @query("K18_cross_sectional_svc")
 def k18(spark, d):
     rows = baseline_rows(spark, d).withColumn("y", (F.col("target") > 250_000).cast("int"))
