@@ -66,9 +66,9 @@ def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight:
 
         for pdf in batches:
             by = out_keys[: len(keys)] + ([side] if side else [])
-            parts = pdf.groupby(by, sort=False) if by else [((), pdf)]
+            parts = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
             for key, rows in parts:
-                key = key if isinstance(key, tuple) else (key,)
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 if side:
                     train = bool(key[-1])
                     add((*key[:-1], "train" if train else "test"), rows)

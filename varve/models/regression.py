@@ -17,6 +17,7 @@ from varve.operators.combat import _numeric, fit_site_model
 from varve.operators.prep import complete, drop_small_groups, iqr_filter, range_filter, target_filter
 from varve.operators.resample import permute
 from varve.operators.shape import quantile_bin
+from varve.operators.shuffles import number_rows, shuffled_targets
 from varve.operators.splits import assign_folds, assign_group_folds, stratification_key
 from varve.operators.weighting import apply_scaler, fit_scaler, inverse_bin_weights, inverse_value_weights, runs
 from varve.session import stage
@@ -331,26 +332,25 @@ def compare_feature_sets(df: DataFrame, spec: Spec, sets=("raw", "asymmetry", "t
 def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", groups=(), alternative="two-sided") -> tuple[DataFrame, DataFrame]:
     """Pooled r of the real target and of `perms` shuffles of it under the same folds and harmonization.
 
-    The shuffles are extra target columns of one cross-product pass: features, folds and site effects are shared. For `svr`
-    they are groups of one fit, over rows that carry the shared features.
+    Targets are shuffled within `groups`. The shuffles are extra targets of one cross-product pass, made in its tasks by a bijection of row numbers:
+    features, folds and site effects are shared, and no row is shuffled for them. For `svr` they are groups of one fit, over rows that
+    carry the shared features.
     Returns (groups..., draw, pearson_r) and (groups..., observed, p).
     """
     groups = list(groups)
     prepared = prepare(df, spec, keep=groups)
     rows = prepared.rows
-    tall = permute(rows, spec.id, spec.target, perms, spec.seed)
     if model == "svr":
+        tall = permute(rows, spec.id, spec.target, perms, spec.seed)
         real = rows.select(spec.id, F.lit(-1).alias("_draw"), F.col(spec.target).alias("_target"))
         shuffled = tall.select(spec.id, F.col("perm").cast("int").alias("_draw"), F.col("permuted").alias("_target"))
         many = stage(prepared.frame(groups)).join(real.unionByName(shuffled), spec.id).drop(spec.target).withColumnRenamed("_target", spec.target)
         scores = pooled(prepared, many, model, [*groups, "_draw"])
-        target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("_perm"), F.col("_draw")))
+        target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("perm"), F.col("_draw")))
         return _against_null(stage(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
-    wide = tall.groupBy(spec.id).agg(*[F.max(F.when(F.col("perm") == j, F.col("permuted"))).alias(f"_perm{j}") for j in range(perms)])
-    rows = stage(rows.join(wide, spec.id))
-    frame = prepared.frame(groups, rows=rows)
-    targets = [spec.target, *[f"_perm{j}" for j in range(perms)]]
-    scores = stage(G.pooled_r(fits(prepared, frame, [model], targets, groups), groups))
+    numbered, block = shuffled_targets(number_rows(rows, spec.id, groups, spec.seed), spec.target, perms, spec.seed)
+    frame = prepared.frame(groups, rows=numbered)
+    scores = stage(G.pooled_r(fits(prepared, frame, [model], [spec.target], groups, block=block), groups))
     return _against_null(scores, spec.target, groups, alternative)
 
 

@@ -14,12 +14,13 @@ from varve.operators import combat as H
 from varve.operators import evaluation as V
 from varve.operators import weighting as W
 from varve.operators.ols import ols
+from varve.operators.shuffles import shuffled_correlations
 from varve.operators.splits import assign_folds
 from varve.plans import longitudinal as N
 from varve.plans import robustness as B
 from varve.plans.catalog_prep import AI, BASE, VISITS, YEAR2, query, r6
 from varve.plans.catalog_stats import AI_CTE, CHI, MENG, VERSUS, cohort_ai, corr_sql, t_cols, t_sql
-from varve.plans.visits import FEATURES, PAIRS, table, visits
+from varve.plans.visits import FEATURES, PAIRS, VISITS_SQL, table, visits
 from varve.session import stage
 
 DISC = ("qty_lh", "qty_rh", "price_lh", "price_rh")
@@ -331,7 +332,7 @@ def k18(spark, d):
 
 @query("K19_saved_folds_permuted")
 def k19(spark, d):
-    null, _ = R.permutation_null(baseline_rows(spark, d), spec(), 10)
+    null, _ = R.permutation_null(baseline_rows(spark, d), spec(), 1000)
     return null
 
 
@@ -345,7 +346,28 @@ def k20(spark, d):
 
 @query("M18_permutation_test")
 def m18(spark, d):
-    return R.permutation_null(baseline_rows(spark, d), spec(), 20)[1]
+    return R.permutation_null(baseline_rows(spark, d), spec(), 1000)[1]
+
+
+def donor_sql(rows, perms, seed=42):
+    """Common table expressions: `dn` (perm, slot, donor) for the slots of `rows` (one row each, numbered from 0 in column slot)."""
+    keys = ", ".join(f"('0x' || substr(md5('{seed}|perm|' || perm || '|{r}'), 1, 8))::bigint & 2147483647" for r in range(6))
+    step = "list_reduce(list_prepend({v}, ks), lambda a, k: ((a & m) << h) | xor(a >> h, (((((a & m) + k) & 2147483647) * 1103515245) >> 15) & m))"
+    return f"""
+sz as (select count(*) n, greatest(1, ceil(length(case when count(*) > 1 then bin(count(*) - 1) else '' end) / 2.0))::bigint h from {rows}),
+pk as (select perm, n, h, ((1::bigint << h) - 1)::bigint m, [{keys}] ks from range(0, {perms}) t(perm), sz),
+wk(perm, slot, v, n, h, m, ks) as (
+  select perm, slot, {step.format(v="slot")}, n, h, m, ks from pk, {rows}
+  union all select perm, slot, {step.format(v="v")}, n, h, m, ks from wk where v >= n),
+dn as (select perm, slot, v donor from wk where v < n)"""
+
+
+@query("M18_shuffled_correlations", f"with recursive {VISITS_SQL.strip()}, " "bs as (select id, target, qty_lh, price_rh, row_number() over (order by md5(concat_ws('|', '42', 'order', id)), id) - 1 slot from visits where yr = 1995 and target is not null and qty_lh is not null and price_rh is not null), "
+       + donor_sql("bs", 1000) + " select f feature, perm::int perm, round(corr(x, y), 6) r from (select perm, a.qty_lh, a.price_rh, b.target y from dn join bs a on a.slot = dn.slot join bs b on b.slot = dn.donor) unpivot (x for f in (qty_lh, price_rh)) group by f, perm", cohort=False)
+def m18c(spark, d):
+    """The null distribution of two features' correlations: 1,000 shuffles of the target."""
+    base = visits(spark, d).where(F.col("yr") == BASE)
+    return shuffled_correlations(base, "id", ["qty_lh", "price_rh"], "target", 1000).select("feature", "perm", r6("r"))
 
 
 @query("M18_permutation_test_svr")
@@ -360,14 +382,14 @@ def m19(spark, d):
 
 @query("M19_sex_stratified_permutation")
 def m19b(spark, d):
-    return R.permutation_null(baseline_rows(spark, d), spec(covariates=("age",), residualize=("age",)), 10, groups=["sex"])[1]
+    return R.permutation_null(baseline_rows(spark, d), spec(covariates=("age",), residualize=("age",)), 1000, groups=["sex"])[1]
 
 
 @query("M20_fold_permutation_bootstrap")
 def m20(spark, d):
     rows = baseline_rows(spark, d)
     preds = R.nested_cv(rows, spec())["predictions"]
-    p = R.permutation_null(rows, spec(), 10, alternative="greater")[1].select("observed", "p")
+    p = R.permutation_null(rows, spec(), 1000, alternative="greater")[1].select("observed", "p")
     boot = V.bootstrap_regression(preds, "id", "y", "yhat", 40).where("metric = 'pearson_r'").select("lower", "upper")
     return boot.withColumns({"observed": p.select("observed").scalar(), "p": p.select("p").scalar()})
 
