@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from varve.operators.association import spearman
+from varve.operators.bootstrap import draw_auc, draw_sums
 from varve.operators.ordering import order_stats, running_sums
 from varve.operators.resample import poisson_weights
 from varve.operators.shape import edge_bin
@@ -283,20 +284,40 @@ def intervals(draws: DataFrame, groups, level=0.95) -> DataFrame:
 
 
 def bootstrap_classification(df: DataFrame, ids, y: str, pred: str, score: str | None, draws: int, seed=42, level=0.95) -> DataFrame:
-    keep = [y, pred] + ([score] if score else [])
-    ids = [ids] if isinstance(ids, str) else list(ids)
-    weighted = poisson_weights(df.select(*ids, *keep), ids, draws, seed)
-    return intervals(classification_metrics(weighted, y, pred, score, ["b"], "w"), [], level)
+    """(metric, mean, lower, upper) of the reported metrics and, with `score`, of the area under the ROC curve."""
+    yes, called = F.col(y) == 1, F.col(pred) == 1
+    cells = {"tp": yes & called, "fp": ~yes & called, "fn": yes & ~called, "tn": ~yes & ~called}
+    known = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    exprs = rates()
+    out = tall_metrics(draw_sums(known, ids, cells, draws, seed), ["b"], {m: exprs[m] for m in REPORTED})
+    if score:
+        out = out.unionByName(draw_auc(df, ids, y, score, draws, seed).select("b", F.lit("roc_auc").alias("metric"), F.col("auc").alias("value")))
+    return intervals(out, [], level)
+
+
+def _draw_exprs(prefix="") -> dict[str, Column]:
+    """Metrics of one draw from its sums. A side counts as constant when its spread is lost beside its distance from the overall mean."""
+    c = lambda n: F.col(prefix + n)
+    va, vb = c("saa") - c("sa") * c("sa") / c("n"), c("sbb") - c("sb") * c("sb") / c("n")
+    cov = c("sab") - c("sa") * c("sb") / c("n")
+    flat = (c("n") <= 1) | (va <= 1e-12 * c("saa")) | (vb <= 1e-12 * c("sbb"))
+    out = {"pearson_r": F.when(flat, F.lit(0.0)).otherwise(cov / F.sqrt(va * vb))}
+    if not prefix:
+        mse = c("sse") / c("n")
+        out |= {"r2": F.when(va > 1e-12 * c("saa"), 1 - c("sse") / va).otherwise(F.lit(0.0)), "mae": c("sae") / c("n"), "mse": mse, "rmse": F.sqrt(mse)}
+    return out
 
 
 def bootstrap_regression(df: DataFrame, ids, y: str, pred: str, draws: int, seed=42, level=0.95, ranks=False) -> DataFrame:
-    """Intervals of the regression metrics; `ranks` adds Spearman, which needs one ordering per draw."""
+    """Intervals of the regression metrics; `ranks` adds Spearman, which needs one ordering, and a row, per draw."""
     ids = [ids] if isinstance(ids, str) else list(ids)
     mean = df.agg(F.avg(F.col(y).cast("double")).alias("mean")).first()["mean"] or 0.0
     moved = df.select(*ids, (F.col(y).cast("double") - mean).alias("_a"), (F.col(pred).cast("double") - mean).alias("_b"))
-    weighted = poisson_weights(moved, ids, draws, seed)
-    out = tall_metrics(regression_sums(weighted, "_a", "_b", ["b"], "w"), ["b"], regression_exprs())
+    a, b = F.col("_a"), F.col("_b")
+    stats = {"n": F.lit(1.0), "sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b, "sae": F.abs(a - b), "sse": (a - b) * (a - b)}
+    out = tall_metrics(draw_sums(moved.where(a.isNotNull() & b.isNotNull()), ids, stats, draws, seed), ["b"], _draw_exprs())
     if ranks:
+        weighted = poisson_weights(moved, ids, draws, seed)
         rho = spearman(weighted, "_a", "_b", ["b"], "w").select("b", F.lit("spearman_r").alias("metric"), F.coalesce("rho", F.lit(0.0)).alias("value"))
         out = out.unionByName(rho)
     return intervals(out, [], level)
@@ -305,15 +326,20 @@ def bootstrap_regression(df: DataFrame, ids, y: str, pred: str, draws: int, seed
 def bootstrap_correlations(df: DataFrame, ids, features, target: str, draws: int, seed=42, level=0.95) -> DataFrame:
     """Per feature: observed r, interval and sign-based two-sided bootstrap p."""
     from varve.operators.association import correlations
-    from varve.operators.shape import melt
 
-    ids = [ids] if isinstance(ids, str) else list(ids)
-    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*features, target]]).first()
-    centred = df.select(*ids, *[(F.col(c).cast("double") - F.lit(mean[c] or 0.0)).alias(c) for c in [*features, target]])
-    weighted = poisson_weights(centred, ids, draws, seed)
-    tall = melt(weighted, ["b", "w", target], features)
-    sums = regression_sums(tall, target, "value", ["b", "feature"], "w")
-    rs = sums.select("b", "feature", regression_exprs()["pearson_r"].alias("value"))
+    ids, features = [ids] if isinstance(ids, str) else list(ids), list(features)
+    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([target, *features])]).first()
+    centred = [F.col(c).cast("double") - F.lit(mean[f"m{i}"] or 0.0) for i, c in enumerate([target, *features])]
+    stats = {}
+    for i, b in enumerate(centred[1:]):
+        a = F.when(b.isNotNull(), centred[0])
+        b = F.when(a.isNotNull(), b)
+        named = {"n": F.when(a.isNotNull(), F.lit(1.0)), "sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}
+        stats |= {f"f{i}_{n}": e for n, e in named.items()}
+    sums = draw_sums(df, ids, stats, draws, seed)
+    rs = sums.select("b", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"f{i}_n").alias("n"), _draw_exprs(f"f{i}_")["pearson_r"].alias("value")) for i, f in enumerate(features)
+    ])).alias("_r")).select("b", "_r.*").where("n > 0")
     a = (1 - level) / 2
     out = rs.groupBy("feature").agg(
         F.percentile("value", F.lit(a)).alias("lower"), F.percentile("value", F.lit(1 - a)).alias("upper"),

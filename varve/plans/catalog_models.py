@@ -19,7 +19,7 @@ from varve.operators.splits import assign_folds
 from varve.plans import longitudinal as N
 from varve.plans import robustness as B
 from varve.plans.catalog_prep import AI, BASE, VISITS, YEAR2, query, r6
-from varve.plans.catalog_stats import AI_CTE, CHI, MENG, VERSUS, cohort_ai, corr_sql, t_cols, t_sql
+from varve.plans.catalog_stats import AI_CTE, CHI, MENG, VERSUS, cohort_ai, corr_sql, poisson_sql, t_cols, t_sql
 from varve.plans.visits import FEATURES, PAIRS, VISITS_SQL, table, visits
 from varve.session import stage
 
@@ -349,9 +349,9 @@ def m18(spark, d):
     return R.permutation_null(baseline_rows(spark, d), spec(), 1000)[1]
 
 
-def donor_sql(rows, perms, seed=42):
+def donor_sql(rows, perms, seed=42, tag="perm"):
     """Common table expressions: `dn` (perm, slot, donor) for the slots of `rows` (one row each, numbered from 0 in column slot)."""
-    keys = ", ".join(f"('0x' || substr(md5('{seed}|perm|' || perm || '|{r}'), 1, 8))::bigint & 2147483647" for r in range(6))
+    keys = ", ".join(f"('0x' || substr(md5('{seed}|{tag}|' || perm || '|{r}'), 1, 8))::bigint & 2147483647" for r in range(6))
     step = "list_reduce(list_prepend({v}, ks), lambda a, k: ((a & m) << h) | xor(a >> h, (((((a & m) + k) & 2147483647) * 1103515245) >> 15) & m))"
     return f"""
 sz as (select count(*) n, greatest(1, ceil(length(case when count(*) > 1 then bin(count(*) - 1) else '' end) / 2.0))::bigint h from {rows}),
@@ -390,14 +390,19 @@ def m20(spark, d):
     rows = baseline_rows(spark, d)
     preds = R.nested_cv(rows, spec())["predictions"]
     p = R.permutation_null(rows, spec(), 1000, alternative="greater")[1].select("observed", "p")
-    boot = V.bootstrap_regression(preds, "id", "y", "yhat", 40).where("metric = 'pearson_r'").select("lower", "upper")
+    boot = V.bootstrap_regression(preds, "id", "y", "yhat", 10_000).where("metric = 'pearson_r'").select("lower", "upper")
     return boot.withColumns({"observed": p.select("observed").scalar(), "p": p.select("p").scalar()})
 
 
-@query("M21_mean_gap", "g as (select id, target v, sex = '1' g from visits where yr = 1995), n as (select count(*) filter (where g) n1, avg(v) filter (where g) - avg(v) filter (where not g) gap from g), r as (select perm, v, row_number() over (partition by perm order by md5(concat_ws('|', '42', 'gap', id, perm)), id) rn from g, range(0, 20) t(perm)), nu as (select perm, avg(v) filter (where rn <= n1) - avg(v) filter (where rn > n1) gap from r, n group by perm) select round((select gap from n), 4) as gap, round((1 + count(*) filter (where abs(nu.gap) >= abs((select gap from n)))) / (1 + count(*)), 6) as p from nu")
+@query("M21_mean_gap", f"with recursive {VISITS_SQL.strip()}, g as (select id, target v, sex = '1' g, row_number() over (order by md5(concat_ws('|', '42', 'order', id)), id) - 1 slot from visits where yr = 1995 and target is not null), "
+       + "n as (select avg(v) filter (where g) - avg(v) filter (where not g) gap from g), " + donor_sql("g", 1000, tag="gap")
+       + ", nu as (select perm, avg(a.v) filter (where b.g) - avg(a.v) filter (where not b.g) gap from dn join g a on a.slot = dn.slot join g b on b.slot = dn.donor group by perm), "
+       + f"bo as (select sum(w * v) filter (where g) / sum(w) filter (where g) - sum(w * v) filter (where not g) / sum(w) filter (where not g) gap from {poisson_sql('g', 'id', 10000)} group by b) "
+       + "select round((select gap from n), 4) as gap, round((1 + count(*) filter (where abs(nu.gap) >= abs((select gap from n)))) / (1 + count(*)), 6) as p, "
+       + "(select round(quantile_cont(gap, 0.025), 4) from bo) as lower, (select round(quantile_cont(gap, 0.975), 4) from bo) as upper from nu", cohort=False)
 def m21(spark, d):
     base = visits(spark, d).where(F.col("yr") == BASE)
-    return N.mean_gap(base, "id", F.col("sex") == "1", "target", 20, 20).select(F.round("gap", 4).alias("gap"), r6("p"))
+    return N.mean_gap(base, "id", F.col("sex") == "1", "target", 1000, 10_000).select(*[F.round(c, 4).alias(c) for c in ("gap", "lower", "upper")], r6("p"))
 
 
 @query("M23_permutation_importance")
@@ -510,7 +515,7 @@ def n11b(spark, d):
 @query("N12_prospective")
 def n12(spark, d):
     rows = visits(spark, d).where(F.col("sex").isin("1", "2"))
-    return N.prospective(rows, spec(residualize=("age",)), "yr", BASE, YEAR2, perms=5, draws=20)["bootstrap"]
+    return N.prospective(rows, spec(residualize=("age",)), "yr", BASE, YEAR2, perms=1000, draws=10_000)["bootstrap"]
 
 
 @query("N13_delta_model")

@@ -12,7 +12,7 @@ from varve.operators import resample as R
 from varve.operators import shape as E
 from varve.operators import splits as L
 from varve.functions.hashing import POISSON_CUTS
-from varve.plans.catalog_prep import AI, BASE, QBIN, YEAR2, query, r6
+from varve.plans.catalog_prep import AI, BASE, QBIN, YEAR2, O, query, r6
 from varve.plans.catalog_prep import SPLIT_CTE, qc_visits, split_visits
 from varve.plans.visits import FEATURES, PAIRS, table, visits
 
@@ -549,8 +549,8 @@ IVAL = "select metric, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025),
     + f" union all select 'roc_auc', sum(p * (tq - cq + q / 2)) / (max(tp) * max(tq)) from cu group by b) {IVAL}",
     cohort=False,
 )
-def m14(spark, d):
-    out = V.bootstrap_classification(predictions(spark, d), "doc_id", "y", "yhat", "score", 40)
+def m14(spark, d, draws=40):
+    out = V.bootstrap_classification(predictions(spark, d), "doc_id", "y", "yhat", "score", draws)
     return out.select("metric", *[r6(c) for c in ("mean", "lower", "upper")])
 
 
@@ -563,8 +563,8 @@ WR = "(sab - sa*sb/n) / sqrt((saa - sa*sa/n) * (sbb - sb*sb/n))"
     f"with {RPRED}, mu as (select avg(y) m from rp), rc as (select o_orderkey, y - m y, yhat - m yhat from rp, mu), pw as {poisson_sql('rc', 'o_orderkey', 40)}, s as (select b, {WSUM} from pw group by b), mt as (select 'pearson_r' metric, {WR} v from s union all select 'r2', 1 - sse / (saa - sa*sa/n) from s) {IVAL}",
     cohort=False,
 )
-def m15(spark, d):
-    out = V.bootstrap_regression(regression_predictions(spark, d), "o_orderkey", "y", "yhat", 40).where(F.col("metric").isin("pearson_r", "r2"))
+def m15(spark, d, draws=40):
+    out = V.bootstrap_regression(regression_predictions(spark, d), "o_orderkey", "y", "yhat", draws).where(F.col("metric").isin("pearson_r", "r2"))
     return out.select("metric", *[r6(c) for c in ("mean", "lower", "upper")])
 
 
@@ -574,9 +574,19 @@ def m15(spark, d):
     + " union all ".join(f"select b, '{c}' feature, w, target - (select avg(target) from ba) y, {c} yhat from pw where {c} is not null" for c in AI)
     + f"), s as (select b, feature, {WSUM} from t group by b, feature), v as (select feature, {WR} v from s), u as ({corr_sql(AI, 'target', 'ba')}) select feature, any_value(u.r) as r, round(quantile_cont(v, 0.025), 6) as lower, round(quantile_cont(v, 0.975), 6) as upper, round(least(1, 2 * least(avg(cast(v <= 0 as int)), avg(cast(v >= 0 as int)))), 6) as p_boot from v join u using (feature) group by feature",
 )
-def m16(spark, d):
+def m16(spark, d, draws=40):
     base = cohort_ai(spark, d).where(F.col("yr") == BASE)
-    return V.bootstrap_correlations(base, "id", AI, "target", 40).select("feature", *[r6(c) for c in ("r", "lower", "upper", "p_boot")])
+    return V.bootstrap_correlations(base, "id", AI, "target", draws).select("feature", *[r6(c) for c in ("r", "lower", "upper", "p_boot")])
+
+
+def _many_draws(key, fn):
+    """The same query with the study's 10,000 draws."""
+    query(f"{key}_10000", O[key].replace("range(0, 40)", "range(0, 10000)"), cohort=False)(lambda spark, d: fn(spark, d, 10_000))
+
+
+_many_draws("M14_bootstrap_classification", m14)
+_many_draws("M15_bootstrap_regression", m15)
+_many_draws("M16_bootstrap_correlations", m16)
 
 
 PERM_R = PERM_SQL.replace("range(0, 3)", "range(0, 30)").replace(

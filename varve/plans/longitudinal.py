@@ -259,27 +259,31 @@ def severity_trajectories(df: DataFrame, id_col, timepoint, first, second, targe
 def mean_gap(df: DataFrame, id_col, group: Column, value: str, perms: int, draws: int, seed=42, level=0.95) -> DataFrame:
     """Gap of group means with a label-permutation p and a bootstrap interval.
 
-    A permutation deals the first group's size of rows by hash rank, one deal for both groups.
+    A permutation shuffles the labels over the rows by a bijection of their numbers; sums for all permutations, and for all draws of the
+    bootstrap, are one matrix product per Arrow batch.
     """
-    from varve.operators.ordering import hash_parts
-    from varve.operators.resample import poisson_weights
+    from varve.models.gram import Moments, gram
+    from varve.operators.bootstrap import draw_sums
+    from varve.operators.shuffles import number_rows, shuffled_targets
 
     rows = df.where(group.isNotNull() & F.col(value).isNotNull()).select(id_col, F.col(value).cast("double").alias("_v"), group.cast("boolean").alias("_g"))
     seen = rows.agg(
-        F.count_if("_g").alias("n1"), (F.avg(F.when(F.col("_g"), F.col("_v"))) - F.avg(F.when(~F.col("_g"), F.col("_v")))).alias("gap")
+        F.count_if("_g").alias("n1"), F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"),
+        (F.avg(F.when(F.col("_g"), F.col("_v"))) - F.avg(F.when(~F.col("_g"), F.col("_v")))).alias("gap"),
     ).first()
-    tall = rows.select(id_col, "_v").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    dealt = hash_parts(tall, [id_col, "perm"], lambda n: [F.lit(seen["n1"])], ["perm"], seed, "gap", "_part")
-    null = dealt.groupBy("perm").agg(
-        (F.avg(F.when(F.col("_part") == 0, F.col("_v"))) - F.avg(F.when(F.col("_part") == 1, F.col("_v")))).alias("gap")
-    )
-    p = null.agg(((1 + F.count_if(F.abs("gap") >= abs(seen["gap"]))) / (1 + F.count("gap"))).alias("p"))
-    boot = poisson_weights(rows, id_col, draws, seed)
+    numbered, block = shuffled_targets(number_rows(rows.withColumn("_g", F.col("_g").cast("double")), id_col, (), seed), "_g", perms, seed, "gap")
 
-    def mean_of(cond):
-        return F.sum(F.when(cond, F.col("w") * F.col("_v"))) / F.sum(F.when(cond, F.col("w")))
+    def gaps_of(pdf):
+        import pandas as pd
 
-    gaps = boot.groupBy("b").agg((mean_of(F.col("_g")) - mean_of(~F.col("_g"))).alias("gap"))
+        first = Moments.read(pdf, 2, 2 + perms).xy[1]
+        return pd.DataFrame({"gap": first / seen["n1"] - (seen["total"] - first) / (seen["n"] - seen["n1"])})
+
+    null = gram(numbered, ["_v"], [], [], block=block).withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(gaps_of, "gap double")
+    p = null.agg(((1 + F.count_if(F.abs("gap") >= abs(seen["gap"]))) / (1 + F.count("gap"))).alias("p"))
+    one = F.col("_g").cast("double")
+    boot = draw_sums(rows, id_col, {"n1": one, "s1": one * F.col("_v"), "n0": 1 - one, "s0": (1 - one) * F.col("_v")}, draws, seed)
+    gaps = boot.select((F.try_divide("s1", "n1") - F.try_divide("s0", "n0")).alias("gap"))
     a = (1 - level) / 2
     ends = gaps.agg(F.percentile("gap", F.lit(a)).alias("lower"), F.percentile("gap", F.lit(1 - a)).alias("upper"))
     return ends.withColumns({"gap": F.lit(seen["gap"]), "p": p.scalar()})
