@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,6 +12,7 @@ from varve.functions.scalars import asymmetry, clip
 from varve.operators.joins import paired
 from varve.operators.ols import ols
 from varve.operators.ordering import average_ranks, order_stats, running_min, running_sums
+from varve.operators.pair_tiles import CORRELATION, INTERACTION, pair_tiles, solve_correlations, solve_interactions
 from varve.operators.shape import melt
 from varve.session import stage
 
@@ -88,28 +87,14 @@ def correlation_tests(df: DataFrame, features, target: str, groups=(), alpha=0.0
 
 
 def correlation_matrix(df: DataFrame, left, right, groups=()) -> DataFrame:
-    """(groups..., a, b, r, n) for all left x right columns: pairs of one row meet inside the row."""
-    pairs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a in left
-        for b in right
-    ]
-    return _pair_stats(df, pairs, groups)
+    """(groups..., a, b, r, n) for all left x right columns, each over the rows in which both are known."""
+    return pair_tiles(df, left, right, CORRELATION, solve_correlations, "r double, n long", groups)
 
 
 def pairwise_correlations(df: DataFrame, columns, groups=()) -> DataFrame:
     """Each unordered pair of columns once."""
-    pairs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in combinations(sorted(columns), 2)
-    ]
-    return _pair_stats(df, pairs, groups)
-
-
-def _pair_stats(df, pairs, groups):
-    tall = df.select(*groups, F.explode(F.array(*pairs)).alias("_p")).select(*groups, "_p.a", "_p.b", "_p.x", "_p.y")
-    x, y = F.col("x"), F.col("y")
-    return tall.groupBy(*groups, "a", "b").agg(pearson(x, y).alias("r"), pairs_n(x, y).alias("n"))
+    columns = sorted(columns)
+    return pair_tiles(df, columns, columns, CORRELATION, solve_correlations, "r double, n long", groups, upper=True)
 
 
 def contrast_group_correlations(df: DataFrame, columns, target: str, percentile=75) -> DataFrame:
@@ -235,15 +220,11 @@ def sex_interaction(df: DataFrame, features, target: str, female: Column) -> Dat
 
 
 def pair_interactions(df: DataFrame, features, target: str) -> DataFrame:
-    """y ~ a + b + a*b for every pair of features; one aggregate over pairs exploded inside each row."""
-    items = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-        for a, b in combinations(sorted(features), 2)
-    ]
-    tall = df.select(target, F.explode(F.array(*items)).alias("_p")).select(target, "_p.*").withColumn("ab", F.col("a") * F.col("b"))
-    fit = ols(tall, target, ["a", "b", "ab"], ["feature_a", "feature_b"]).where(F.col("term") == "ab")
-    out = fit.select("feature_a", "feature_b", F.col("beta").alias("beta_interaction"), F.col("p").alias("p_interaction"), "r2", "n")
-    return adjust(out, "p_interaction")
+    """y ~ a + b + a*b for every pair of features: coefficient, t, p and r2 of the full model, with corrected p."""
+    features = sorted(features)
+    fit = pair_tiles(df, features, features, INTERACTION, solve_interactions, "beta_interaction double, t double, r2 double, n long", target=target, upper=True)
+    fit = stage(fit.withColumnsRenamed({"a": "feature_a", "b": "feature_b"}).withColumn("p_interaction", t_pvalue(F.col("t"), F.col("n") - 4.0)))
+    return adjust_many(fit, "p_interaction")
 
 
 def history_effects(df: DataFrame, features, target: str, history: str, ddof=1) -> tuple[DataFrame, DataFrame]:

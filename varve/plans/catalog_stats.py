@@ -326,6 +326,25 @@ def i16(spark, d):
     return A.pair_interactions(cohort_ai(spark, d), AI, "target")
 
 
+#: Interaction by partial regression of a*b and y on a and b, from covariances.
+_INTERACTION = " union all ".join(
+    f"select '{a}' feature_a, '{b}' feature_b, count(*) n, var_pop({a}) aa, var_pop({b}) bb, covar_pop({a}, {b}) ab, covar_pop({a}, {a} * {b}) az, covar_pop({b}, {a} * {b}) bz, "
+    f"covar_pop({a}, target) ay, covar_pop({b}, target) cy, covar_pop({a} * {b}, target) zy, var_pop({a} * {b}) zz, var_pop(target) yy from ai where {a} is not null and {b} is not null and target is not null"
+    for i, a in enumerate(sorted(AI)) for b in sorted(AI)[i + 1 :]
+)
+
+
+@query(
+    "I16_interaction_terms",
+    f"{AI_CTE}, c as ({_INTERACTION}), g as (select *, (az * bb - bz * ab) / (aa * bb - ab * ab) ga, (bz * aa - az * ab) / (aa * bb - ab * ab) gb, (ay * bb - cy * ab) / (aa * bb - ab * ab) da, (cy * aa - ay * ab) / (aa * bb - ab * ab) db from c), "
+    "h as (select *, zz - ga * az - gb * bz szz, zy - ga * ay - gb * cy szy from g), k as (select *, szy / szz beta, da * ay + db * cy + szy * szy / szz explained from h) "
+    "select feature_a, feature_b, round(beta, 3) as beta_interaction, round(beta / sqrt((yy - explained) * n / (n - 4) / (n * szz)), 5) as t, round(explained / yy, 8) as r2, n from k",
+)
+def i16b(spark, d):
+    out = A.pair_interactions(cohort_ai(spark, d), AI, "target")
+    return out.select("feature_a", "feature_b", F.round("beta_interaction", 3).alias("beta_interaction"), F.round("t", 5).alias("t"), F.round("r2", 8).alias("r2"), "n")
+
+
 @query("I17_history_t_tests", f"{AI_CTE}, " + t_sql(AI, "family % 3 = 0", "family % 3 <> 0", "ai"))
 def i17(spark, d):
     v = cohort_ai(spark, d).withColumn("fh", (F.col("family") % 3 == 0).cast("int"))
