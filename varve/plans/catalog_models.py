@@ -564,7 +564,7 @@ def r1(spark, d):
 
 @query("R2_split_halves")
 def r2(spark, d):
-    return B.split_halves(baseline_rows(spark, d), spec(), 4)[0]
+    return B.split_halves(baseline_rows(spark, d), spec(), 100)[0]
 
 
 @query("R3_leave_one_out")
@@ -608,7 +608,7 @@ def r5b(spark, d):
 
 @query("R7_one_per_family")
 def r7(spark, d):
-    return B.one_per_family(baseline_rows(spark, d), spec(), 4)[0]
+    return B.one_per_family(baseline_rows(spark, d), spec(), 100)[0]
 
 
 @query("R8_alternative_targets")
