@@ -4,7 +4,8 @@ The pages of a host are merged into one tree of element styles (the tags and cla
 as important as its content and presentation are various: text that returns on every page of the host, in the same
 layout, has none. Branches of low importance are cut from each page. Markup that names its role (nav, footer, class="ad", an
 article) decides first: on a host with few pages, or with adverts that rotate, entropy alone cannot tell. A class or id
-does so only by a whole name or its last part, and not for what holds the article or most of the page's text.
+does so only by a whole name or its last part, never for headings and inline elements, and, as forms, not for what holds the
+article or most of the page's text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from varve.session import stage
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg object canvas".split())
-_NOISE_TAGS = frozenset("head nav footer aside form menu button select dialog".split()) | _RAW
+_NOISE_TAGS = frozenset("head nav footer aside menu button select dialog".split()) | _RAW
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _NOISE_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu sidebar
@@ -42,6 +44,11 @@ _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fi
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
+#: A form of at least so many characters that holds most of the page's text is the page's frame.
+FRAME_CHARS = 200
+#: The text outside of article and main elements goes, unless it is more than so many times as long as theirs: then they are teasers.
+OUTSIDE = 3
+
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -73,7 +80,7 @@ class Node:
         self.style = (parent.style if parent else "") + ">" + tag + "".join("." + w for w in sorted(words))
         self.children: list[str] = []
         self.holds_main, self.chars = False, 0
-        named = tag not in _KEEP_TAGS and _names_noise(names, inside)
+        named = tag == "form" or (tag not in _KEEP_TAGS | _INLINE | _HEADINGS and _names_noise(names, inside))
         self.named: Node | None = self if named else parent.named if parent is not None else None  # the innermost element about it that is noise by its name
         if main or role == "main":
             for n in self.naming():
@@ -110,7 +117,7 @@ def _settle_names(opened: list[Node], blocks: list[tuple[Node, list[tuple[Node,
             for n in node.naming():
                 n.chars += size
     inside = lambda n: n.parent is not None and n.parent.main
-    spared = {n for n in opened if n.named is n and not inside(n) and 2 * n.chars > total}
+    spared = {n for n in opened if n.named is n and not inside(n) and 2 * n.chars > total and (n.tag != "form" or n.chars >= FRAME_CHARS)}
     live = lambda n: all(x in spared for x in n.naming())
     while not any(n.main and not n.noise and live(n) for n in opened):
         more = {n for n in opened if n.named is n and n.holds_main and n not in spared and (n.parent is None or live(n.parent))}
@@ -262,9 +269,11 @@ def style_importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
 
 
 def main_text(html: str | None, low: set[int] | None = None) -> str:
-    """Blocks of the article, one a line, without noise and without the styles in `low`. The plain blocks of an article or main element stay in any case."""
-    nodes, blocks = read_page(html or "")
-    article = any(n.main for n in nodes)
+    """Blocks of the article, one a line, without noise and without the styles in `low`.
+
+    The plain blocks of an article or main element stay in any case. Text outside of such elements goes, unless it outweighs them
+    (`OUTSIDE`), as beside a teaser."""
+    _, blocks = read_page(html or "")
     verdicts: dict[int, bool] = {}
 
     def cut(node: Node | None) -> bool:
@@ -275,7 +284,10 @@ def main_text(html: str | None, low: set[int] | None = None) -> str:
             verdicts[id(node)] = (not plain and _code(node.style) in low) or cut(node.parent)
         return verdicts[id(node)]
 
-    return "\n".join(t for n, t in blocks if not n.noise and (n.main or not article) and not (low and cut(n)))
+    left = [(n.main, t) for n, t in blocks if not n.noise and not (low and cut(n))]
+    inside = sum(len(t) for main, t in left if main)
+    article = inside and sum(len(t) for _, t in left) <= (1 + OUTSIDE) * inside
+    return "\n".join(t for main, t in left if main or not article)
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
