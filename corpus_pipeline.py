@@ -17,14 +17,23 @@ from varve.session import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; null texts and texts without a letter go."""
+    """Rows whose text has a language; null and empty texts and texts without a letter go.
+
+    The model learns from the rows' own non-null `lang`; where there is none, every text with a letter stays. Repeated rows fare alike.
+    """
     return keep_identified(docs, fit_languages(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates (five words, 0.8)."""
-    kept = near_duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    """The document with the smallest doc_id of each group of near-duplicates (five words, 0.8); null and wordless texts stay.
+
+    Of rows that repeat a kept doc_id and its text one stays; texts that differ under one doc_id are documents of their own.
+    """
+    kept = near_duplicate_groups(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stage(kept)
+    same = docs.doc_id.eqNullSafe(kept._kept)
+    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    return once.unionByName(docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,6 +291,18 @@ def test_names_do_not_cut_the_article():
     assert main_text("<body><p>Words <span class=ad>buy</span> go on</p><div class='top-banner'>b</div>") == "Words go on"
 
 
+def test_main_text_keeps_what_names_and_forms_do_not_tell():
+    framed = "<body><form id=aspnetForm><div class=menu>m</div><article><h1>T</h1><p>Body text.</p><form><label>Your mail</label></form></article></form>"
+    assert main_text(framed) == "T\nBody text."
+    assert main_text("<body><form>" + "<p>Long text of the page.</p>" * 20 + "<button>Go</button></form>").count("Long text") == 20
+    assert main_text("<body><p>Hello</p><form><label>Your name</label></form>") == "Hello"
+    assert main_text("<article><pre>x = 1 <span class='hljs-comment'># note</span></pre></article>") == "x = 1 # note"
+    assert main_text("<article><h2 id=search>Search</h2><p>How.</p><h2 class=login>Login</h2><p>So.</p></article>") == "Search\nHow.\nLogin\nSo."
+    story = "The long story. " * 20
+    assert main_text(f"<body><article class=card><p>Teaser</p></article><div><p>{story}</p></div>") == f"Teaser\n{story.strip()}"
+    assert main_text(f"<body><article><p>{story}</p></article><div><p>More links</p></div>") == story.strip()
+
+
 def test_main_text_of_small_hosts(spark):
     """A block that all pages of a host have goes from two pages on; one page, copies of it, and a block of some pages do not decide."""
     box = "<div class=box><p>Sign the guest book</p></div>"

@@ -3,6 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from varve.llm.catalog import Q
 from varve.llm.near_dedup import near_duplicate_groups
 from varve.session import stage
@@ -31,6 +33,16 @@ def test_stages_decide_on_their_own_input(spark):
     assert ids(out["sharding"][1]) == ids(mixed) and {"shard", "slot"} <= set(docs.columns)
 
 
+def test_stages_on_repeated_rows_and_without_languages(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, None), (1, text, None), (2, text, None), (3, "other words here", None), (3, "quite another text", None), (None, text + " end", None), (4, "%% 12", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "_kept": F.lit("x"), "_rows": F.lit("y")})
+    left = stage(corpus_pipeline.language_id(spark, docs, SF))
+    assert Counter(r.doc_id for r in left.collect()) == {1: 2, 2: 1, 3: 2, None: 1}
+    kept = corpus_pipeline.near_dedup(spark, left.drop("_kept", "_rows"), SF)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, text): 1, (3, "other words here"): 1, (3, "quite another text"): 1}
+
+
 def test_queries_answer_every_row(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op2_language_id", "op8_sharding", "op9_license_scan"):

@@ -138,14 +138,21 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language (see `identify_language`); the text is judged in place, nothing is joined."""
+    """The rows of `docs`, all columns, whose text has a language (see `identify_language`); the text is judged in place, nothing is joined.
+
+    A model that knows no language cannot reject one: every row whose text has a letter stays then.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            names, _ = shared.value.scores(batch.column("text").to_pylist())
-            kept = batch.filter(pa.array([n != UNKNOWN for n in names]))
+            texts = batch.column("text").to_pylist()
+            if shared.value.languages:
+                known = [n != UNKNOWN for n in shared.value.scores(texts)[0]]
+            else:
+                known = [bool(t and _LETTER.search(t)) for t in texts]
+            kept = batch.filter(pa.array(known, pa.bool_()))
             if kept.num_rows:
                 yield kept
 
