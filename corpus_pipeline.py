@@ -31,9 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near_duplicate_groups(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
     kept = stage(kept)
-    same = docs.doc_id.eqNullSafe(kept._kept)
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    return once.unionByName(docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    left = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    repeated = stage(kept.where("_rows > 1"))
+    if repeated.isEmpty():  # ids are unique, as a rule
+        return left
+    same = left.doc_id.eqNullSafe(repeated._kept)
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
