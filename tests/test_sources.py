@@ -46,6 +46,17 @@ def test_registry_roundtrip(spark, tmp_path):
         registry.record_run(spark, path, "r3", "anx", nonsense=1)
 
 
+def test_runs_carry_notes_and_settings_have_a_name(spark, tmp_path):
+    path = str(tmp_path / "noted")
+    registry.record_run(spark, path, "r1", "anx", {"a": {"b": [1, 2], "c": None}}, notes={"why": "trial", "limits": [1, 2]})
+    registry.record_run(spark, path, "r2", "anx", {"a": {"c": None, "b": [1, 2]}})
+    rows = {r["run_id"]: r for r in registry.load_runs(spark, path).collect()}
+    assert rows["r1"]["notes"] == {"why": '"trial"', "limits": "[1, 2]"} and rows["r2"]["notes"] == {}
+    assert rows["r1"]["config_hash"] == rows["r2"]["config_hash"]
+    other = [registry.config_hash(c) for c in ({}, {"a": 1}, {"a": "1"}, {"a": [1]}, {"a": {"b": 1}}, {"a": []})]
+    assert len(set(other)) == len(other)
+
+
 def test_sinks_write_parquet_and_csv(spark, tmp_path):
     folder = sinks.run_path(str(tmp_path), "anx", "r1", 42, "datasets")
     sinks.save_tables(folder, include_csv=True, t=spark.range(5).toDF("x"))
