@@ -1,55 +1,63 @@
-"""Linear epsilon-insensitive regression by Newton steps on a smoothed loss, all groups in one pass per step."""
+"""Linear epsilon-insensitive and hinge losses by Newton steps on a smoothed loss, all groups in one pass per step."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.models.grouped import settle
+
 _HALVINGS = 0.5 ** np.arange(1, 31)
 
 
-def _pull(r, epsilon, mu, C, held):
+def _limits(t, C, hinge):
+    """Least and greatest dual value of each row; with the hinge loss, rows of either class (t = -1 or 1) pull to their own side only."""
+    return (np.minimum(C * t, 0.0), np.maximum(C * t, 0.0)) if hinge else (-C, C)
+
+
+def _pull(r, epsilon, mu, limits, held):
     """The dual value of each row, which is also the slope of its smoothed loss: the best one near the value `held` of the level before."""
     v = held + r / mu
-    return np.clip(np.sign(v) * np.maximum(np.abs(v) - epsilon / mu, 0.0), -C, C)
+    return np.clip(np.sign(v) * np.maximum(np.abs(v) - epsilon / mu, 0.0), *limits)
 
 
 def _loss(r, a, epsilon, mu, held):
     return a * r - epsilon * np.abs(a) - mu / 2 * (a - held) ** 2
 
 
-def _held(x, t, levels, epsilon, C):
+def _held(x, t, levels, epsilon, limits):
     """Dual values after the settled levels [(fit, mu)], worked out anew from the row: nothing is stored with it."""
     a = np.zeros(len(t))
     for b, mu in levels:
-        a = _pull(t - x @ b, epsilon, mu, C, a)
+        a = _pull(t - x @ b, epsilon, mu, limits, a)
     return a
 
 
-def row_sums(x, t, levels, b, mu, epsilon, C) -> np.ndarray:
+def row_sums(x, t, levels, b, mu, epsilon, C, hinge=False) -> np.ndarray:
     """What one step needs of rows x (first column 1) with targets t at fit b, as one vector of sums.
 
     The triangle of x'x over rows whose dual value is free, x weighted by what these values have moved in this level, x
     weighted by the dual values, the smoothed loss, and the rows' share of the duality gap.
     """
-    held, r = _held(x, t, levels, epsilon, C), t - x @ b
-    a = _pull(r, epsilon, mu, C, held)
-    free = (a != 0) & (np.abs(a) < C)
-    gap = C * np.maximum(np.abs(r) - epsilon, 0.0) - a * r + epsilon * np.abs(a)
+    low, high = limits = _limits(t, C, hinge)
+    held, r = _held(x, t, levels, epsilon, limits), t - x @ b
+    a = _pull(r, epsilon, mu, limits, held)
+    free = (a != 0) & (a > low) & (a < high)
+    gap = np.maximum(np.maximum(high * (r - epsilon), low * (r + epsilon)), 0.0) - a * r + epsilon * np.abs(a)
     products = (x[free].T @ x[free])[np.triu_indices(x.shape[1])]
     return np.concatenate([products, x[free].T @ (a - held)[free], x.T @ a, [_loss(r, a, epsilon, mu, held).sum(), gap.sum()]])
 
 
-def search_sums(x, t, levels, b, way, mu, epsilon, C) -> np.ndarray:
+def search_sums(x, t, levels, b, way, mu, epsilon, C, hinge=False) -> np.ndarray:
     """The smoothed loss at b + s * way for every halved step s."""
-    held, r, move = _held(x, t, levels, epsilon, C), t - x @ b, x @ way
+    limits = _limits(t, C, hinge)
+    held, r, move = _held(x, t, levels, epsilon, limits), t - x @ b, x @ way
     out = []
     for s in _HALVINGS:
-        a = _pull(r - s * move, epsilon, mu, C, held)
+        a = _pull(r - s * move, epsilon, mu, limits, held)
         out.append(_loss(r - s * move, a, epsilon, mu, held).sum())
     return np.array(out)
 
@@ -69,11 +77,12 @@ class Fit:
     before: tuple | None = None  # the last point of this level, its objective and, in a search, the step
     searching: bool = False
     done: bool = False
+    hinge: bool = False  # classes -1 and 1, epsilon 0: the loss is C * max(1 - t * f, 0)
 
     def sums(self, x, t):
         if self.searching:
-            return search_sums(x, t, self.levels, self.before[0], self.before[2], self.mu, self.epsilon, self.C)
-        return row_sums(x, t, self.levels, self.b, self.mu, self.epsilon, self.C)
+            return search_sums(x, t, self.levels, self.before[0], self.before[2], self.mu, self.epsilon, self.C, self.hinge)
+        return row_sums(x, t, self.levels, self.b, self.mu, self.epsilon, self.C, self.hinge)
 
     def advance(self, sums: np.ndarray) -> None:
         """Use the sums at the current point: end, halve a step that failed, or take the next one."""
@@ -139,8 +148,6 @@ def fit_svr_variants(train: DataFrame, features, y: str, keys, variants, part: s
     """
     features, keys = list(features), list(keys)
     p = len(features)
-    kinds = dict(train.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["variant string, i int, value double"])
     rows = train.select(*keys, *([part] if part else []), *[F.col(c).cast("double").alias(c) for c in [*features, y]]).dropna("any", subset=[*features, y])
     start = rows.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd")).toPandas()
     fits: dict = {}
@@ -150,40 +157,12 @@ def fit_svr_variants(train: DataFrame, features, y: str, keys, variants, part: s
             fits[tuple(key), v.name] = Fit(np.concatenate([[mean], np.zeros(p)]), max(sd, 1e-6) / v.C, v.C, tol, v.epsilon, max(sd, 1e-6))
             without[tuple(key), v.name] = v.without
 
-    def one_pass(current):
-        by_key: dict = {}
-        for (key, name), fit in current.items():
-            by_key.setdefault(key, {}).setdefault(without[key, name], []).append((name, fit))
-
-        def partial(batches):
-            sums: dict = {}
-            for pdf in batches:
-                for key, mine in pdf.groupby(keys, sort=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    for gone, some in by_key.get(key, {}).items():
-                        used = mine if gone is None else mine[mine[part] != gone]
-                        x = np.column_stack([np.ones(len(used)), used[features].to_numpy(dtype=float)])
-                        t = used[y].to_numpy(dtype=float)
-                        for name, fit in some:
-                            sums[key, name] = sums.get((key, name), 0.0) + fit.sums(x, t)
-            for (key, variant), block in sums.items():
-                frame = pd.DataFrame({"variant": variant, "i": np.arange(len(block), dtype="int32"), "value": block})
-                for name, value in zip(keys, key):
-                    frame[name] = value
-                yield frame[[*keys, "variant", "i", "value"]]
-
-        return rows.mapInPandas(partial, schema).groupBy(*keys, "variant", "i").agg(F.sum("value").alias("value")).toPandas()
-
-    for _ in range(most_passes):
-        current = {k: f for k, f in fits.items() if not f.done}
-        if not current:
-            break
-        for (*key, name), block in one_pass(current).groupby([*keys, "variant"], sort=False):
-            fits[tuple(key), name].advance(block.sort_values("i")["value"].to_numpy())
-    late = [k for k, f in fits.items() if not f.done]
-    if late:
-        raise RuntimeError(f"support vector regression did not settle after {most_passes} passes: {late}")
-    return {k: f.b for k, f in fits.items()}
+    def read(mine, parts):
+        for gone in parts:
+            used = mine if gone is None else mine[mine[part] != gone]
+            yield gone, np.column_stack([np.ones(len(used)), used[features].to_numpy(dtype=float)]), used[y].to_numpy(dtype=float)
+
+    return {k: f.b for k, f in settle(rows, keys, fits, without, read, "support vector regression", most_passes).items()}
 
 
 def svr_table(spark, beta: dict, keys, kinds: dict) -> DataFrame:
