@@ -261,19 +261,40 @@ def test_long_adjustment_equals_windowed_one(spark):
     assert np.allclose(a, b, equal_nan=True)
 
 
-def test_registered_svc_fits_end_before_their_limit(spark, monkeypatch):
-    """The registered queries leave the solver its default limit, and the fits settle before it."""
-    from pyspark.ml.classification import LinearSVC
-
+def test_registered_svc_fits_settle(spark, monkeypatch):
+    """The linear classifiers of a study are fitted together and end by their own rule; a lower limit of passes raises."""
+    from varve.models import linear_classifiers as L
     from varve.plans.catalog import QUERIES
 
-    fit, ended = LinearSVC._fit, []
-
-    def counted(self, df):
-        model = fit(self, df)
-        ended.append((model.summary().totalIterations, self.getMaxIter()))
-        return model
-
-    monkeypatch.setattr(LinearSVC, "_fit", counted)
+    fitted, inner = [], L.fit_members
+    monkeypatch.setattr(L, "fit_members", lambda *a, **k: fitted.append((a[1], inner(*a, **k))) or fitted[-1][1])
     QUERIES["K18_cross_sectional_svc"](spark, "/root/testdata/sf0.01").collect()
-    assert ended and all(used < limit for used, limit in ended)
+    # One call for the baseline and one for the classifier, each with three runs and all of their inner folds.
+    assert [(kind, len(found)) for kind, found in fitted] == [("logistic", 12), ("svm", 12)]
+    monkeypatch.setattr(L, "fit_members", lambda *a, **k: inner(*a, **k, most_passes=2))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        QUERIES["K18_cross_sectional_svc"](spark, "/root/testdata/sf0.01").collect()
+
+
+@pytest.mark.parametrize("iterations,calibrate,grid", [(8, False, {}), (0, True, {"C": [0.01, 1.0]})])
+def test_studies_with_subsets_settings_and_curves(spark, iterations, calibrate, grid):
+    pdf = generated_cases(300, 60, 8, 4, 2.0, 1.0)
+    task = C.Task("id", "y", tuple(f"f{i}" for i in range(8)), "site", folds=3, inner_folds=3, iterations=iterations, calibrate=calibrate, grid=grid)
+    out = C.nested_cv(spark.createDataFrame(pdf), task, "svm")
+    preds = out["predictions"].where("model = 'svm'").toPandas()
+    assert sorted(preds.id) == list(range(360)) and preds.groupby("fold").threshold.nunique().max() == 1
+    assert (preds.yhat == (preds.score >= preds.threshold)).all()
+    assert not calibrate or preds.score.between(0, 1).all()
+    value = out["metrics"].where("model = 'svm'").toPandas().set_index("metric").value
+    assert value["balanced_accuracy"] > 0.8
+
+
+def test_grid_search_equals_each_setting_alone(spark):
+    pdf = generated_cases(120, 80, 5, 2, 0.8, 1.0)
+    df = assemble(spark.createDataFrame(pdf), [f"f{i}" for i in range(5)]).select("id", F.col("y").cast("double").alias("y"), "x")
+    task = C.Task("id", "y", (), grid={"C": [0.001, 0.1, 10.0]})
+    best, tried = C.tune("logistic", df, task)
+    for t in tried:
+        alone = C.out_of_fold("logistic", df, task, t["params"], "tune")
+        assert V.roc_auc(alone, "y", "score", ["inner"]).agg(F.avg("auc")).first()[0] == pytest.approx(t["score"])
+    assert best == tried[0]["params"]

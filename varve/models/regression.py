@@ -222,6 +222,7 @@ def forest_predictions(prepared: Prepared, frame: DataFrame, spec=None, **params
     base = stage(fits(prepared, frame, ["ridge"], spec=spec).select("run", "resid"))
     y = F.col(spec.target) - (G.linear_value("resid", prepared.resid) if prepared.resid else F.lit(0.0))
     ready = assemble(frame.where(complete([*spec.inputs, *prepared.resid])).join(base, "run").withColumn("y", y), spec.inputs)
+    ready = stage(ready.select(spec.id, "run", "is_train", "y", "x", *(["weight"] if spec.weight_edges else [])))
     out = None
     for r in range(spec.folds):
         run = ready.where(F.col("run") == r)

@@ -230,7 +230,7 @@ def k4(spark, d):
 @query("K5_forest_regressor")
 def k5(spark, d):
     prepared = R.prepare(baseline_rows(spark, d), spec(folds=3))
-    return R.forest_predictions(prepared, prepared.frame(), n_estimators=20, max_depth=5)
+    return R.forest_predictions(prepared, prepared.frame())
 
 
 def _two_folds(spark, d):
@@ -250,8 +250,8 @@ def _one_fit(name, **params):
 
 query("K6_logistic")(_one_fit("logistic"))
 query("K7_linear_svc")(_one_fit("svm"))
-query("K9_forest_classifier")(_one_fit("random_forest", n_estimators=30))
-query("K10_mlp")(_one_fit("mlp", hidden_layer_sizes=(16,), max_iter=50))
+query("K9_forest_classifier")(_one_fit("random_forest"))
+query("K10_mlp")(_one_fit("mlp"))
 
 
 @query("K8_fourier_svc")
@@ -292,11 +292,23 @@ def k15(spark, d):
 @query("F9_balanced_ensemble")
 def f9(spark, d):
     train, test = _two_folds(spark, d)
-    task = C.Task("vec_id", "y", EMB, iterations=3)
+    task = C.Task("vec_id", "y", EMB, iterations=100)
     scores, _ = C.balanced_ensemble("logistic", train, test, task, {})
     return scores
 
 
+@query("K13_K12_tuned_classification")
+def k13c(spark, d):
+    """Metrics of a support vector classifier whose setting is chosen in each outer fold, with calibrated scores."""
+    return C.nested_cv(embedded(spark, d), emb_task(grid={"C": [0.01, 0.1, 1.0]}, calibrate=True), "svm")["metrics"]
+
+
+@query("F9_nested_ensemble")
+def f9b(spark, d):
+    """Metrics of 100 fits on balanced subsets in every outer fold."""
+    return C.nested_cv(embedded(spark, d), emb_task(iterations=100), "logistic")["metrics"]
+
+
 @query("K16_K17_nested_regression")
 def k17(spark, d):
     return R.nested_cv(baseline_rows(spark, d), spec())["metrics"]
@@ -317,7 +329,7 @@ def k13b(spark, d):
 
 
 @query("K13_regression_choices")
-def k13c(spark, d):
+def k13d(spark, d):
     """The settings that each outer fold chooses for the linear models, by correlation."""
     grid = {m: GRID[m] for m in ("ridge", "elastic_net")}
     return R.nested_cv(baseline_rows(spark, d), spec(), tuple(grid), grid=grid, scoring="pearson_r")["choices"]
