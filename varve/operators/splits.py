@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import hash_key, uniform
 from varve.operators.ordering import hash_parts
-from varve.session import stage_small
+from varve.session import stage, stage_small
 
 
 def assign_split(df: DataFrame, ids, ratios=(0.8, 0.1, 0.1), strata=(), seed=42, exact=True, out="split") -> DataFrame:
@@ -62,6 +64,89 @@ def assign_group_folds(df: DataFrame, family: str, id_col: str, stratum: str, k=
     return df.withColumn("family_key", key).join(folds.select("family_key", out), "family_key").drop("family_key")
 
 
+#: Families that one task deals, and families of each profile that are left for dealing one by one (times the number of folds).
+DEALT, LEFT = 4096, 4
+
+
+def deal(profiles: np.ndarray, k: int, totals: np.ndarray) -> np.ndarray:
+    """A fold for each row of `profiles` (families x strata): the largest shares first, each to the fold that holds least of what it brings.
+
+    The cost of a fold is the product of its counts with the family's, each over the square of the stratum's total: what the
+    sum of squared class shares would grow by, less the part that is alike for all folds. Ties go to the smaller fold, then the first.
+    """
+    weight = 1.0 / np.maximum(totals, 1.0) ** 2
+    held, out = np.zeros((k, profiles.shape[1])), np.empty(len(profiles), int)
+    for i in np.lexsort((np.arange(len(profiles)), -((profiles**2) @ weight))):
+        cost = np.round(held @ (weight * profiles[i]), 15)
+        fold = min(range(k), key=lambda f: (cost[f], held[f].sum()))
+        held[fold] += profiles[i]
+        out[i] = fold
+    return out
+
+
+def balanced_group_folds(df: DataFrame, family: str, id_col: str, stratum: str, k=5, seed=42, out="fold") -> DataFrame:
+    """Folds of whole families in which every stratum is spread evenly, also where families mix strata.
+
+    Families of one profile (rows of each stratum) are alike: of each profile as many as come out even are dealt round by
+    hash, and `LEFT * k` or a few more remain, which are dealt one by one. One task deals `DEALT` of those into k piles; piles are
+    families again, until one task holds all that is left. A null family is a family of its own, a null stratum a stratum.
+    The strata, not the families, must be few: their totals travel with the tasks. Columns of `df` stay; `out` is replaced.
+    """
+    key = F.coalesce(F.concat(F.lit("f:"), F.col(family).cast("string")), F.concat(F.lit("solo:"), F.col(id_col).cast("string")))
+    cells = df.groupBy(key.alias("_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("_st")).agg(F.count(F.lit(1)).alias("_c"))
+    cells = stage(cells)
+    strata = cells.groupBy("_st").agg(F.sum("_c").alias("n")).orderBy("_st").toPandas()
+    place = {name: i for i, name in enumerate(strata["_st"])}
+    totals = strata["n"].to_numpy(dtype=float)
+    profile = F.sort_array(F.collect_list(F.struct("_st", "_c")))
+    fams = cells.groupBy("_key").agg(profile.alias("_profile")).withColumn("_name", F.md5(F.to_json("_profile")))
+    counts = fams.groupBy("_name").agg(F.count(F.lit(1)).alias("_m"))
+    even = F.greatest(F.lit(0), F.floor(F.col("_m") / k) - LEFT).cast("long") * k
+    fams = stage(fams.join(counts.withColumn("_even", even), "_name"))
+    ends = [F.floor(F.substring_index(F.col("_s"), "\u0001", -1).cast("long") * j / k) for j in range(1, k + 1)]
+    part = hash_parts(fams, "_key", lambda n: ends, ["_name", "_even"], seed, "balanced family", "_part")
+    part = stage(part.select("_key", "_profile", "_part"))
+    folds = part.where(F.col("_part") < k).select("_key", F.col("_part").alias(out))
+
+    def dealt(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_item")
+        rows = np.zeros((len(pdf), len(totals)))
+        for i, cells in enumerate(pdf["_profile"]):
+            for cell in cells:
+                rows[i, place[cell["_st"]]] = cell["_c"]
+        piles = deal(rows, k, totals)
+        return pd.DataFrame({"_item": pdf["_item"], "_pile": piles, "_block": pdf["_block"], "_profile": pdf["_profile"]})
+
+    open_ = part.where(F.col("_part") == k).select(F.col("_key").alias("_item"), "_profile")
+    kind = dict(open_.dtypes)["_profile"]
+    ways, n = None, open_.count()
+    while True:
+        blocks = max(1, -(-n // max(DEALT, 4 * k)))
+        block = (F.conv(F.substring(hash_key(["_item"], seed, "block"), 1, 8), 16, 10).cast("long") % blocks).cast("int")
+        level = stage(open_.withColumn("_block", block).groupBy("_block").applyInPandas(dealt, f"_item string, _pile int, _block int, _profile {kind}"))
+        pile = F.concat_ws(":", F.col("_block"), F.col("_pile"))
+        step = level.select("_item", pile.alias("_to"), F.col("_pile").alias("_last"))
+        ways = step.withColumnRenamed("_item", "_key") if ways is None else (
+            ways.select("_key", F.col("_to").alias("_item")).join(step, "_item").select("_key", "_to", "_last")
+        )
+        ways = stage(ways)
+        if blocks == 1:
+            break
+        spread = level.select(pile.alias("_item"), F.explode("_profile").alias("_cell")).groupBy("_item", "_cell._st").agg(F.sum("_cell._c").alias("_c"))
+        open_ = stage(spread.groupBy("_item").agg(profile.alias("_profile")))
+        n = open_.count()
+    folds = folds.unionByName(ways.select("_key", F.col("_last").alias(out)))
+    kept = [c for c in df.columns if c != out]
+    return df.select(*kept, key.alias("_family_key")).join(folds.withColumnRenamed("_key", "_family_key"), "_family_key").select(*kept, out)
+
+
+def class_spread(df: DataFrame, fold: str, stratum: str, k: int) -> DataFrame:
+    """(stratum, n, least, most, spread): rows of each stratum in its emptiest and fullest fold, and their difference as a share of n."""
+    each = [F.count_if(F.col(fold) == j) for j in range(k)]
+    out = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.least(*each).alias("least"), F.greatest(*each).alias("most"))
+    return out.withColumn("spread", (F.col("most") - F.col("least")) / F.col("n"))
+
+
 def stratification_key(df: DataFrame, bin_col: str, site_col: str, k: int) -> tuple[Column, str]:
     """bin x site if every cell has at least k rows, else site, else bin; one pass over the cells."""
     cells = stage_small(df.groupBy(bin_col, site_col).agg(F.count(F.lit(1)).alias("n")))

@@ -80,6 +80,12 @@ def f4(spark, d):
     return _group_folded(spark, d).select("id", "fold")
 
 
+@query("F4_balanced_group_folds")
+def f4b(spark, d):
+    """Whole families in five folds, all visits; the spread of each site is tested against dealing families one after the other."""
+    return L.balanced_group_folds(visits(spark, d).select("id", "yr", "family", "site"), "family", "id", "site").select("id", "yr", "fold")
+
+
 @query("F5_stratification_key", "q as (select quantile_cont(target, 0.2) a, quantile_cont(target, 0.4) b, quantile_cont(target, 0.6) c, quantile_cont(target, 0.8) d from visits), t as (select id, yr, site, " + QBIN + " bin from visits, q), m as (select min(n) n from (select count(*) n from t group by bin, site)) select id, yr, case when (select n from m) >= 5 then bin || '|' || site else site end as key from t")
 def f5(spark, d):
     v = E.quantile_bin(visits(spark, d).select("id", "yr", "site", "target"), "target", 5)
