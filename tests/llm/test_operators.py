@@ -203,6 +203,23 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert abs(got["rare"] - 9) <= 1 and abs(got["much"] - 51) <= 2
 
 
+def test_helper_columns_leave_the_tables_own_alone(spark):
+    """Columns that are called like an operator's helpers keep their values, and columns that are missing count as null."""
+    rows = [(i, f"word{i % 7} and more", f"s{i % 2}") + tuple(f"own{i}-{c}" for c in range(10)) for i in range(60)]
+    names = ["_order", "_range", "_place", "_n", "_before", "_words", "_copies", "_copy", "_doc", "_Source"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for out in (shard_documents(docs, 3), mixed_documents(docs)):
+        got = out.toPandas()
+        assert len(got) and list(got.columns)[: len(docs.columns)] == docs.columns
+        for r in got.to_dict("records"):
+            assert [r[c] for c in names] == [f"own{r['doc_id']}-{j}" for j in range(10)]
+    shards = shard_documents(docs, 3).toPandas()
+    assert len(shards) == 60 and all(sorted(s.slot) == list(range(len(s))) for _, s in shards.groupby("shard"))
+    for gone in ("doc_id", "source"):
+        assert mixed_documents(docs.drop(gone)).columns == docs.drop(gone).columns and mixed_documents(docs.drop(gone)).count() > 0
+    assert mixed_documents(docs.drop("text")).count() == 0
+
+
 def test_capacity_is_the_smallest():
     rng = random.Random(6)
     for _ in range(200):

@@ -73,7 +73,7 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     model = fit_languages(docs.where(~held_out))
     out = identify_language(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

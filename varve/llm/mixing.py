@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import hash_key
-from varve.llm.tables import columns_or_null, word_count
+from varve.llm.tables import columns_or_null, unused, word_count
 from varve.session import stage, stage_small
 
 BUCKET_ROWS = 4096
@@ -114,12 +114,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them: `taken / size`, rounded to whole documents. Columns stay as they are.
+    """The rows of `docs` as often as the mix takes them: `taken / size`, rounded to whole documents. Columns stay as they are, whatever they are called.
 
-    Rows that share a doc_id and size are counted together: each gets their mean."""
+    Rows that share a doc_id, size and source are counted together: each gets their mean. Of doc_id, text and source, a column that
+    the table lacks counts as null, so without texts nothing is taken."""
     taken = mix_sources(docs, **options).groupBy("doc_id", "size", "source").agg((F.sum("taken") / F.count(F.lit(1))).alias("taken"))
-    taken = taken.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = sized.doc_id.eqNullSafe(taken._id) & (sized._words == taken._size) & sized.source.eqNullSafe(taken._source)
-    out = sized.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    words, doc, source, copies, copy = unused(docs, "_words", "_doc", "_source", "_copies", "_copy")
+    wanted = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = taken.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_from"), wanted.alias("_wanted")).where("_wanted > 0")
+    taken = taken.toDF(*(f"{c}{copies}" for c in taken.columns))  # apart from all columns of `docs`
+    have = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
+    sized = docs.withColumns({words: word_count(have("text", "string")), doc: have("doc_id", "long"), source: have("source", "string")})
+    id_, size, from_, times = (taken[c] for c in taken.columns)
+    same = sized[doc].eqNullSafe(id_) & (sized[words] == size) & sized[source].eqNullSafe(from_)
+    out = sized.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
     return out.select(*[sized[c] for c in docs.columns])

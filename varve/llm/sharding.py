@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import hash_key
-from varve.llm.tables import columns_or_null
+from varve.llm.tables import unused
 from varve.session import stage
 
 SLOT_ROWS = 4096
@@ -113,7 +113,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFra
     """`docs` with `size` (UTF-8 bytes plus 1), `text_digest`, `shard` (from 0) and `slot` (gapless from 0 in each shard, a seeded shuffle).
 
     Equal texts, null being a text of its own, stay together, so a shard can only be as small as the largest group of
-    equal texts. Columns of `docs` with these names are replaced. Rows equal in doc_id and text get neighbouring slots in
+    equal texts. Columns of `docs` with these names are replaced, others stay whatever they are called. Rows equal in doc_id and text get neighbouring slots in
     any order. An empty table has no shards.
     """
     if "text" not in docs.columns:
@@ -135,10 +135,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFra
     digits = 1
     while rows > SLOT_ROWS * 16**digits:
         digits += 1
-    placed = placed.withColumn("_order", hash_key(["doc_id", "text_digest"], seed, "slot")).withColumn("_range", F.substring("_order", 1, digits))
-    counts = placed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("shard", "_range").orderBy("_order", "doc_id")
-    placed = placed.withColumn("_place", F.row_number().over(own)).join(counts, ["shard", "_range"])
-    return placed.select(*docs.columns, "size", "text_digest", "shard", (F.col("_before") + F.col("_place") - 1).cast("long").alias("slot"))
+    order, part, place, ahead = unused(docs, "_order", "_range", "_place", "_before")
+    placed = placed.withColumn(order, hash_key(["doc_id", "text_digest"], seed, "slot")).withColumn(part, F.substring(order, 1, digits))
+    counts = placed.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("shard", part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(ahead))
+    own = Window.partitionBy("shard", part).orderBy(order, "doc_id")
+    placed = placed.withColumn(place, F.row_number().over(own)).join(counts, ["shard", part])
+    return placed.select(*docs.columns, "size", "text_digest", "shard", (F.col(ahead) + F.col(place) - 1).cast("long").alias("slot"))

@@ -16,6 +16,18 @@ def columns_or_null(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(df[c] if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names for helper columns, each lengthened until the table has no column so called (in any case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; 0 for null."""
     return F.coalesce(F.size(F.array_remove(F.split(text, GAP), "")), F.lit(0)).cast("long")
