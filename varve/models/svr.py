@@ -105,7 +105,8 @@ class Fit:
         # |b - sum of pulls|^2 / 2 + the rows' share bounds how far the objective is above its least value, once the dual values sum to 0.
         off = pull - np.concatenate([[0.0], self.b[1:]])
         still = off[1:] @ off[1:] / 2
-        goal = self.tol**2 * max(float(self.b[1:] @ self.b[1:]), 1e-12) / 2
+        # Margins of the hinge loss are told from 1, and its best coefficients may all be 0: their error is then bounded as such.
+        goal = self.tol**2 * max(float(self.b[1:] @ self.b[1:]), 1.0 if self.hinge else 1e-12) / 2
         level = abs(off[0]) <= 1e-5 * self.C
         if level and still + rows_gap <= goal:
             self.done = True
