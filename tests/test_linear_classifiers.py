@@ -129,3 +129,18 @@ def test_platt_curve_is_the_likeliest(spark):
     p = 1 / (1 + np.exp(-(b[0] + b[1] * score)))
     assert abs((y - p).sum()) < 1e-3 and abs(((y - p) * score).sum()) < 1e-3
     assert L.platt_curves(df.withColumn("y", F.lit(1)), ["k"]) == {}
+
+
+@pytest.mark.parametrize("share,rounded", [(0.03, False), (0.1, True), (0.5, False)])
+def test_hinge_fits_without_signal_settle(share, rounded):
+    """Rare classes without signal have best coefficients at or near 0; the fit ends all the same, at the optimum."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 4))
+    x = x.round() if rounded else x
+    y = (rng.random(200) < share).astype(int)
+    for C in (0.01, 1.0):
+        fit, passes = L.new_fit("svm", 4, (y == 0).sum(), y.sum(), {"C": C}), 0
+        while not fit.done and passes < 500:
+            fit.advance(fit.sums(np.column_stack([np.ones(200), x]), 2.0 * y - 1))
+            passes += 1
+        assert fit.done and np.allclose(fit.b[1:], hinge_by_hand(x, y, C)[1:], atol=2e-4)
