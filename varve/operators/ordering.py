@@ -68,7 +68,11 @@ def hash_parts(df: DataFrame, ids, limits, strata=(), seed=42, tag="part", out="
 
 
 def hash_rank(df: DataFrame, ids, strata=(), seed=42, tag="rank", out="rank", digits=HASH_DIGITS) -> DataFrame:
-    """Exact 1-based rank in hash order within each stratum; one shuffle on (stratum, hash prefix)."""
+    """Exact 1-based rank in hash order within each stratum; one shuffle on (stratum, hash prefix).
+
+    The rows meet their offsets by a merge: Spark's estimate for rows that were multiplied before is that of the table they come from,
+    and the offsets are as many as strata x prefixes, so neither side may be broadcast on an estimate. The window needs the same shuffle.
+    """
     ids = [ids] if isinstance(ids, str) else list(ids)
     keyed = (
         df.withColumn("_s", _stratum(strata))
@@ -83,7 +87,7 @@ def hash_rank(df: DataFrame, ids, strata=(), seed=42, tag="rank", out="rank", di
     )
     within = W.partitionBy("_s", "_b").orderBy("_h", *ids)
     return (
-        keyed.join(offsets, ["_s", "_b"])
+        keyed.join(offsets.hint("merge"), ["_s", "_b"])
         .withColumn(out, F.col("_off") + F.row_number().over(within))
         .drop("_s", "_h", "_b", "_off")
     )

@@ -42,16 +42,17 @@ def bootstrap_exact(df: DataFrame, ids, draws: int, seed=42) -> DataFrame:
     return times.join(ranked, "_rank").drop("_rank")
 
 
-def permute(df: DataFrame, ids, value: str, perms: int, seed=42, out="permuted") -> DataFrame:
-    """(perm, ids..., permuted): the value column shuffled over rows, once per permutation.
+def permute(df: DataFrame, ids, value: str, perms: int, seed=42, out="permuted", keep=()) -> DataFrame:
+    """(perm, ids..., keep..., permuted): the value column shuffled over rows, once per permutation; the columns `keep` stay with their row.
 
-    Donors are ranked once; receivers are ranked within each permutation by another hash; equal ranks meet.
+    Donors are ranked once; receivers are ranked within each permutation by another hash; equal ranks meet. They meet by a merge: Spark
+    estimates the receivers by the table before it is multiplied, and would broadcast all of them.
     """
     ids = [ids] if isinstance(ids, str) else list(ids)
     donors = hash_rank(df.select(*ids, value), ids, seed=seed, tag="order", out="_rank").select("_rank", F.col(value).alias(out))
-    tall = df.select(*ids).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
+    tall = df.select(*ids, *keep).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
     receivers = hash_rank(tall, [*ids, "perm"], ["perm"], seed, "perm", "_rank")
-    return receivers.join(donors, "_rank").drop("_rank")
+    return receivers.hint("merge").join(donors, "_rank").drop("_rank")
 
 
 def permutation_pvalue(null: DataFrame, stat: str, observed: float, groups=(), alternative="two-sided") -> DataFrame:

@@ -625,7 +625,7 @@ PERM_R = PERM_SQL.replace("range(0, 3)", "range(0, 30)").replace(
 def m17(spark, d):
     c = table(spark, d, "customer")
     observed = c.agg(F.corr("c_nationkey", "c_acctbal")).first()[0]
-    null = R.permute(c, "c_custkey", "c_acctbal", 30).join(c.select("c_custkey", "c_nationkey"), "c_custkey").groupBy("perm").agg(F.corr("c_nationkey", "permuted").alias("r"))
+    null = R.permute(c, "c_custkey", "c_acctbal", 30, keep=["c_nationkey"]).groupBy("perm").agg(F.corr("c_nationkey", "permuted").alias("r"))
     return R.permutation_pvalue(null, "r", observed).select("n_exceed", "n_perm", r6("p"))
 
 
