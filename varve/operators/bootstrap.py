@@ -9,7 +9,6 @@ of the score once for all draws, and each range counts its concordant pairs for
 from __future__ import annotations
 
 import math
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import POISSON_CUTS
+from varve.functions.md5 import md5_blocks
 
 #: Cells of rows x draws in memory, and of draws x sums that a task accumulates.
 CELLS, KEPT_CELLS = 2_000_000, 16_000_000
@@ -31,15 +31,25 @@ def _key(ids) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.lit("|"), F.col(c).cast("string")), F.lit("")) for c in ids])
 
 
+def _weigh(u: np.ndarray) -> np.ndarray:
+    """Weights of 32-bit draws: how many steps each has reached. The higher steps are rare and looked for among those beyond the fourth only."""
+    out = np.zeros(u.shape, np.uint8)
+    for step in _STEPS[:4]:
+        out += u >= step
+    far = np.flatnonzero(u.ravel() >= _STEPS[3])
+    high, flat = u.ravel()[far], out.ravel()
+    for step in _STEPS[4:]:
+        flat[far] += high >= step
+    return flat.reshape(u.shape)
+
+
 def weight_matrix(keys, draws: range, seed=42, tag="boot") -> np.ndarray:
     """(rows, draws) weights; `draws` begins and ends at multiples of four, as one hash makes four draws."""
     heads = [f"{seed}|{tag}|{k}".encode() for k in range(draws.start // 4, draws.stop // 4)]
-    digests = b"".join(md5(h + key, usedforsecurity=False).digest() for key in (k.encode() for k in keys) for h in heads)
-    u = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(keys), len(draws))
-    out = np.zeros(u.shape, np.uint8)
-    for step in _STEPS:
-        out += u >= step
-    return out
+    out = np.zeros((len(keys), len(heads), 4), np.uint8)
+    for rows, some, u in md5_blocks(heads, [k.encode() for k in keys]):
+        out[rows, some] = _weigh(u)
+    return out.reshape(len(keys), len(draws))
 
 
 def _fours(n: int) -> int:
