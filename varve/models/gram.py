@@ -43,8 +43,7 @@ def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight:
     columns, targets, keys = list(columns), list(targets), list(keys)
     width = 1 + len(columns) + len(targets) + (len(block.names) if block else 0)
     head = 1 + len(columns)
-    pairs = [(i, j) for i in range(head) for j in range(i, width)] + [(j, j) for j in range(head, width)]
-    left, right = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    left, right = pair_places(head, width)
     numbers = list(dict.fromkeys([*columns, *targets, *([weight] if weight else [])]))
     more = [c for c in (block.columns if block else []) if c not in numbers]
     picked = df.select(*keys, *([side] if side else []), *[F.col(c).cast("double").alias(c) for c in numbers], *more)
@@ -85,6 +84,44 @@ def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight:
     return picked.mapInPandas(partial, schema).groupBy(*out_keys, "i", "j").agg(F.sum("value").alias("value"))
 
 
+def member_gram(df: DataFrame, columns, target: str, keys, deal: Callable, more=()) -> DataFrame:
+    """(keys..., member, v0, v1, ...): for many sets of rows the cross products of [1, columns] with [1, columns, target], and the target's square.
+
+    `deal(batches)` yields rows of the batches with a matrix (rows x sets) that is 1 where a row belongs to a set; it sees the columns `more` too.
+    A task emits one row per key and set, whatever its rows; none is copied for a set. The order of the products is that of `pair_places`.
+    """
+    columns, keys = list(columns), list(keys)
+    left, right = pair_places(1 + len(columns), 2 + len(columns))
+    names = [f"v{i}" for i in range(len(left))]
+    extra = [c for c in more if c not in {*keys, *columns, target}]
+    picked = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*columns, target]], *extra).dropna("any", subset=[*columns, target])
+    kinds = dict(picked.dtypes)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["member int"] + [f"{v} double" for v in names])
+
+    def partial(batches):
+        sums: dict = {}
+        for rows, member in deal(batches):
+            x = np.column_stack([np.ones(len(rows)), rows[[*columns, target]].to_numpy(dtype=float)])
+            products = x[:, left] * x[:, right]
+            for key, at in rows.groupby(keys, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                sums[key] = sums.get(key, 0.0) + member[at].T @ products[at]
+        for key, block in sums.items():
+            out = pd.DataFrame(block, columns=names)
+            out.insert(0, "member", np.arange(len(block), dtype="int32"))
+            for name, value in zip(keys, key):
+                out[name] = value
+            yield out[[*keys, "member", *names]]
+
+    return picked.mapInPandas(partial, schema).groupBy(*keys, "member").agg(*[F.sum(v).alias(v) for v in names])
+
+
+def pair_places(head: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which two of [1, columns, targets] each product is of: all pairs with the first `head`, and the others with themselves."""
+    pairs = [(i, j) for i in range(head) for j in range(i, width)] + [(j, j) for j in range(head, width)]
+    return np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+
 def _products(wx, x, left, right, head):
     full = wx[:, :head].T @ x
     tail = (wx[:, head:] * x[:, head:]).sum(axis=0)
@@ -116,6 +153,10 @@ class Moments:
     def __add__(self, other: Moments) -> Moments:
         return Moments(self.xx + other.xx, self.xy + other.xy, self.yy + other.yy)
 
+    def mapped(self, terms: np.ndarray) -> Moments:
+        """The same sums for the columns `terms` @ [1, columns]."""
+        return Moments(terms @ self.xx @ terms.T, terms @ self.xy, self.yy)
+
     def less(self, cov: list[int], terms: np.ndarray) -> Moments:
         """The same sums for targets less `terms` (covariates x targets) times the columns `cov`."""
         yy = self.yy - 2 * (terms * self.xy[cov]).sum(axis=0) + (terms * (self.xx[np.ix_(cov, cov)] @ terms)).sum(axis=0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from varve.models import tuning as T
 from varve.models.registry import assemble, linear_model, regressor, supports_weights
 from varve.models.svr import Variant, fit_svr, fit_svr_variants, svr_table
 from varve.operators import evaluation as V
-from varve.operators.combat import _numeric, fit_site_model
+from varve.operators.combat import _numeric, fit_site_model, site_maps
 from varve.operators.prep import complete, drop_small_groups, iqr_filter, range_filter, target_filter
 from varve.operators.resample import permute
 from varve.operators.shape import quantile_bin
@@ -166,6 +168,105 @@ def predict(prepared: Prepared, frame: DataFrame, fitted: DataFrame, groups=(),
     return joined.select(*groups, spec.id, F.col("run").alias("fold"), "model", y.alias("y"), fitted_y.alias("yhat"))
 
 
+def additive(spec: Spec) -> bool:
+    """Whether a study's linear models follow from sums per fold and site: features enter as they are, and no row has a weight."""
+    return spec.transform == "raw" and not spec.covariate_features and not spec.weight_edges
+
+
+def fold_scores(prepared: Prepared, model="ridge", groups=(), rows: DataFrame | None = None, block: G.Block | None = None, deal=None, more=()) -> DataFrame:
+    """(groups..., model, target, pearson_r, r2, mse, n): `pooled` of an `additive` study without a row per run or group.
+
+    Rows are summed once by (groups, fold, site). Every run's site effects, scaling, residuals and fits follow from these sums, as a site
+    effect is an affine map of a site's rows. `block` adds targets made within the tasks; with `deal` (see `G.member_gram`) the groups are
+    sets of rows, called `member`.
+    """
+    spec, rows = prepared.spec, rows if rows is not None else prepared.rows
+    features, groups = list(spec.features), ["member"] if deal else list(groups)
+    columns = [*features, *dict.fromkeys([*prepared.harm, *prepared.resid])]
+    known = rows.where(complete([*columns, spec.site, spec.target]))
+    # Any constants near the means do.
+    mean = prepared.rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    shift = np.array([mean[c] or 0.0 for c in columns])
+    moved = known.withColumns({c: F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, shift)}).withColumn("_site", F.col(spec.site).cast("string"))
+    if deal:
+        table = G.member_gram(moved, columns, spec.target, ["fold", "_site"], deal, more)
+    else:
+        table = G.gram(moved, columns, [spec.target], [*groups, "fold", "_site"], block=block)
+    targets = [spec.target, *(block.names if block else [])]
+    runs_ = _run_sums(stage(table), prepared, columns, shift, groups, len(targets))
+    fitted = G.solve_runs(runs_, features, prepared.resid, targets, [linear_model(model, spec.models)], groups, bool(prepared.resid))
+    return G.pooled_r(fitted, groups)
+
+
+def _run_sums(table: DataFrame, prepared: Prepared, columns, shift, groups, width: int) -> DataFrame:
+    """What `G.solve_runs` takes, by (groups, run, side), from cross products by (groups, fold, site) of shifted columns."""
+    spec, kinds = prepared.spec, dict(table.dtypes)
+    p, head = len(spec.features), 1 + len(columns)
+    harm = [1 + columns.index(c) for c in prepared.harm]
+    resid = [1 + columns.index(c) for c in prepared.resid]
+    mu_x, mu_c = shift[:p], shift[[c - 1 for c in harm]] if harm else np.zeros(0)
+    inside, tall = G.pair_places(head, head + 1), G.pair_places(1 + p + len(resid), 1 + p + len(resid) + width)
+    names = [*groups, "run", "side", "i", "j", "value"]
+    schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["run int, side string, i int, j int, value double"])
+
+    def read(part: pd.DataFrame) -> G.Moments:
+        if "value" in part:
+            return G.Moments.read(part, head, head + width)
+        values = part[[f"v{i}" for i in range(len(inside[0]))]].to_numpy(float)[0]
+        return G.Moments.read(pd.DataFrame({"i": inside[0], "j": inside[1], "value": values}), head, head + 1)
+
+    def total(moments) -> G.Moments | None:
+        out = None
+        for m in moments:
+            out = m if out is None else out + m
+        return out
+
+    def maps(train: dict) -> dict:
+        """Per site the map from [1, shifted columns] to [1, harmonized and scaled features, covariates]; none for a site without a map."""
+        sites = sorted(train)
+        xx = np.stack([train[s].xx for s in sites])
+        f = np.arange(1, 1 + p)
+        slope, const, cov = site_maps(
+            xx[:, 0, 0], xx[:, 0, f], xx[:, f, f], xx[:, 0, harm], xx[:, harm][:, :, f], xx[:, harm][:, :, harm], mu_x, mu_c, spec.eb, True, spec.harmonize
+        )
+        out = {}
+        for s, a, b, c in zip(sites, slope, const, cov):
+            terms = np.zeros((1 + p + len(resid), head))
+            terms[0, 0] = 1.0
+            terms[f, f], terms[f, 0] = a, b + a * mu_x + mu_c @ c
+            terms[np.ix_(f, harm)] += c.T
+            for i, r in enumerate(resid):
+                terms[1 + p + i, [0, r]] = shift[r - 1], 1.0
+            if not np.isnan(terms).any():
+                out[s] = terms
+        return out
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cube = {(int(fold), site): read(part) for (fold, site), part in pdf.groupby(["fold", "_site"])}
+        cube = {key: m for key, m in cube.items() if m.xx[0, 0] > 0.5}
+        parts = [pd.DataFrame({c: [] for c in names})]
+        for run in range(spec.folds):
+            train = {s: total(m for (f, t), m in cube.items() if f != run and t == s) for s in {t for f, t in cube if f != run}}
+            known = maps(train) if train else {}
+            sides = {
+                "train": total(train[s].mapped(known[s]) for s in known),
+                "test": total(m.mapped(known[s]) for (f, s), m in cube.items() if f == run and s in known),
+            }
+            for side, m in sides.items():
+                if m is not None:
+                    full, own = np.hstack([m.xx, m.xy]), tall[0] < len(m.xx)
+                    values = np.concatenate([full[tall[0][own], tall[1][own]], m.yy])
+                    parts.append(pd.DataFrame({"run": run, "side": side, "i": tall[0], "j": tall[1], "value": values}))
+        out = pd.concat(parts, ignore_index=True)
+        for g in groups:
+            out[g] = pdf[g].iloc[0]
+        return out[names]
+
+    # One group is one study: (folds x sites x products) numbers.
+    keyed = table.groupBy(*groups) if groups else table.withColumn("_all", F.lit(0)).groupBy("_all")
+    return stage(keyed.applyInPandas(solve, schema))
+
+
 def _svr_rows(prepared: Prepared, frame: DataFrame, keys, spec: Spec, base: DataFrame | None = None, keep=()) -> tuple[DataFrame, DataFrame]:
     """All rows with the residual target `_y` and its training mean and SD; and the training rows, staged, with the z-score `_z`."""
     if base is None:
@@ -350,6 +451,8 @@ def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", group
         target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("perm"), F.col("_draw")))
         return _against_null(stage(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
     numbered, block = shuffled_targets(number_rows(rows, spec.id, groups, spec.seed), spec.target, perms, spec.seed)
+    if additive(spec):
+        return _against_null(stage(fold_scores(prepared, model, groups, numbered, block)), spec.target, groups, alternative)
     frame = prepared.frame(groups, rows=numbered)
     scores = stage(G.pooled_r(fits(prepared, frame, [model], [spec.target], groups, block=block), groups))
     return _against_null(scores, spec.target, groups, alternative)

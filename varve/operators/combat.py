@@ -122,9 +122,23 @@ def _maps(pdf, features, q, groups, mu_x, mu_c, eb, scale, harmonize, reference,
     for i in range(q):
         for j in range(i, q):
             scc[:, i, j] = scc[:, j, i] = cube(f"scc{i}_{j}")[:, 0]
+    slope, const, cov = site_maps(n, sx, sxx, sc, scx, scc, mu_x, mu_c, eb, scale, harmonize, at.get(reference) if reference is not None else None, min_variance)
+    out = pd.DataFrame(
+        {
+            "site_": sites, "_slope": [r.tolist() for r in slope], "_const": [r.tolist() for r in const],
+            "_cov": [cov[i].T.reshape(-1).tolist() for i in range(len(sites))],
+        }
+    )
+    for g in groups:
+        out[g] = pdf[g].iloc[0]
+    return out[[*groups, "site_", "_slope", "_const", "_cov"]]
+
+
+def site_maps(n, sx, sxx, sc, scx, scc, mu_x, mu_c, eb=True, scale=False, harmonize=True, ref=None, min_variance=1e-10):
+    """Slope and constant (sites x features) and covariate terms (sites x covariates x features) of raw values, from the moments of
+    values shifted by `mu_x` and `mu_c`."""
     raw_var = sxx.sum(axis=0) / n.sum() - (sx.sum(axis=0) / n.sum()) ** 2
-    if harmonize and len(sites) > 1:
-        ref = at.get(reference) if reference is not None else None
+    if harmonize and len(n) > 1:
         slope, const, cov, mean, sd = fit_sites(n, sc, scc, sx, sxx, scx, eb, ref)
     else:
         slope, const, cov = np.ones_like(sx), np.zeros_like(sx), np.zeros_like(scx)
@@ -136,15 +150,7 @@ def _maps(pdf, features, q, groups, mu_x, mu_c, eb, scale, harmonize, reference,
         slope, const, cov = slope / div, (const - mu_x - mean) / div, cov / div
         dead = ~(raw_var > min_variance)
         slope[:, dead], const[:, dead], cov[:, :, dead] = 0.0, 0.0, 0.0
-    out = pd.DataFrame(
-        {
-            "site_": sites, "_slope": [r.tolist() for r in slope], "_const": [r.tolist() for r in const],
-            "_cov": [cov[i].T.reshape(-1).tolist() for i in range(len(sites))],
-        }
-    )
-    for g in groups:
-        out[g] = pdf[g].iloc[0]
-    return out[[*groups, "site_", "_slope", "_const", "_cov"]]
+    return slope, const, cov
 
 
 def harmonize_guarded(df: DataFrame, features, site: str, covariates=(), min_site_n=5, eb=True) -> DataFrame:

@@ -14,6 +14,7 @@ from varve.models import gram as G
 from varve.models import regression as R
 from varve.operators import association as A
 from varve.operators.combat import harmonize_guarded
+from varve.operators.row_sets import halves_of, members_of
 from varve.operators.shape import best_signed, melt
 from varve.operators.splits import random_draw, random_halves, random_member
 from varve.session import stage, stage_small
@@ -55,13 +56,20 @@ def cutoff_sweep(df: DataFrame, features, target: str, cutoffs=CUTOFFS, min_n=50
 def split_halves(df: DataFrame, spec: R.Spec, iterations=10, model="ridge") -> tuple[DataFrame, DataFrame]:
     """(iteration, r_first_half, r_second_half) and the replication summary; siblings stay in one half.
 
-    Every half is a group of the same two aggregates: iterations add rows, not passes.
+    Every half is a set of rows of one aggregate by fold and site: iterations add columns to a matrix, neither rows nor passes. Where the
+    scores do not follow from such sums, every half is a group of the same two aggregates, and iterations add rows.
     """
     prepared = R.prepare(df, spec)
-    halves = random_halves(prepared.rows, spec.family, iterations, spec.seed)
-    rows = prepared.rows.join(halves, spec.family)
-    groups = ["iteration", "half"]
-    scores = R.pooled(prepared, prepared.frame(groups, rows=rows), model, groups)
+    if model != "svr" and R.additive(spec):
+        rows, deal, more = halves_of(prepared.rows, spec.family, iterations, spec.seed)
+        scores = R.fold_scores(prepared, model, rows=rows, deal=deal, more=more).withColumns(
+            {"iteration": F.col("member") % iterations, "half": F.when(F.col("member") < iterations, "a").otherwise("b")}
+        )
+    else:
+        halves = random_halves(prepared.rows, spec.family, iterations, spec.seed)
+        rows = prepared.rows.join(halves.hint("merge"), spec.family)
+        groups = ["iteration", "half"]
+        scores = R.pooled(prepared, prepared.frame(groups, rows=rows), model, groups)
     table = stage_small(scores.groupBy("iteration").agg(
         F.max(F.when(F.col("half") == "a", F.col("pearson_r"))).alias("r_first_half"), F.max(F.when(F.col("half") == "b", F.col("pearson_r"))).alias("r_second_half")
     ))
@@ -139,10 +147,15 @@ def stratified_correlations(df: DataFrame, by: str, pairs, target: str, min_n: i
 def one_per_family(df: DataFrame, spec: R.Spec, iterations=10, model="ridge", level=0.95) -> tuple[DataFrame, DataFrame]:
     """Pooled r with one random member per family, per iteration; and median, interval and empirical p."""
     prepared = R.prepare(df, spec)
-    tall = prepared.rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    chosen = random_member(tall, spec.family, spec.id, F.col("it"), spec.seed)
-    rows = stage(chosen.drop(spec.family).join(prepared.rows, spec.id))
-    table = stage_small(R.pooled(prepared, prepared.frame(["iteration"], rows=rows), model, ["iteration"]).select("iteration", "pearson_r"))
+    if model != "svr" and R.additive(spec):
+        rows, deal, more = members_of(prepared.rows, spec.family, spec.id, iterations, spec.seed)
+        scores = R.fold_scores(prepared, model, rows=rows, deal=deal, more=more).withColumnRenamed("member", "iteration")
+    else:
+        tall = prepared.rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        chosen = random_member(tall, spec.family, spec.id, F.col("it"), spec.seed)
+        rows = stage(chosen.drop(spec.family).hint("merge").join(prepared.rows, spec.id))
+        scores = R.pooled(prepared, prepared.frame(["iteration"], rows=rows), model, ["iteration"])
+    table = stage_small(scores.select("iteration", "pearson_r"))
     a = (1 - level) / 2
     summary = table.agg(
         F.median("pearson_r").alias("median"), F.percentile("pearson_r", F.lit(a)).alias("lower"), F.percentile("pearson_r", F.lit(1 - a)).alias("upper"),
@@ -159,11 +172,14 @@ def by_group_cv(df: DataFrame, spec: R.Spec, group: str, model="ridge") -> DataF
 
 
 def alternative_targets(df: DataFrame, spec: R.Spec, targets, model="ridge") -> DataFrame:
-    """The same study on other outcomes, or without its score range."""
+    """The same study on other outcomes, or without its score range; the input's own joins run once for all."""
+    columns = [spec.id, spec.site, *spec.features, *spec.covariates, *spec.residualize, *spec.covariate_features, *([spec.family] if spec.family else [])]
+    df = stage(df.select(*dict.fromkeys([*columns, *[target for target, _ in targets.values()]])))
     out = None
     for name, (target, score_range) in targets.items():
         variant = replace(spec, target=target, score_range=score_range)
         prepared = R.prepare(df, variant)
-        part = R.pooled(prepared, prepared.frame(), model).withColumn("study", F.lit(name))
+        scores = R.fold_scores(prepared, model) if model != "svr" and R.additive(variant) else R.pooled(prepared, prepared.frame(), model)
+        part = scores.withColumn("study", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.select("study", "pearson_r", "r2", "n")
