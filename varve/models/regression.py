@@ -446,7 +446,8 @@ def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", group
         tall = permute(rows, spec.id, spec.target, perms, spec.seed)
         real = rows.select(spec.id, F.lit(-1).alias("_draw"), F.col(spec.target).alias("_target"))
         shuffled = tall.select(spec.id, F.col("perm").cast("int").alias("_draw"), F.col("permuted").alias("_target"))
-        many = stage(prepared.frame(groups)).join(real.unionByName(shuffled), spec.id).drop(spec.target).withColumnRenamed("_target", spec.target)
+        # By a merge: Spark estimates the shuffles by the rows before they are multiplied.
+        many = stage(prepared.frame(groups)).join(real.unionByName(shuffled).hint("merge"), spec.id).drop(spec.target).withColumnRenamed("_target", spec.target)
         scores = pooled(prepared, many, model, [*groups, "_draw"])
         target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("perm"), F.col("_draw")))
         return _against_null(stage(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
