@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from varve.models import regression as R
 from varve.operators import shuffles as S
 
@@ -100,3 +102,20 @@ def test_permuted_study_equals_refitting_shuffled_rows(spark):
     seen = p.first()
     assert seen["observed"] == pytest.approx(R.pooled(prepared, prepared.frame()).first()["pearson_r"])
     assert seen["p"] == pytest.approx((1 + (null.abs() >= abs(seen["observed"])).sum()) / 26)
+
+
+def test_memory_of_shuffled_targets_does_not_follow_the_rows(spark):
+    """The temporary matrices of a task's donors are bounded; only the targets themselves grow with the rows given."""
+    import tracemalloc
+
+    from varve.operators.shuffles import number_rows, shuffled_targets
+
+    df = spark.range(3000).select("id", F.col("id").cast("double").alias("v"))
+    numbered, block = shuffled_targets(number_rows(df, "id"), "v", 400)
+    rows = numbered.select(*block.columns).toPandas()
+    tracemalloc.start()
+    out = block.make(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(sorted(out[:, j]) == list(range(3000)) for j in (0, 399))
+    assert peak < 3 * out.nbytes

@@ -30,7 +30,7 @@ class Block:
 
 
 #: Cells of rows x products that a task holds at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
 
 
 def gram(df: DataFrame, columns, targets, keys, side: str | None = None, weight: str | None = None, block: Block | None = None) -> DataFrame:

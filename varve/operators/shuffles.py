@@ -21,6 +21,8 @@ from varve.session import stage
 ROUNDS = 6
 #: Values in the vector that tasks share (8 bytes each); beyond, rows meet their donors in a join.
 SHARED_VALUES = 4_000_000
+#: Donors worked out at once: their temporary matrices stay small, however many rows a batch has.
+DONORS = 250_000
 # Fixed values of a round: a value plus its key, cut to 31 bits, times FACTOR, less its lowest SHIFT bits.
 FACTOR, SHIFT, LOW31 = 1_103_515_245, 15, (1 << 31) - 1
 
@@ -88,8 +90,11 @@ def shuffled_targets(numbered: DataFrame, value: str, perms: int, seed=42, tag="
             out = np.empty((len(rows), some.shape[1]))
             bases, sizes, own = rows["_base"].to_numpy(), rows["_size"].to_numpy(), rows["_slot"].to_numpy()
             for base in np.unique(bases):
-                mine = bases == base
-                out[mine] = values[base + donors(own[mine], int(sizes[mine][0]), some)]
+                mine = np.flatnonzero(bases == base)
+                step = max(1, DONORS // some.shape[1])
+                for at in range(0, len(mine), step):
+                    here = mine[at : at + step]
+                    out[here] = values[base + donors(own[here], int(sizes[here[0]]), some)]
             return out
 
         return numbered, Block(names, ["_slot", "_size", "_base"], make)
