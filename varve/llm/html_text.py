@@ -4,8 +4,8 @@ The pages of a host are merged into one tree of element styles (the tags and cla
 as important as its content and presentation are various: text that returns on every page of the host, in the same
 layout, has none. Branches of low importance are cut from each page. Markup that names its role (nav, footer, class="ad", an
 article) decides first: on a host with few pages, or with adverts that rotate, entropy alone cannot tell. A class or id
-does so only by a whole name or its last part, never for headings and inline elements, and, as forms, not for what holds the
-article or most of the page's text.
+does so only by a whole name or its last part, never for headings, for inline elements only as a whole name of an advert, and, as
+forms, not for what holds the article or most of the page's text.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ _NOISE_NAMES = frozenset(
     sharing social related recommended recommendations comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager
     widget widgets toolbar login search copyright skip""".split()
 )
+_ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted".split())
 _HEADER_NAMES = frozenset("header masthead".split())
 _STATES = frozenset("has with without no".split())  # "has-sidebar" tells of a part elsewhere
 _KEEP_TAGS = frozenset("html body main article".split())
@@ -81,6 +82,7 @@ class Node:
         self.children: list[str] = []
         self.holds_main, self.chars = False, 0
         named = tag == "form" or (tag not in _KEEP_TAGS | _INLINE | _HEADINGS and _names_noise(names, inside))
+        named = named or (tag in _INLINE and not _ADVERT_NAMES.isdisjoint(names.lower().split()))
         self.named: Node | None = self if named else parent.named if parent is not None else None  # the innermost element about it that is noise by its name
         if main or role == "main":
             for n in self.naming():
