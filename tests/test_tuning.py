@@ -1,5 +1,7 @@
 """Inner tuning against refitting every split and candidate by hand."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ import pytest
 from varve.models import gram as G
 from varve.models import regression as R
 from varve.models import tuning as T
-from varve.models.svr import Fit
+from varve.models.svr import Fit, Variant, fit_svr_variants
 
 GRID = {"ridge": {"alpha": [0.01, 30.0, 3000.0]}, "elastic_net": {"alpha": [0.001, 0.2], "l1_ratio": [0.1, 0.9]}}
 X = ["f0", "f1", "f2", "f3"]
@@ -164,3 +166,53 @@ def test_svr_settles_where_hardly_a_row_is_free():
                 if fit.done:
                     break
             assert fit.done
+
+
+def many_rows(hinge, n=30_000):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 3))
+    f = 0.3 * x[:, 0] - 0.1 * x[:, 1] + rng.standard_t(5, n)
+    return x, np.where(f > 0, 1.0, -1.0) if hinge else f
+
+
+@pytest.mark.parametrize("hinge", [False, True])
+def test_last_steps_over_the_near_rows_give_the_fit_of_all_rows(hinge):
+    x, t = many_rows(hinge)
+    rows = np.column_stack([np.ones(len(x)), x])
+    epsilon = 0.0 if hinge else 0.1
+    for C in (0.01, 1.0):
+        plain, fit = (Fit(np.concatenate([[t.mean()], np.zeros(3)]), t.std() / C, C, 1e-5, epsilon, t.std(), hinge=hinge) for _ in range(2))
+        while not plain.done:
+            plain.advance(plain.sums(rows, t))
+        passes = 0
+        while not fit.done and passes < 25:
+            if fit.close:
+                halves = [fit.split(rows[s], t[s]) for s in (slice(0, 9_000), slice(9_000, None))]
+                lines, top, near = sum(h[0] for h in halves), np.maximum(halves[0][1], halves[1][1]), np.concatenate([h[2] for h in halves])
+                assert len(near) < 8_192
+                fit.move(*fit.finish(lines, top, near))
+            else:
+                fit.advance(fit.sums(rows, t))
+            passes += 1
+        assert fit.done and np.allclose(fit.b, plain.b, atol=1e-5)
+
+
+def test_a_centre_with_too_many_near_rows_is_given_up():
+    x, t = many_rows(False, 500)
+    fit = Fit(np.zeros(4), 1.0, 1.0, 1e-4, centre=np.zeros(4), width=0.1)
+    fit.move(None, float("inf"))
+    assert not fit.close and not fit.done and fit.most_near == 1_024
+
+
+def test_svr_of_many_rows_needs_few_passes(spark, monkeypatch):
+    x, t = many_rows(False)
+    passes, step = Counter(), Fit.advance
+    monkeypatch.setattr(Fit, "advance", lambda self, sums: (passes.update([id(self)]), step(self, sums))[1])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(t=t, k=np.arange(len(t)) % 2, part=np.arange(len(t)) % 3))
+    found = fit_svr_variants(df, list("abc"), "t", ["k"], lambda key: [Variant(f"{C}", C, 0.1, 1) for C in (0.1, 1.0)], "part")
+    monkeypatch.undo()
+    assert len(passes) == 4 and max(passes.values()) <= 25
+    for k in (0, 1):
+        use = (np.arange(len(t)) % 2 == k) & (np.arange(len(t)) % 3 != 1)
+        for C in (0.1, 1.0):
+            assert np.allclose(found[(k,), f"{C}"], svr_by_hand(x[use], t[use], C, 0.1), atol=1e-4)

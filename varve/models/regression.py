@@ -22,7 +22,7 @@ from varve.operators.shape import quantile_bin
 from varve.operators.shuffles import number_rows, shuffled_targets
 from varve.operators.splits import assign_folds, assign_group_folds, stratification_key
 from varve.operators.weighting import apply_scaler, fit_scaler, inverse_bin_weights, inverse_value_weights, runs
-from varve.session import stage
+from varve.session import spread, stage
 
 
 @dataclass(frozen=True)
@@ -275,7 +275,8 @@ def _svr_rows(prepared: Prepared, frame: DataFrame, keys, spec: Spec, base: Data
     y = F.col(spec.target) - (G.linear_value("resid", prepared.resid) if prepared.resid else F.lit(0.0))
     scored = frame.where(complete([*spec.inputs, *prepared.resid])).join(small, keys).withColumn("_y", y)
     z = (F.col("_y") - F.col("y_mean")) / _sd()
-    return scored, stage(scored.where("is_train").select(*keys, *keep, *spec.inputs, "_y", z.alias("_z")))
+    train = scored.where("is_train").select(*keys, *keep, *spec.inputs, "_y", z.alias("_z"))
+    return scored, stage(spread(train, [*keys, *keep]))
 
 
 def _sd():

@@ -1,4 +1,8 @@
-"""Linear epsilon-insensitive and hinge losses by Newton steps on a smoothed loss, all groups in one pass per step."""
+"""Linear epsilon-insensitive and hinge losses by Newton steps on a smoothed loss, all groups in one pass per step.
+
+Passes over all rows are needed only until the rows that may still change sides are few (`NEAR_ROWS`): the loss of the others is a line
+there, so the last steps of a fit run over the few rows and the others' sums, within one task, under the gap of all rows.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,9 @@ from pyspark.sql import functions as F
 from varve.models.grouped import settle
 
 _HALVINGS = 0.5 ** np.arange(1, 31)
+#: Rows of one fit that may still bend its loss when a single task takes them over.
+NEAR_ROWS = 4096
+_MOST_CENTRES = 4
 
 
 def _limits(t, C, hinge):
@@ -40,7 +47,8 @@ def row_sums(x, t, levels, b, mu, epsilon, C, hinge=False) -> np.ndarray:
     """What one step needs of rows x (first column 1) with targets t at fit b, as one vector of sums.
 
     The triangle of x'x over rows whose dual value is free, x weighted by what these values have moved in this level, x
-    weighted by the dual values, the smoothed loss, and the rows' share of the duality gap.
+    weighted by the dual values, the smoothed loss, the rows' share of the duality gap, the number of rows within mu * C of a
+    corner of the loss, and that of all rows.
     """
     low, high = limits = _limits(t, C, hinge)
     held, r = _held(x, t, levels, epsilon, limits), t - x @ b
@@ -48,7 +56,8 @@ def row_sums(x, t, levels, b, mu, epsilon, C, hinge=False) -> np.ndarray:
     free = (a != 0) & (a > low) & (a < high)
     gap = np.maximum(np.maximum(high * (r - epsilon), low * (r + epsilon)), 0.0) - a * r + epsilon * np.abs(a)
     products = (x[free].T @ x[free])[np.triu_indices(x.shape[1])]
-    return np.concatenate([products, x[free].T @ (a - held)[free], x.T @ a, [_loss(r, a, epsilon, mu, held).sum(), gap.sum()]])
+    near = np.count_nonzero(np.abs(np.abs(r) - epsilon) <= mu * C)
+    return np.concatenate([products, x[free].T @ (a - held)[free], x.T @ a, [_loss(r, a, epsilon, mu, held).sum(), gap.sum(), near, len(t)]])
 
 
 def search_sums(x, t, levels, b, way, mu, epsilon, C, hinge=False) -> np.ndarray:
@@ -78,6 +87,14 @@ class Fit:
     searching: bool = False
     done: bool = False
     hinge: bool = False  # classes -1 and 1, epsilon 0: the loss is C * max(1 - t * f, 0)
+    most_near: int = NEAR_ROWS
+    centre: np.ndarray | None = None  # where the rows near a corner are to be taken from, if they are few
+    width: float = 0.0  # how near
+    centres: int = 0  # tried from this level on
+
+    @property
+    def close(self) -> bool:
+        return self.centre is not None
 
     def sums(self, x, t):
         if self.searching:
@@ -96,7 +113,8 @@ class Fit:
         a, tail = np.zeros((q, q)), q * (q + 1) // 2
         a[np.triu_indices(q)] = sums[:tail]
         a = a + np.triu(a, 1).T
-        moved, pull, loss, rows_gap = sums[tail : tail + q], sums[tail + q : tail + 2 * q], sums[-2], sums[-1]
+        moved, pull = sums[tail : tail + q], sums[tail + q : tail + 2 * q]
+        loss, rows_gap, near, rows = sums[-4:]
         value = self.b[1:] @ self.b[1:] / 2 + loss
         if self.before is not None and value > self.before[1] + 1e-12 * abs(self.before[1]):
             start, old, _ = self.before
@@ -111,7 +129,7 @@ class Fit:
         if level and still + rows_gap <= goal:
             self.done = True
             return
-        settled = still <= max(3 * rows_gap, 0.1 * goal)
+        settled, width = still <= max(3 * rows_gap, 0.1 * goal), self.mu * self.C
         if settled:
             self.levels.append((self.b, self.mu))
             shrink = 0.5 if self.passes <= 5 else 1.0
@@ -120,6 +138,46 @@ class Fit:
         hold = np.diag([max(1e-10 * max(a[0, 0], 1.0) / self.mu, abs(off[0]) / self.reach - a[0, 0] / self.mu)] + [1.0] * (q - 1))
         self.before = None if settled else (self.b, value, None)
         self.b = self.b + np.linalg.solve(hold + a / self.mu, off)
+        if near <= self.most_near:
+            self.centre, self.width, self.centres = self.b, float("inf") if rows <= self.most_near else width, 0
+
+    def split(self, x, t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What rows add around the centre: sums of those further than `width` from each corner, greatest |x|, and the near rows (x, t).
+
+        A far row stays on its side as long as its residual moves by less than `width`: its loss is a line with the dual value as slope.
+        """
+        low, high = _limits(t, self.C, self.hinge)
+        r = t - x @ self.centre
+        far = np.abs(np.abs(r) - self.epsilon) > self.width
+        a = np.where(r > self.epsilon, high, np.where(r < -self.epsilon, low, 0.0)) * far
+        return np.append(x.T @ a, a @ t - self.epsilon * np.abs(a).sum()), np.abs(x).max(axis=0), np.column_stack([x, t])[~far]
+
+    def finish(self, lines: np.ndarray, top: np.ndarray, near: np.ndarray, most_steps=500) -> tuple[np.ndarray | None, float]:
+        """The optimum with the far rows' loss as a line, and how far it may move a residual. Up to `width` it is that of all rows, with its gap."""
+        x, t, slope = near[:, :-1], near[:, -1], lines[:-1]
+        fit = Fit(self.centre, self.mu, self.C, self.tol, self.epsilon, self.reach, hinge=self.hinge)
+        q = len(slope)
+        for _ in range(most_steps):
+            sums = fit.sums(x, t)
+            if fit.searching:
+                sums = sums + lines[-1] - fit.before[0] @ slope - _HALVINGS * (fit.before[2] @ slope)
+            else:
+                sums[-4 - q : -4] += slope
+                sums[-4] += lines[-1] - fit.b @ slope
+            fit.advance(sums)
+            if fit.done:
+                return fit.b, float(top @ np.abs(fit.b - self.centre))
+        return None, float("inf")
+
+    def move(self, b: np.ndarray | None, reached: float) -> None:
+        """Use what `finish` found (None: too many near rows, or no end): the end, a centre nearer to it, or more steps over all rows."""
+        self.centres += 1
+        if b is not None and reached <= self.width:
+            self.b, self.done = b, True
+        elif b is not None and reached <= 16 * self.width and self.centres < _MOST_CENTRES:
+            self.centre = b
+        else:
+            self.centre, self.most_near = None, self.most_near // 4
 
 
 @dataclass(frozen=True)
@@ -144,6 +202,7 @@ def fit_svr_variants(train: DataFrame, features, y: str, keys, variants, part: s
     Proximal steps on the dual round the corners of the loss; each is solved by Newton steps, one cross-product aggregate over
     the data and a p x p solve each. A step that raises the objective is halved. A fit ends when its duality gap proves its
     coefficients within `tol` times their length of the optimum. Fits that have not ended after `most_passes` raise an error.
+    Once only few rows are near a corner of the loss, these and the sums of all others go to one task, which ends the fit.
     A variant with `without` leaves out the rows whose column `part` has that value; rows are never copied for a variant.
     Only (fits x p^2) numbers reach the driver. `train` is read once per step: stage or cache it.
     """
