@@ -415,6 +415,28 @@ def test_search_over_many_shards_prunes_nothing_of_the_answer(monkeypatch):
             assert found[query] == sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
 
 
+def test_search_scores_few_documents_in_full(monkeypatch):
+    """Common terms are summed for all documents at once, so that few documents are left to score; the sums are those of the postings."""
+    rng = random.Random(12)
+    texts = [" ".join(f"t{int(rng.expovariate(0.01))}" for _ in range(rng.randrange(20, 120))) for _ in range(2_000)]
+    ids, k, seen = np.arange(len(texts)), 5, []
+    asked = bm25_search.read_queries(ids[::40], pa.array(texts[::40]))
+    counts, _, term, _ = bm25_search._occurrences(pa.array(texts), asked.vocabulary)
+    df = np.bincount(term, minlength=len(asked.vocabulary))
+    shard = bm25_search.Shard(pa.array(texts), ids, asked.vocabulary, np.log1p((2_000 - df + 0.5) / (df + 0.5)), counts.mean(), 1.2, 0.75)
+    weight, scores = np.zeros(len(asked.vocabulary)), bm25_search.Shard._scores
+    monkeypatch.setattr(bm25_search.Shard, "_scores", lambda self, docs, *rest: (seen.append(len(docs)), scores(self, docs, *rest))[1])
+    common = shard.common_sums(asked.terms, asked.first)
+    assert 20 < len(shard.common_impact) < len(df)
+    for q in range(len(asked.ids)):
+        terms = asked.terms[asked.first[q] : asked.first[q + 1]]
+        assert np.allclose(common[q], shard._sums(terms[shard.common_row[terms] >= 0]), rtol=1e-5)
+        docs, found = shard.search(terms, k, 0.0, weight, common[q])
+        best = np.sort(scores(shard, np.arange(2_000), terms, weight))[::-1][:k]
+        assert np.allclose(np.sort(found)[::-1][:k], best) and not weight.any()
+    assert sum(seen) <= 6 * k * len(asked.ids)
+
+
 def test_tool_calls(spark):
     def call(conv, turn, id, args, name="f"):
         return (conv, turn, "assistant", '{"tool_calls":[{"id":%s,"function":{"name":"%s","arguments":%s}}]}' % (id, name, args))
