@@ -1,13 +1,16 @@
 """Grouped classifiers against fits of each group, fold, setting and subset on its own."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from varve.models import linear_classifiers as L
+from varve.models.svr import Fit
 from varve.operators.shuffles import donors, round_keys
-from varve.session import stage
+from varve.session import spread, stage
 
 P = 4
 
@@ -144,3 +147,23 @@ def test_hinge_fits_without_signal_settle(share, rounded):
             fit.advance(fit.sums(np.column_stack([np.ones(200), x]), 2.0 * y - 1))
             passes += 1
         assert fit.done and np.allclose(fit.b[1:], hinge_by_hand(x, y, C)[1:], atol=2e-4)
+
+
+def test_hinge_fits_of_many_rows_need_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 6))
+    y = (x[:, 0] + 3 * rng.normal(size=20_000) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"g": 0, "part": np.arange(20_000) % 2, "y": y, "x": list(x)}))
+    rows = stage(spread(df.select("g", "part", F.col("y").cast("int").alias("y"), "x"), ["g", "part"]))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    passes, step = Counter(), Fit.advance
+    monkeypatch.setattr(Fit, "advance", lambda self, sums: (passes.update([id(self)]), step(self, sums))[1])
+    found = L.fit_members(rows, "svm", ["g"], [L.Member(f"{C}", (("C", C),), 0) for C in (0.01, 1.0)], "part")
+    monkeypatch.undo()
+    assert len(passes) == 2 and max(passes.values()) <= 25
+    use, t = np.column_stack([np.ones(10_000), x[1::2]]), 2.0 * y[1::2] - 1
+    for C in (0.01, 1.0):
+        fit = L.new_fit("svm", 6, (t < 0).sum(), (t > 0).sum(), {"C": C})
+        while not fit.done:
+            fit.advance(fit.sums(use, t))
+        assert np.allclose(found[(0,), f"{C}"], fit.b, atol=1e-4)

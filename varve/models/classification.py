@@ -20,7 +20,7 @@ from varve.operators.combat import _numeric, fit_site_model
 from varve.operators.prep import complete, drop_small_groups
 from varve.operators.splits import assign_folds, balance_classes, inner_split
 from varve.operators.weighting import balanced_class_weights, fit_pca
-from varve.session import stage, stage_small
+from varve.session import spread, stage, stage_small
 
 # Thresholds tried when choosing an operating point.
 THRESHOLDS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.60, 0.70)
@@ -257,7 +257,8 @@ def linear_predictions(name: str, ready: DataFrame, task: Task, params: dict, gr
     Settings, thresholds and calibration curves come from one set of inner folds of each run.
     """
     train = inner_folds(ready.where("is_train"), task, tag, ["run"])
-    rows = stage(train.unionByName(ready.where(~F.col("is_train")).withColumn("inner", F.lit(None).cast(dict(train.dtypes)["inner"]))))
+    rows = train.unionByName(ready.where(~F.col("is_train")).withColumn("inner", F.lit(None).cast(dict(train.dtypes)["inner"])))
+    rows = stage(spread(rows, ["run", "inner"]))
     scored = _grid_scores(name, rows, task, params, grid, ["run", task.id, "y", "inner"])
     if len(grid) > 1:
         values = inner_values(scored.where("inner is not null"), name, task, ["run", "point"])

@@ -38,8 +38,9 @@ def _loss(r, a, epsilon, mu, held):
 def _held(x, t, levels, epsilon, limits):
     """Dual values after the settled levels [(fit, mu)], worked out anew from the row: nothing is stored with it."""
     a = np.zeros(len(t))
-    for b, mu in levels:
-        a = _pull(t - x @ b, epsilon, mu, limits, a)
+    at = np.stack([b for b, _ in levels]) @ x.T if levels else ()
+    for f, (_, mu) in zip(at, levels):
+        a = _pull(t - f, epsilon, mu, limits, a)
     return a
 
 
