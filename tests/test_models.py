@@ -298,3 +298,21 @@ def test_grid_search_equals_each_setting_alone(spark):
         alone = C.out_of_fold("logistic", df, task, t["params"], "tune")
         assert V.roc_auc(alone, "y", "score", ["inner"]).agg(F.avg("auc")).first()[0] == pytest.approx(t["score"])
     assert best == tried[0]["params"]
+
+
+def test_pooled_regression_reads_its_input_once(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"fold": np.arange(400) % 4, "y": rng.normal(size=400).round(2)}).assign(p=lambda d: (d.y + rng.normal(size=400)).round(1))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(pdf).mapInPandas(count, "fold long, y double, p double")
+    out = V.pooled_regression(df, "y", "p", "fold").toPandas().set_index(["scope", "metric"]).value
+    assert seen.value == 400
+    assert out["overall", "spearman_r"] == pytest.approx(pdf.y.rank().corr(pdf.p.rank()))
+    by = [g.y.rank().corr(g.p.rank()) for _, g in pdf.groupby("fold")]
+    assert out["mean", "spearman_r"] == pytest.approx(np.mean(by)) and out["max", "spearman_r"] == pytest.approx(max(by))

@@ -11,6 +11,7 @@ from varve.operators.bootstrap import draw_auc, draw_sums
 from varve.operators.ordering import order_stats, running_sums
 from varve.operators.resample import poisson_weights
 from varve.operators.shape import edge_bin
+from varve.session import stage
 
 
 def ratio(a, b, empty=0.0) -> Column:
@@ -270,7 +271,8 @@ def regression_metrics(df: DataFrame, y: str, pred: str, groups=(), ranks=True)
 
 
 def pooled_regression(df: DataFrame, y: str, pred: str, fold: str, ranks=True) -> DataFrame:
-    """(scope, metric, value): pooled metrics and mean, SD, min, max over folds."""
+    """(scope, metric, value): pooled metrics and mean, SD, min, max over folds. The predictions are read some ten times, so they are written once."""
+    df = stage(df.select(F.col(fold), F.col(y).cast("double").alias(y), F.col(pred).cast("double").alias(pred)))
     overall = regression_metrics(df, y, pred, (), ranks).select(F.lit("overall").alias("scope"), "metric", "value")
     return overall.unionByName(_across(regression_metrics(df, y, pred, [fold], ranks), ("mean", "std", "min", "max")))
 

@@ -251,5 +251,5 @@ def average_ranks(df: DataFrame, value: str, groups=(), out="rank", weight: str
     """(group..., value, out) with the average rank of each distinct value; ties share their mean rank."""
     m = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(m.alias("m"))
-    ranked = running_sums(counts, value, ["m"], groups)
+    ranked = running_sums(stage(counts), value, ["m"], groups)  # read three times
     return ranked.select(*groups, value, (F.col("cum_m") - (F.col("m") - 1) / 2.0).alias(out))
