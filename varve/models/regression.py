@@ -285,8 +285,8 @@ def _sd():
 
 def _svr_results(prepared: Prepared, scored: DataFrame, train: DataFrame, beta: dict, keys, spec: Spec) -> tuple[DataFrame, DataFrame]:
     groups = [k for k in keys if k != "run"]
-    table = svr_table(scored.sparkSession, beta, keys, dict(train.dtypes))
-    held = scored.where(~F.col("is_train")).join(table, keys)
+    table = svr_table(scored.sparkSession, beta, keys, {"without": "int", **dict(train.dtypes)})
+    held = scored.where(~F.col("is_train")).join(table, [k for k in keys if k in scored.columns])
     yhat = F.col("y_mean") + _sd() * G.linear_value("svr", spec.inputs)
     if not prepared.resid:
         yhat = F.greatest(yhat, F.lit(0.0))
@@ -310,7 +310,21 @@ def pooled(prepared: Prepared, frame: DataFrame, model="ridge", groups=(), spec=
     spec, groups = spec or prepared.spec, list(groups)
     if model != "svr":
         return G.pooled_r(fits(prepared, frame, [model], groups=groups, spec=spec), groups)
-    preds, _ = svr_predictions(prepared, frame, groups, spec)
+    return _pooled_predictions(svr_predictions(prepared, frame, groups, spec)[0], spec, groups)
+
+
+def svr_without_each(prepared: Prepared, frame: DataFrame, spec=None) -> DataFrame:
+    """`pooled` of the SVR with all inputs (`without` 0) and without each of them (1, 2, ...): fits over the same rows, none of which is copied."""
+    spec = spec or prepared.spec
+    s = {"C": 1.0, "epsilon": 0.1, **spec.models.get("svr", {})}
+    scored, train = _svr_rows(prepared, frame, ["run"], spec)
+    each = [Variant(str(i), s["C"], s["epsilon"], blank=i or None) for i in range(len(spec.inputs) + 1)]
+    found = fit_svr_variants(train, spec.inputs, "_z", ["run"], lambda key: each)
+    beta = {(*key, int(name)): b for (key, name), b in found.items()}
+    return _pooled_predictions(_svr_results(prepared, scored, train, beta, ["run", "without"], spec)[0], spec, ["without"])
+
+
+def _pooled_predictions(preds: DataFrame, spec: Spec, groups=()) -> DataFrame:
     p, y = F.col("yhat"), F.col("y")
     sums = preds.groupBy(*groups, "model").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("sp"), F.sum(p * p).alias("spp"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(p * y).alias("spy")

@@ -2,6 +2,7 @@
 
 Passes over all rows are needed only until the rows that may still change sides are few (`NEAR_ROWS`): the loss of the others is a line
 there, so the last steps of a fit run over the few rows and the others' sums, within one task, under the gap of all rows.
+Fits over many rows begin at the fit of some thousands of them (`START_ROWS`), with little smoothing, which leaves a few passes over all rows.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.models.grouped import settle
+from varve.session import stage, stage_small
 
 _HALVINGS = 0.5 ** np.arange(1, 31)
 #: Rows of one fit that may still bend its loss when a single task takes them over.
 NEAR_ROWS = 4096
+#: Rows of one support vector regression over which its start is fitted, and that a single task takes over at its end.
+START_ROWS = 16_384
 _MOST_CENTRES = 4
 
 
@@ -183,12 +187,13 @@ class Fit:
 
 @dataclass(frozen=True)
 class Variant:
-    """One of several fits on the rows of a group: its settings, and the part of the rows that it leaves out."""
+    """One of several fits on the rows of a group: its settings, the part of the rows and the feature (from 1) that it leaves out."""
 
     name: str
     C: float = 1.0
     epsilon: float = 0.1
     without: int | None = None
+    blank: int | None = None
 
 
 def fit_svr(train: DataFrame, features, y: str, keys, C=1.0, epsilon=0.1, tol=1e-4, most_passes=500) -> dict:
@@ -204,26 +209,47 @@ def fit_svr_variants(train: DataFrame, features, y: str, keys, variants, part: s
     the data and a p x p solve each. A step that raises the objective is halved. A fit ends when its duality gap proves its
     coefficients within `tol` times their length of the optimum. Fits that have not ended after `most_passes` raise an error.
     Once only few rows are near a corner of the loss, these and the sums of all others go to one task, which ends the fit.
-    A variant with `without` leaves out the rows whose column `part` has that value; rows are never copied for a variant.
+    A variant with `without` leaves out the rows whose column `part` has that value, one with `blank` takes that feature as zero; rows are
+    never copied for a variant. Groups of more than four times `START_ROWS` begin at the fits over about `START_ROWS` of their rows, drawn at random
+    by a fixed seed: that changes the passes that are needed, while the end is proven by the gap over all rows.
     Only (fits x p^2) numbers reach the driver. `train` is read once per step: stage or cache it.
     """
     features, keys = list(features), list(keys)
     p = len(features)
     rows = train.select(*keys, *([part] if part else []), *[F.col(c).cast("double").alias(c) for c in [*features, y]]).dropna("any", subset=[*features, y])
-    start = rows.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd")).toPandas()
+    known = stage_small(rows.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd"), F.count(F.lit(1)).alias("_n")))
     fits: dict = {}
-    without: dict = {}
-    for *key, mean, sd in start[[*keys, "_mean", "_sd"]].itertuples(index=False, name=None):
+    starts: dict = {}
+    parts: dict = {}
+    for *key, mean, sd, n in known.toPandas()[[*keys, "_mean", "_sd", "_n"]].itertuples(index=False, name=None):
+        many, sd = n > 4 * START_ROWS, max(sd, 1e-6)
         for v in variants(tuple(key)):
-            fits[tuple(key), v.name] = Fit(np.concatenate([[mean], np.zeros(p)]), max(sd, 1e-6) / v.C, v.C, tol, v.epsilon, max(sd, 1e-6))
-            without[tuple(key), v.name] = v.without
+            flat, at = np.concatenate([[mean], np.zeros(p)]), (tuple(key), v.name)
+            # So smoothed, about twice as many rows are near a corner as the last steps take.
+            fits[at] = Fit(flat, sd / v.C * (START_ROWS / n if many else 1.0), v.C, tol, v.epsilon, sd, most_near=START_ROWS)
+            parts[at] = (v.without, v.blank)
+            if many:
+                C = v.C * n / START_ROWS
+                starts[at] = Fit(flat, sd / C, C, tol, v.epsilon, sd, most_near=2 * START_ROWS)
 
     def read(mine, parts):
-        for gone in parts:
-            used = mine if gone is None else mine[mine[part] != gone]
-            yield gone, np.column_stack([np.ones(len(used)), used[features].to_numpy(dtype=float)]), used[y].to_numpy(dtype=float)
-
-    return {k: f.b for k, f in settle(rows, keys, fits, without, read, "support vector regression", most_passes).items()}
+        used: dict = {}
+        for without, blank in parts:
+            if without not in used:
+                kept = mine if without is None else mine[mine[part] != without]
+                used[without] = np.column_stack([np.ones(len(kept)), kept[features].to_numpy(dtype=float)]), kept[y].to_numpy(dtype=float)
+            x, t = used[without]
+            if blank is not None:
+                x = x.copy()
+                x[:, blank] = 0.0
+            yield (without, blank), x, t
+
+    what = "support vector regression"
+    if starts:
+        some = rows.join(known.where(F.col("_n") > 4 * START_ROWS).select(*keys, "_n"), keys).where(F.rand(7) * F.col("_n") < START_ROWS).drop("_n")
+        for at, fit in settle(stage(some), keys, starts, parts, read, what, most_passes=50, must=False).items():
+            fits[at].b = fit.b
+    return {k: f.b for k, f in settle(rows, keys, fits, parts, read, what, most_passes).items()}
 
 
 def svr_table(spark, beta: dict, keys, kinds: dict) -> DataFrame:

@@ -83,17 +83,14 @@ def split_halves(df: DataFrame, spec: R.Spec, iterations=10, model="ridge") -> t
 def leave_one_out(df: DataFrame, spec: R.Spec, model="ridge") -> DataFrame:
     """(feature, r_without, delta_r): each feature's row and column leave the cross products; nothing is rescanned.
 
-    For `svr` every feature left out is a group of one fit, in which its column is zero.
+    For `svr` every feature left out is one more fit over the same rows, to which its column is zero.
     """
     prepared = R.prepare(df, spec)
     if model == "svr":
-        names = spec.inputs
-        tall = stage(prepared.frame()).withColumn("_without", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
-        blanked = {c: F.when(F.col("_without") == i + 1, F.lit(0.0)).otherwise(F.col(c)) for i, c in enumerate(names)}
-        scores = stage_small(R.pooled(prepared, tall.withColumns(blanked), model, ["_without"]))
-        base = scores.where("_without = 0").select("pearson_r").scalar()
-        feature = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_without"))
-        return scores.where("_without > 0").select(
+        scores = stage_small(R.svr_without_each(prepared, stage(prepared.frame())))
+        base = scores.where("without = 0").select("pearson_r").scalar()
+        feature = F.element_at(F.array(*[F.lit(c) for c in spec.inputs]), F.col("without"))
+        return scores.where("without > 0").select(
             feature.alias("feature"), F.col("pearson_r").alias("r_without"), (base - F.col("pearson_r")).alias("delta_r")
         ).orderBy(F.desc("delta_r"), "feature")
     scores = stage_small(G.pooled_r(R.fits(prepared, prepared.frame(), [model], drop_each=True)))
