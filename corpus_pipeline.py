@@ -13,6 +13,7 @@ from varve.llm.langid import fit_languages, keep_identified
 from varve.llm.mixing import mixed_documents
 from varve.llm.near_dedup import near_duplicate_groups
 from varve.llm.sharding import shard_documents
+from varve.llm.tables import may_hold, unused
 from varve.session import stage
 
 
@@ -29,9 +30,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a kept doc_id and its text one stays; texts that differ under one doc_id are documents of their own.
     """
-    kept = near_duplicate_groups(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stage(kept)
-    left = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    found = near_duplicate_groups(docs).groupBy(F.col("doc_id").alias("_kept")).agg(F.count_if("kept").alias("_rows"), F.count_if(~F.col("kept")).alias("_gone"))
+    found = stage(found)
+    kept = found.where("_rows > 0")
+    # Rows whose id has none to drop stay where they are; only the others meet the kept ids.
+    (mark,) = unused(docs, "_may")
+    marked = may_hold(docs, "doc_id", found.where("_gone > 0").select("_kept"), mark)
+    doubtful = marked.where(mark).drop(mark)
+    left = marked.where(~F.col(mark)).drop(mark).unionByName(doubtful.join(kept, doubtful.doc_id.eqNullSafe(kept._kept), "left_semi"))
     repeated = stage(kept.where("_rows > 1"))
     if repeated.isEmpty():  # ids are unique, as a rule
         return left

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.components import connected_components
-from varve.llm.tables import columns_or_null
+from varve.llm.tables import columns_or_null, may_hold
 from varve.llm.words import WHITE_SPACE, chain, mix, slices, split_words
 from varve.session import stage
 
@@ -222,10 +222,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """Full shingle sets of the classes that are in some bucket with others, made again from one text of each."""
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "id")
-    texts = docs.join(wanted.select("id"), docs.doc_id.eqNullSafe(F.col("id")), "left_semi").select("text")
-    made = texts.mapInArrow(_set_maker(width), "digest binary, shingles array<long>")
-    return stage(made.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    wanted = stage(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "id"))
+    likely = may_hold(docs, "doc_id", wanted.select("id"), "_may").where("_may")
+    texts = likely.join(wanted.select("id"), likely.doc_id.eqNullSafe(F.col("id")), "left_semi").select("text")
+    made = texts.mapInArrow(_set_maker(width), "digest binary, shingles array<long>").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return stage(made.join(wanted.select("digest", "node"), "digest").select("node", "shingles"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
