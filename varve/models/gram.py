@@ -22,11 +22,11 @@ class Linear:
 
 @dataclass(frozen=True)
 class Block:
-    """Many targets made from a few columns within a task: `make(rows)` gives a matrix of one column per name."""
+    """Many targets made from a few columns within a task: `make(rows, which)` gives a matrix of one column per name, or of those numbered `which`."""
 
     names: list[str]
     columns: list[str]
-    make: Callable[[pd.DataFrame], np.ndarray]
+    make: Callable[..., np.ndarray]
 
 
 #: Cells of rows x products that a task holds at once.

@@ -14,10 +14,10 @@ from varve.models import gram as G
 from varve.models import tuning as T
 from varve.models.registry import assemble, linear_model, regressor, supports_weights
 from varve.models.svr import Variant, fit_svr, fit_svr_variants, svr_table
+from varve.models.svr_targets import Study, svr_target_scores
 from varve.operators import evaluation as V
 from varve.operators.combat import _numeric, fit_site_model, site_maps
 from varve.operators.prep import complete, drop_small_groups, iqr_filter, range_filter, target_filter
-from varve.operators.resample import permute
 from varve.operators.shape import quantile_bin
 from varve.operators.shuffles import number_rows, shuffled_targets
 from varve.operators.splits import assign_folds, assign_group_folds, stratification_key
@@ -450,23 +450,15 @@ def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", group
     """Pooled r of the real target and of `perms` shuffles of it under the same folds and harmonization.
 
     Targets are shuffled within `groups`. The shuffles are extra targets of one cross-product pass, made in its tasks by a bijection of row numbers:
-    features, folds and site effects are shared, and no row is shuffled for them. For `svr` they are groups of one fit, over rows that
-    carry the shared features.
+    features, folds and site effects are shared, and no row is shuffled or copied for them. For `svr` they are targets of fits over the same rows.
     Returns (groups..., draw, pearson_r) and (groups..., observed, p).
     """
     groups = list(groups)
     prepared = prepare(df, spec, keep=groups)
     rows = prepared.rows
-    if model == "svr":
-        tall = permute(rows, spec.id, spec.target, perms, spec.seed)
-        real = rows.select(spec.id, F.lit(-1).alias("_draw"), F.col(spec.target).alias("_target"))
-        shuffled = tall.select(spec.id, F.col("perm").cast("int").alias("_draw"), F.col("permuted").alias("_target"))
-        # By a merge: Spark estimates the shuffles by the rows before they are multiplied.
-        many = stage(prepared.frame(groups)).join(real.unionByName(shuffled).hint("merge"), spec.id).drop(spec.target).withColumnRenamed("_target", spec.target)
-        scores = pooled(prepared, many, model, [*groups, "_draw"])
-        target = F.when(F.col("_draw") < 0, F.lit(spec.target)).otherwise(F.concat(F.lit("perm"), F.col("_draw")))
-        return _against_null(stage(scores.withColumn("target", target).drop("_draw")), spec.target, groups, alternative)
     numbered, block = shuffled_targets(number_rows(rows, spec.id, groups, spec.seed), spec.target, perms, spec.seed)
+    if model == "svr":
+        return _against_null(stage(_svr_of_targets(prepared, numbered, block, groups)), spec.target, groups, alternative)
     if additive(spec):
         return _against_null(stage(fold_scores(prepared, model, groups, numbered, block)), spec.target, groups, alternative)
     frame = prepared.frame(groups, rows=numbered)
@@ -474,6 +466,17 @@ def permutation_null(df: DataFrame, spec: Spec, perms: int, model="ridge", group
     return _against_null(scores, spec.target, groups, alternative)
 
 
+def _svr_of_targets(prepared: Prepared, numbered: DataFrame, block: G.Block, groups) -> DataFrame:
+    """`pooled` of the SVR for the real target and those of `block`, all over the rows of one frame."""
+    spec = prepared.spec
+    s = {"C": 1.0, "epsilon": 0.1, **spec.models.get("svr", {})}
+    # Features and targets meet by id.
+    given = numbered.select(spec.id, spec.target, *block.columns, (F.col("_base") + F.col("_slot")).alias("_place"))
+    rows = prepared.frame(groups).drop(spec.target).join(given.hint("merge"), spec.id)
+    study = Study(rows, (*groups, "run"), tuple(spec.inputs), tuple(prepared.resid), spec.target, block, "_place", s["C"], s["epsilon"])
+    return G.pooled_r(svr_target_scores(study, floor=not prepared.resid), groups)
+
+
 def _against_null(scores: DataFrame, target: str, groups, alternative) -> tuple[DataFrame, DataFrame]:
     null = scores.where(F.col("target") != target).select(*groups, F.col("target").alias("draw"), "pearson_r")
     seen = scores.where(F.col("target") == target).select(*groups, F.col("pearson_r").alias("observed"))

@@ -59,7 +59,8 @@ def row_sums(x, t, levels, b, mu, epsilon, C, hinge=False) -> np.ndarray:
     held, r = _held(x, t, levels, epsilon, limits), t - x @ b
     a = _pull(r, epsilon, mu, limits, held)
     free = (a != 0) & (a > low) & (a < high)
-    gap = np.maximum(np.maximum(high * (r - epsilon), low * (r + epsilon)), 0.0) - a * r + epsilon * np.abs(a)
+    # So written, the gap of a row whose dual value is at its limit is exactly 0, however many such rows are added up.
+    gap = np.maximum(np.maximum(high * (r - epsilon), low * (r + epsilon)), 0.0) - np.abs(a) * (np.sign(a) * r - epsilon)
     products = (x[free].T @ x[free])[np.triu_indices(x.shape[1])]
     near = np.count_nonzero(np.abs(np.abs(r) - epsilon) <= mu * C)
     return np.concatenate([products, x[free].T @ (a - held)[free], x.T @ a, [_loss(r, a, epsilon, mu, held).sum(), gap.sum(), near, len(t)]])

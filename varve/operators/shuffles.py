@@ -38,24 +38,38 @@ def half_bits(n: int) -> int:
     return max(1, -(-(n - 1).bit_length() // 2))
 
 
-def _feistel(v: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    mask = (1 << bits) - 1
-    left, right = v >> bits, v & mask
+def _feistel(v: np.ndarray, keys, bits: int) -> np.ndarray:
+    """The network over values below 4**bits; `keys` gives a row of keys a round. Of a product only bits below SHIFT + bits are used, which 32-bit numbers keep."""
+    kind = v.dtype.type
+    mask, low, factor, shift = kind((1 << bits) - 1), kind(LOW31), kind(FACTOR), kind(SHIFT)
+    left, right, moved = v >> kind(bits), v & mask, np.empty_like(v)
     for key in keys:
-        left, right = right, left ^ (((((right + key) & LOW31) * FACTOR) >> SHIFT) & mask)
-    return (left << bits) | right
+        np.add(right, key, out=moved)
+        moved &= low
+        moved *= factor
+        moved >>= shift
+        moved &= mask
+        left ^= moved
+        left, right = right, left
+    left <<= kind(bits)
+    left |= right
+    return left
 
 
 def donors(slots: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
     """(rows, permutations): the slot below n whose value each row of `slots` gets. For each permutation a bijection of [0, n)."""
-    bits = half_bits(n)
-    out = _feistel(np.broadcast_to(np.asarray(slots, np.int64)[:, None], (len(slots), keys.shape[1])), keys[:, None, :], bits)
-    row, perm = np.nonzero(out >= n)
-    while len(row):
-        out[row, perm] = again = _feistel(out[row, perm], keys[:, perm], bits)
-        far = again >= n
-        row, perm = row[far], perm[far]
-    return out
+    bits, perms = half_bits(n), keys.shape[1]
+    kind = np.uint32 if SHIFT + bits <= 32 and 2 * bits <= 32 else np.int64
+    keys = keys.astype(kind)
+    out = _feistel(np.repeat(np.asarray(slots).astype(kind), perms).reshape(len(slots), perms), keys, bits).ravel()
+    at = np.flatnonzero(out >= n)
+    values, perm = out[at], at % perms if len(at) else at
+    while len(at):
+        values = _feistel(values, (key[perm] for key in keys), bits)
+        out[at] = values
+        far = np.flatnonzero(values >= n)
+        at, values, perm = at[far], values[far], perm[far]
+    return out.reshape(len(slots), perms).astype(np.int64)
 
 
 def number_rows(df: DataFrame, ids, groups=(), seed=42, tag="order") -> DataFrame:
@@ -85,13 +99,14 @@ def shuffled_targets(numbered: DataFrame, value: str, perms: int, seed=42, tag="
         vector[at["at"].to_numpy()] = at["v"].to_numpy(dtype=float)
         shared = numbered.sparkSession.sparkContext.broadcast((vector, keys))
 
-        def make(rows: pd.DataFrame) -> np.ndarray:
+        def make(rows: pd.DataFrame, which=slice(None)) -> np.ndarray:
             values, some = shared.value
+            some = some[:, which]
             out = np.empty((len(rows), some.shape[1]))
             bases, sizes, own = rows["_base"].to_numpy(), rows["_size"].to_numpy(), rows["_slot"].to_numpy()
             for base in np.unique(bases):
                 mine = np.flatnonzero(bases == base)
-                step = max(1, DONORS // some.shape[1])
+                step = max(1, DONORS // max(1, some.shape[1]))
                 for at in range(0, len(mine), step):
                     here = mine[at : at + step]
                     out[here] = values[base + donors(own[here], int(sizes[here[0]]), some)]
@@ -115,7 +130,7 @@ def shuffled_targets(numbered: DataFrame, value: str, perms: int, seed=42, tag="
     given = numbered.select(place.alias("_from"), F.col(value).cast("double").alias("_v"))
     met = wanted.join(given, "_from").groupBy("_to").agg(F.sort_array(F.collect_list(F.struct("_perm", "_v"))).alias("_all"))
     held = numbered.withColumn("_to", place).join(met.select("_to", F.col("_all._v").alias("_values")), "_to").drop("_to")
-    return stage(held), Block(names, ["_values"], lambda rows: np.stack(rows["_values"].to_numpy()).astype(float))
+    return stage(held), Block(names, ["_values"], lambda rows, which=slice(None): np.stack(rows["_values"].to_numpy()).astype(float)[:, which])
 
 
 def shuffled_correlations(df: DataFrame, ids, features, target: str, perms: int, groups=(), seed=42) -> DataFrame:

@@ -384,7 +384,7 @@ def m18c(spark, d):
 
 @query("M18_permutation_test_svr")
 def m18b(spark, d):
-    return R.permutation_null(baseline_rows(spark, d), spec(), 20, "svr")[1]
+    return R.permutation_null(baseline_rows(spark, d), spec(), 1000, "svr")[1]
 
 
 @query("M19_sex_stratified")
