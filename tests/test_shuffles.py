@@ -119,3 +119,21 @@ def test_memory_of_shuffled_targets_does_not_follow_the_rows(spark):
     tracemalloc.stop()
     assert all(sorted(out[:, j]) == list(range(3000)) for j in (0, 399))
     assert peak < 3 * out.nbytes
+
+
+def test_values_reach_the_driver_in_stretches(spark, monkeypatch):
+    """Not as a row each, which would be many times the vector; missing values stay missing."""
+    from pyspark.sql import DataFrame
+
+    given, collected = [], DataFrame.collect
+    monkeypatch.setattr(S, "STRETCH", 64)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: pytest.fail("rows are collected"))
+    monkeypatch.setattr(DataFrame, "collect", lambda df: given.append(df.count()) or collected(df))
+    df = spark.range(300).select("id", F.when(F.col("id") != 7, F.col("id").cast("double")).alias("v"))
+    numbered, block = S.shuffled_targets(S.number_rows(df, "id"), "v", 3)
+    monkeypatch.undo()
+    assert max(given, default=0) <= 5
+    rows = numbered.toPandas()
+    at = dict(zip(rows["_slot"], rows["v"]))
+    want = np.array([[at[s] for s in S.donors(np.array([slot]), 300, S.round_keys(3))[0]] for slot in rows["_slot"]])
+    assert np.array_equal(block.make(rows), want, equal_nan=True) and np.isnan(want).sum() == 3

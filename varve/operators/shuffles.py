@@ -21,6 +21,8 @@ from varve.session import stage
 ROUNDS = 6
 #: Values in the vector that tasks share (8 bytes each); beyond, rows meet their donors in a join.
 SHARED_VALUES = 4_000_000
+#: Values that reach the driver as one row.
+STRETCH = 1 << 16
 #: Donors worked out at once: their temporary matrices stay small, however many rows a batch has.
 DONORS = 250_000
 # Fixed values of a round: a value plus its key, cut to 31 bits, times FACTOR, less its lowest SHIFT bits.
@@ -85,6 +87,23 @@ def number_rows(df: DataFrame, ids, groups=(), seed=42, tag="order") -> DataFram
     return stage(ranked.join(sizes, "_group").drop("_group"))
 
 
+def _vector(numbered: DataFrame, value: str, n: int) -> np.ndarray:
+    """All values by place. Tasks put stretches of them together: a row of its own for each value would be many times the vector on the driver."""
+    place = F.col("_base") + F.col("_slot")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["stretch"].iloc[0])
+        out = np.full(min(STRETCH, n - at * STRETCH), np.nan)
+        out[pdf["place"].to_numpy() - at * STRETCH] = pdf["v"].to_numpy(dtype=float)
+        return pd.DataFrame({"stretch": [at], "v": [out.tobytes()]})
+
+    values = numbered.select(F.floor(place / STRETCH).alias("stretch"), place.alias("place"), F.col(value).cast("double").alias("v"))
+    vector = np.full(n, np.nan)
+    for at, v in values.groupBy("stretch").applyInPandas(pack, "stretch long, v binary").toLocalIterator():
+        vector[at * STRETCH : at * STRETCH + len(v) // 8] = np.frombuffer(v)
+    return vector
+
+
 def shuffled_targets(numbered: DataFrame, value: str, perms: int, seed=42, tag="perm") -> tuple[DataFrame, Block]:
     """The rows, and a block of targets `perm0`, `perm1`, ...: in each, the values of column `value` shuffled within the groups of `number_rows`.
 
@@ -94,10 +113,7 @@ def shuffled_targets(numbered: DataFrame, value: str, perms: int, seed=42, tag="
     keys, names = round_keys(perms, seed, tag), [f"perm{j}" for j in range(perms)]
     n = numbered.count()
     if n <= SHARED_VALUES:
-        at = numbered.select((F.col("_base") + F.col("_slot")).alias("at"), F.col(value).cast("double").alias("v")).toPandas()
-        vector = np.full(n, np.nan)
-        vector[at["at"].to_numpy()] = at["v"].to_numpy(dtype=float)
-        shared = numbered.sparkSession.sparkContext.broadcast((vector, keys))
+        shared = numbered.sparkSession.sparkContext.broadcast((_vector(numbered, value, n), keys))
 
         def make(rows: pd.DataFrame, which=slice(None)) -> np.ndarray:
             values, some = shared.value
